@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.frames import table
+from foliant.llm.pseudonyms import pseudonymise
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.winnowing import winnow
 
@@ -15,12 +16,17 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow(table(spark, sf_dir, "documents"))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op3_pseudonyms": op3_pseudonyms,
     "op10_simhash": op10_simhash,
 }
 
