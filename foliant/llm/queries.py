@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.frames import table
+from foliant.llm.language import identify
 from foliant.llm.pseudonyms import pseudonymise
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.winnowing import winnow
@@ -20,6 +21,11 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, keep=("doc_id", "lang"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +33,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op3_pseudonyms": op3_pseudonyms,
+    "op8_language": op8_language,
     "op10_simhash": op10_simhash,
 }
 

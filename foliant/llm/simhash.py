@@ -29,7 +29,7 @@ from foliant.llm.text import mix, slices, words
 WORDS = 4
 BITS = 64 * WORDS
 RADIUS = 44
-TABLES, SAMPLED, CAP = 24, 16, 1024
+TABLES, SAMPLED, CAP = 48, 16, 1024
 _MORE, _ROUNDS = 4, 12
 _RUN = 65_535
 _PARTS = ["f0", "f1", "f2", "f3"]
