@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.frames import table
 from foliant.llm.language import identify
+from foliant.llm.mixing import ORACLE as MIXING_SQL
+from foliant.llm.mixing import mix_sources
 from foliant.llm.pseudonyms import pseudonymise
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.winnowing import winnow
@@ -17,6 +19,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
@@ -32,9 +38,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op2_mixing": op2_mixing,
     "op3_pseudonyms": op3_pseudonyms,
     "op8_language": op8_language,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": MIXING_SQL,
+}
