@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.llm.bpe import encode
 from foliant.llm.frames import table
 from foliant.llm.language import identify
 from foliant.llm.mixing import ORACLE as MIXING_SQL
@@ -27,6 +28,10 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, keep=("doc_id", "lang"))
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_mixing": op2_mixing,
     "op3_pseudonyms": op3_pseudonyms,
+    "op7_bpe": op7_bpe,
     "op8_language": op8_language,
     "op10_simhash": op10_simhash,
 }
