@@ -13,6 +13,8 @@ from foliant.llm.mixing import ORACLE as MIXING_SQL
 from foliant.llm.mixing import mix_sources
 from foliant.llm.pseudonyms import pseudonymise
 from foliant.llm.simhash import near_duplicates
+from foliant.llm.urls import ORACLE as URLS_SQL
+from foliant.llm.urls import filter_urls, spam_list
 from foliant.llm.winnowing import winnow
 
 
@@ -28,6 +30,11 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, spam_list(pages))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_mixing": op2_mixing,
     "op3_pseudonyms": op3_pseudonyms,
+    "op5_urls": op5_urls,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
     "op10_simhash": op10_simhash,
@@ -52,4 +60,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": MIXING_SQL,
+    "op5_urls": URLS_SQL,
 }
