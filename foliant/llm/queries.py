@@ -11,6 +11,7 @@ from foliant.llm.frames import table
 from foliant.llm.language import identify
 from foliant.llm.mixing import ORACLE as MIXING_SQL
 from foliant.llm.mixing import mix_sources
+from foliant.llm.neighbours import nearest_neighbours
 from foliant.llm.pseudonyms import pseudonymise
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.urls import ORACLE as URLS_SQL
@@ -35,6 +36,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, spam_list(pages))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_pseudonyms": op3_pseudonyms,
     "op5_urls": op5_urls,
+    "op6_neighbours": op6_neighbours,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
     "op10_simhash": op10_simhash,
