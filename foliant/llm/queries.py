@@ -13,6 +13,7 @@ from foliant.llm.mixing import ORACLE as MIXING_SQL
 from foliant.llm.mixing import mix_sources
 from foliant.llm.neighbours import nearest_neighbours
 from foliant.llm.pseudonyms import pseudonymise
+from foliant.llm.scoring import score_documents
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.urls import ORACLE as URLS_SQL
 from foliant.llm.urls import filter_urls, spam_list
@@ -31,6 +32,10 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
 
+def op4_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, spam_list(pages))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_mixing": op2_mixing,
     "op3_pseudonyms": op3_pseudonyms,
+    "op4_backoff": op4_backoff,
     "op5_urls": op5_urls,
     "op6_neighbours": op6_neighbours,
     "op7_bpe": op7_bpe,
