@@ -34,8 +34,8 @@ ALPHA, LEAST = 0.4, 2
 #: Words whose counts are broadcast, and pairs per bucket: both bound memory, neither the result.
 HOT, PER_BUCKET = 1 << 16, 1 << 20
 _START = np.uint64(0x5374617274206F66)
-_SLICE = 12 << 20
-_FLUSH = 3_000_000
+_SLICE = 8 << 20
+_FLUSH = 1_500_000
 _PACKED = "bucket long, kind int, docs binary, sizes binary, words binary, first binary, second binary"
 _NAMES = ["bucket", "kind", "docs", "sizes", "words", "first", "second"]
 _PENDING, _SUMS, _COUNTS = 0, 1, 2
@@ -43,25 +43,48 @@ _PENDING, _SUMS, _COUNTS = 0, 1, 2
 
 def _small(x: np.ndarray) -> bytes:
     top = int(x.max()) if len(x) else 0
-    return bytes([1 if top < 256 else 2 if top < 65536 else 4]) + x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32).tobytes()
+    kind = np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32
+    return _zip(bytes([np.dtype(kind).itemsize]), x.astype(kind))
 
 
 def _large(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[data[0]], offset=1).astype(np.int64)
+    width = data[0]
+    return _unzip(data[1:], width).view({1: np.uint8, 2: np.uint16, 4: np.uint32}[width]).astype(np.int64)
+
+
+def _zip(head: bytes, x: np.ndarray) -> bytes:
+    """Compressed, all first bytes of the numbers before all second ones."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else x
+    return head + x.nbytes.to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unzip(data: bytes, width: int) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    flat = np.frombuffer(pa.decompress(data[4:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, -1).T).ravel()
+
+
+def _ascending(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits in ascending order, as their differences."""
+    return _zip(b"", np.diff(x.view(np.uint64), prepend=np.uint64(0)))
+
+
+def _summed(data: bytes) -> np.ndarray:
+    return np.cumsum(_unzip(data, 8).view(np.uint64), dtype=np.uint64)
 
 
 def pack(bucket: int, docs: np.ndarray, columns: list[np.ndarray]) -> tuple:
-    """One row: runs of documents, and one or two columns of words by number."""
+    """One row: runs of documents, which ascend, and one or two columns of words by number."""
     new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
     distinct, back = np.unique(np.concatenate(columns), return_inverse=True)
     parts = np.split(back, len(columns))
     sizes = np.diff(np.append(new, len(docs)))
-    return bucket, _PENDING, docs[new].tobytes(), _small(sizes), distinct.tobytes(), _small(parts[0]), _small(parts[1]) if len(parts) > 1 else None
+    return bucket, _PENDING, _ascending(docs[new]), _small(sizes), _ascending(distinct), _small(parts[0]), _small(parts[1]) if len(parts) > 1 else None
 
 
 def unpack(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
-    docs = np.repeat(np.frombuffer(row["docs"], dtype=np.int64), _large(row["sizes"]))
-    distinct = np.frombuffer(row["words"], dtype=np.uint64)
+    docs = np.repeat(_summed(row["docs"]), _large(row["sizes"]))
+    distinct = _summed(row["words"])
     return docs, [distinct[_large(row[c])] for c in ("first", "second") if row[c] is not None]
 
 
@@ -141,7 +164,7 @@ class _Sums:
     def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts, self.parts, self.held = self.parts, [], 0
         if not parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
         whole = _Sums()
         whole.add(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
         return whole.parts[0]
@@ -176,8 +199,8 @@ def _count(batches: Iterator[pa.RecordBatch], common: Common, total: int, alpha:
         docs, tokens, score = sums.take()
         for low in range(0, len(docs), 50_000):
             cut = slice(low, low + 50_000)
-            bucket = int(mix(docs[cut][:1].view(np.uint64))[0] % common.buckets)
-            yield _batch([(bucket, _SUMS, docs[cut].tobytes(), tokens[cut].astype(np.int64).tobytes(), score[cut].tobytes(), None, None)])
+            bucket = int(mix(docs[cut][:1])[0] % common.buckets)
+            yield _batch([(bucket, _SUMS, _ascending(docs[cut]), _small(tokens[cut]), score[cut].tobytes(), None, None)])
 
     for _, rows in _groups(batches):
         opened = [unpack(r) for r in rows]
@@ -212,19 +235,20 @@ def _resolve(batches: Iterator[pa.RecordBatch], total: int, alpha: float) -> Ite
     sums = _Sums()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in sums.take()], names=["doc", "tokens", "score"])
+        docs, tokens, score = sums.take()
+        return pa.RecordBatch.from_arrays([pa.array(docs.view(np.int64)), pa.array(tokens), pa.array(score)], names=["doc", "tokens", "score"])
 
     for _, rows in _groups(batches):
         word, seen = np.empty(0, np.uint64), np.empty(0, np.int64)
         counts = [r for r in rows if r["kind"] == _COUNTS]
         if counts:
             word = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in counts])
-            seen = np.concatenate([np.frombuffer(r["first"], np.int64) for r in counts])
+            seen = np.concatenate([_large(r["first"]) for r in counts])
             order = np.argsort(word)
             word, seen = word[order], seen[order]
         for r in rows:
             if r["kind"] == _SUMS:
-                sums.add(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["words"], np.float64))
+                sums.add(_summed(r["docs"]), _large(r["sizes"]), np.frombuffer(r["words"], np.float64))
             elif r["kind"] == _PENDING:
                 docs, (second,) = unpack(r)
                 sums.add(docs, np.zeros(len(docs)), np.log(alpha * seen[np.searchsorted(word, second)] / total))
@@ -255,7 +279,9 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, h
             for part in slices(batch, "text", _SLICE):
                 hashes, rows = words(part.column(1))
                 before, row = chain(hashes, rows)
-                yield from scatter(common.of_pairs(before, hashes), part.column(0).to_numpy()[row], [before, hashes])
+                keys = part.column(0).to_numpy().view(np.uint64)
+                order = np.argsort(keys[row], kind="stable")
+                yield from scatter(common.of_pairs(before, hashes)[order], keys[row[order]], [before[order], hashes[order]])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +291,7 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, h
             bucket = common.of_words(word)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else np.empty(0, int)
-            rows = [(int(bucket[p[0]]), _COUNTS, None, None, word[p].tobytes(), seen[p].astype(np.int64).tobytes(), None) for p in np.split(order, edges[1:]) if len(p)]
+            rows = [(int(bucket[p[0]]), _COUNTS, None, None, word[p].tobytes(), _small(seen[p]), None) for p in np.split(order, edges[1:]) if len(p)]
             if rows:
                 yield _batch(rows)
 
