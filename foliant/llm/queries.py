@@ -15,6 +15,7 @@ from foliant.llm.neighbours import nearest_neighbours
 from foliant.llm.pseudonyms import pseudonymise
 from foliant.llm.scoring import score_documents
 from foliant.llm.simhash import near_duplicates
+from foliant.llm.store import store_and_verify
 from foliant.llm.urls import ORACLE as URLS_SQL
 from foliant.llm.urls import filter_urls, spam_list
 from foliant.llm.winnowing import winnow
@@ -54,6 +55,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, keep=("doc_id", "lang"))
 
 
+def op9_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_verify(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_neighbours": op6_neighbours,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
+    "op9_store": op9_store,
     "op10_simhash": op10_simhash,
 }
 
