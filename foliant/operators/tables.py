@@ -1,0 +1,193 @@
+"""HTML tables in page text: parsing to cells, rendering, and stitching across pages."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foliant.functions.text import column_ref_row, template_row
+
+TABLE = ["doc_id", "page_num", "table_no"]
+_OPEN, _CLOSE = re.compile(r"<table\b", re.I), re.compile(r"</table\s*>", re.I)
+
+
+def blocks(text: str) -> list[tuple[int, int]]:
+    """Spans of tables that don't overlap; one that isn't closed ends before the next, or with the text."""
+    out: list[tuple[int, int]] = []
+    starts = [m.start() for m in _OPEN.finditer(text)] + [len(text)]
+    for start, following in zip(starts, starts[1:]):
+        end = _CLOSE.search(text, start, following)
+        out.append((start, end.end() if end else following))
+    return out
+
+
+class _Grid(HTMLParser):
+    """Rows of one table; spans repeat their cell's text."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rows: list[tuple[bool, dict[int, str]]] = []
+        self._down: dict[int, tuple[int, str]] = {}
+        self._row: dict[int, str] | None = None
+        self._cell: list[str] | None = None
+        self._span = (1, 1)
+        self._head = self._th = False
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "thead":
+            self._head = True
+        elif tag == "tr":
+            self._end_row()
+            self._row, self._th = {}, False
+        elif tag in ("td", "th") and self._row is not None:
+            self._end_cell()
+            given = dict(attrs)
+            size = [int(v) if (v := (given.get(a) or "").strip()).isdecimal() and 0 < int(v) <= 1000 else 1 for a in ("colspan", "rowspan")]
+            self._cell, self._span = [], (size[0], size[1])
+            self._th |= tag == "th"
+        elif tag == "br" and self._cell is not None:
+            self._cell.append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("td", "th"):
+            self._end_cell()
+        elif tag in ("tr", "table"):
+            self._end_row()
+        elif tag == "thead":
+            self._end_row()
+            self._head = False
+
+    def handle_data(self, data: str) -> None:
+        if self._cell is not None:
+            self._cell.append(data)
+
+    def _fill(self, at: int) -> int:
+        while at in self._down:
+            left, text = self._down.pop(at)
+            self._row[at] = text
+            if left > 1:
+                self._later[at] = (left - 1, text)
+            at += 1
+        return at
+
+    def _end_cell(self) -> None:
+        if self._cell is None:
+            return
+        text = " ".join("".join(self._cell).split())
+        if not self._row:
+            self._later: dict[int, tuple[int, str]] = {}
+        at = self._fill(max(self._row, default=-1) + 1)
+        for c in range(at, at + self._span[0]):
+            self._row[c] = text
+            if self._span[1] > 1:
+                self._later[c] = (self._span[1] - 1, text)
+        self._cell = None
+
+    def _end_row(self) -> None:
+        self._end_cell()
+        if self._row:
+            for c in sorted(self._down):
+                self._fill(c)
+            self.rows.append((self._th or self._head, self._row))
+            self._down = self._later
+        self._row = None
+
+
+def parse(html: str) -> list[tuple[bool, dict[int, str]]]:
+    grid = _Grid()
+    grid.feed(html)
+    grid.close()
+    grid._end_row()
+    return grid.rows
+
+
+def cells(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_num, table_no, is_header, row_no, col_no, text) of all tables.
+
+    Rows are numbered from 0 among header rows and body rows apart; a row with a
+    ``th`` or in a ``thead`` is a header row. A text that isn't closed is read to
+    its end. Null texts have no tables.
+    """
+    kinds = T.StructType([*(pages.schema[c] for c in ("doc_id", "page_num")), *(T.StructField(n, k) for n, k in (("table_no", T.IntegerType()), ("is_header", T.BooleanType()), ("row_no", T.IntegerType()), ("col_no", T.IntegerType()), ("text", T.StringType())))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                for t, (low, high) in enumerate(blocks(text or "")):
+                    numbers = [0, 0]
+                    for head, row in parse(text[low:high]):
+                        for c in sorted(row):
+                            at.append(k)
+                            out.append((t, head, numbers[head], c, row[c]))
+                        numbers[head] += 1
+            take = pa.array(at, pa.int64())
+            types = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array([o[j] for o in out], kind) for j, kind in enumerate(types))], names=kinds.fieldNames())
+
+    may = F.contains(F.lower("text"), F.lit("<table"))
+    return pages.select("doc_id", "page_num", "text").filter(may).mapInArrow(rows, kinds)
+
+
+def tables(found: DataFrame) -> DataFrame:
+    """(doc_id, page_num, table_no, n_rows, n_cols, headers, rows): one row per table.
+
+    ``headers`` has a string per column, header levels joined by " > " with equal
+    neighbours once; ``rows`` are dense arrays, missing cells "".
+    """
+    size = found.groupBy(*TABLE).agg((F.max("col_no") + 1).alias("n_cols"), F.coalesce(F.max(F.when(~F.col("is_header"), F.col("row_no"))) + 1, F.lit(0)).alias("n_rows"))
+    level = F.array_sort(F.collect_list(F.struct("row_no", "text")))
+    heads = found.filter("is_header and trim(text) <> ''").groupBy(*TABLE, "col_no").agg(level.alias("ls"))
+    joined = F.array_join(F.filter(F.transform("ls", lambda x, i: F.when((i == 0) | (x["text"] != F.get("ls", i - 1)["text"]), x["text"])), lambda x: x.isNotNull()), " > ")
+    heads = heads.select(*TABLE, "col_no", joined.alias("h")).groupBy(*TABLE).agg(F.map_from_entries(F.collect_list(F.struct("col_no", "h"))).alias("hm"))
+    body = found.filter(~F.col("is_header")).groupBy(*TABLE, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "text"))).alias("cm"))
+    body = body.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("row_no", F.map_entries("cm").alias("es")))).alias("rs"))
+    columns = F.sequence(F.lit(0), F.col("n_cols") - 1)
+    dense = F.transform("rs", lambda r: F.transform(columns, lambda c: F.coalesce(F.get(F.filter(r["es"], lambda e: e["key"] == c), F.lit(0))["value"], F.lit(""))))
+    headers = F.transform(columns, lambda c: F.coalesce(F.try_element_at("hm", c), F.lit("")))
+    whole = size.join(heads, TABLE, "left").join(body, TABLE, "left")
+    return whole.select(*TABLE, "n_rows", "n_cols", headers.alias("headers"), F.coalesce(dense, F.array().cast("array<array<string>>")).alias("rows"))
+
+
+def rendered(whole: DataFrame, wide: int = 6) -> DataFrame:
+    """Tables with ``markdown``: pipes up to six columns, else a block of keys and values per row."""
+    kept = F.filter("rows", lambda r: ~template_row(r) & ~column_ref_row(r))
+    blank = lambda c: F.when(F.trim(c) == "", " ").otherwise(F.trim(c))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, blank), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform("headers", lambda h: F.lit("---")), " | "), F.lit(" |"))
+    pipes = F.array_join(F.concat(F.array(line(F.col("headers")), rule), F.transform(kept, line)), "\n")
+    named = F.transform("headers", lambda h, i: F.when(F.trim(h) == "", F.concat(F.lit("col_"), (i + 1).cast("string"))).otherwise(h))
+    schema = F.concat(F.lit("Columns: "), F.array_join(named, ", "))
+    pair = lambda r: F.array_join(F.filter(F.transform(F.arrays_zip(named.alias("h"), r.alias("v")), lambda z: F.when(F.trim(z["v"]) != "", F.concat(F.lit("- "), z["h"], F.lit(": "), F.trim(z["v"])))), lambda x: x.isNotNull()), "\n")
+    block = F.transform(kept, lambda r, i: F.concat(F.lit("\n**Row "), (i + 1).cast("string"), F.lit(":**\n"), pair(r)))
+    values = F.array_join(F.concat(F.array(schema), block), "\n")
+    return whole.withColumn("markdown", F.when(F.col("n_cols") <= wide, pipes).otherwise(values))
+
+
+def spans(whole: DataFrame) -> DataFrame:
+    """Tables with ``span``, the page where their run of continued tables begins.
+
+    A page's last table goes on in the next page's first one if both have as many
+    columns and the same headers, or blank ones; a page in the middle of a run has
+    that one table only.
+    """
+    doc = Window.partitionBy("doc_id").orderBy("page_num", "table_no")
+    page = Window.partitionBy("doc_id", "page_num")
+    trimmed = F.transform("headers", F.trim)
+    state = whole.withColumns({"hs": trimmed, "last": F.max("table_no").over(page) == F.col("table_no")})
+    goes_on = (F.lag("page_num").over(doc) == F.col("page_num") - 1) & F.lag("last").over(doc) & (F.col("table_no") == 0) & (F.lag("n_cols").over(doc) == F.col("n_cols")) & (F.lag("hs").over(doc) == F.col("hs"))
+    run = state.withColumn("begins", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    return run.withColumn("run", F.sum("begins").over(doc.rowsBetween(Window.unboundedPreceding, 0))).drop("hs", "last", "begins")
+
+
+def stitched(whole: DataFrame) -> DataFrame:
+    """Tables with those of a run merged: pages, rows in order, the first one's headers."""
+    parts = F.array_sort(F.collect_list(F.struct("page_num", "table_no", "n_rows", "n_cols", "headers", "rows")))
+    merged = spans(whole).groupBy("doc_id", "run").agg(parts.alias("ps"))
+    return merged.select("doc_id", F.col("ps")[0]["page_num"].alias("page_num"), F.col("ps")[0]["table_no"].alias("table_no"), F.col("ps.page_num").alias("pages"), F.aggregate("ps", F.lit(0), lambda a, p: a + p["n_rows"]).alias("n_rows"), F.col("ps")[0]["n_cols"].alias("n_cols"), F.col("ps")[0]["headers"].alias("headers"), F.flatten("ps.rows").alias("rows"))

@@ -5,7 +5,311 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from foliant.functions import text as fx
+from foliant.operators import corpus, graph, hits, layout, lexical, tables, tree
+from foliant.plans import fixtures as fix
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+_PG = "pg AS (SELECT source AS doc_id, doc_id + 1 AS page_num, text FROM documents)"
+_Q = f"q AS (SELECT item_id AS query_id, array_to_string(list_slice({_TOK.format('text')}, 1, 5), ' ') AS query FROM benchmark)"
+_INDEX = f"""{_PG}, {_Q},
+post AS (SELECT doc_id, page_num, term, count(*) AS tf FROM (SELECT doc_id, page_num, unnest({_TOK.format('text')}) AS term FROM pg) GROUP BY ALL),
+size AS (SELECT doc_id, page_num, coalesce(len({_TOK.format('text')}), 0) AS n_words FROM pg),
+st AS (SELECT doc_id, count(*) AS n, avg(n_words) AS avg_len FROM size GROUP BY 1),
+ts AS (SELECT doc_id, term, count(*) AS df, log2(sum(tf)::DOUBLE) - sum(tf * log2(tf::DOUBLE)) / sum(tf) AS entropy FROM post GROUP BY 1, 2),
+qt AS (SELECT query_id, term, asked, count(*) AS times FROM (SELECT query_id, len(w) AS asked, unnest(w) AS term FROM (SELECT query_id, {_TOK.format('query')} AS w FROM q)) GROUP BY 1, 2, 3),
+m AS (SELECT *, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM post JOIN qt USING (term) JOIN ts USING (doc_id, term) JOIN st USING (doc_id) JOIN size USING (doc_id, page_num)),
+bm AS (SELECT query_id, doc_id, page_num, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_words / avg_len))), 6) AS score FROM m GROUP BY 1, 2, 3),
+me AS (SELECT doc_id, avg(entropy) AS mean_entropy FROM ts GROUP BY 1),
+ab AS (SELECT *, least(greatest(avg_len / 100, 0.5), 1.5) AS a, 1 / ln(n + 1.0) AS b FROM m JOIN me USING (doc_id)),
+bx AS (SELECT query_id, doc_id, page_num, round(sum(times * idf * tf * (a + 1) / (tf + a * n_words / avg_len + a * mean_entropy)) + sum(times)::DOUBLE / max(asked) * sum(times * entropy * b), 6) AS score FROM ab GROUP BY 1, 2, 3)"""
+_TOP = "QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, page_num) <= {}"
+
+
+@query(f"SELECT doc_id, coalesce(len({_TOK.format('text')}), 0)::BIGINT AS n_tokens, coalesce(len(list_distinct({_TOK.format('text')})), 0)::BIGINT AS n_distinct FROM documents")
+def t1_tokens(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.tokens(F.col("text"))
+    return fix.table(spark, d, "documents").select("doc_id", F.coalesce(F.size(w), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.size(F.array_distinct(w)), F.lit(0)).cast("long").alias("n_distinct"))
+
+
+@query(f"WITH {_INDEX} SELECT * FROM bm WHERE score > 0 {_TOP.format(5)}")
+def a4_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.bm25(fix.pages(spark, d), fix.queries(spark, d))
+
+
+@query(f"WITH {_INDEX} SELECT * FROM bx WHERE score > 0 {_TOP.format(5)}")
+def a5_bmx(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.bmx(fix.pages(spark, d), fix.queries(spark, d))
+
+
+@query(f"WITH {_INDEX}, b AS (SELECT doc_id, page_num, max(score) AS score FROM bx GROUP BY 1, 2) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_num) <= 5")
+def a7_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.multi_query(lexical.bmx(fix.pages(spark, d), fix.queries(spark, d), None))
+
+
+@query(f"WITH {_INDEX} SELECT doc_id, term, df, round(entropy, 6) + 0.0 AS entropy, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM ts JOIN st USING (doc_id)")
+def a2_term_stats(spark: SparkSession, d: str) -> DataFrame:
+    pages = fix.pages(spark, d)
+    idf = F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0), 6)
+    return lexical.term_stats(lexical.postings(pages)).join(lexical.corpus_stats(pages), "doc_id").select("doc_id", "term", "df", (F.round("entropy", 6) + 0.0).alias("entropy"), idf.alias("idf"))
+
+
+@query(f"""WITH {_INDEX}, c AS (SELECT *, 2.0 * score AS s FROM bx WHERE score > 0 {_TOP.format(15)}),
+k AS (SELECT query_id, doc_id, page_num, sum(s) AS score FROM (SELECT query_id, doc_id, page_num, s FROM c UNION ALL SELECT query_id, doc_id, page_num, score FROM bm WHERE score > 0 {_TOP.format(60)}) GROUP BY 1, 2, 3 {_TOP.format(30)}),
+f AS (SELECT k.query_id, k.doc_id, k.page_num, round(0.4 * k.score + 0.6 * coalesce(bx.score, 0), 6) AS score FROM k LEFT JOIN bx USING (query_id, doc_id, page_num) {_TOP.format(15)}),
+nb AS (SELECT DISTINCT query_id, doc_id, page_num + x.d AS page_num FROM f, (VALUES (-1), (1)) AS x(d))
+SELECT *, 'ranked' AS kind FROM f UNION ALL SELECT query_id, doc_id, page_num, 0.1 AS score, 'neighbour' AS kind FROM nb SEMI JOIN pg USING (doc_id, page_num) ANTI JOIN f USING (query_id, doc_id, page_num)""")
+def r1_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    pages, queries = fix.pages(spark, d), fix.queries(spark, d)
+    own = lexical.bmx(pages, queries, None)
+    first = lexical.top_pages(own, 15).select("query_id", "doc_id", "page_num", F.lit("bmx_multiquery").alias("channel"), (2.0 * F.col("score")).alias("score"), "page_num")
+    first = first.toDF("query_id", "doc_id", "page_num", "channel", "score", "pos")
+    second = lexical.bm25(pages, queries, 60).select("query_id", "doc_id", "page_num", F.lit("bm25").alias("channel"), "score", F.col("page_num").alias("pos"))
+    return hits.hybrid(first.unionByName(second), own, pages)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return r1_hybrid(spark, d)
+
+
+_HITS = "h AS (SELECT user_id % 50 AS query_id, 'd' AS doc_id, user_id AS page_num, event_type AS channel, round(value, 2) AS score, event_id AS pos, event_type || ' ' || props AS text FROM events)"
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return fix.table(spark, d, "events").select((F.col("user_id") % 50).alias("query_id"), F.lit("d").alias("doc_id"), F.col("user_id").alias("page_num"), F.col("event_type").alias("channel"), F.round("value", 2).alias("score"), F.col("event_id").alias("pos"), F.concat("event_type", F.lit(" "), "props").alias("text"))
+
+
+@query(f"WITH {_HITS} SELECT query_id, page_num, channel, score, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos)::INT AS place FROM h QUALIFY place <= 15")
+def r3_weighted_merge(spark: SparkSession, d: str) -> DataFrame:
+    return hits.weighted_merge(_hits(spark, d)).select("query_id", "page_num", "channel", "score", "pos", "place")
+
+
+@query(f"""WITH {_HITS}, s AS (SELECT query_id, page_num, channel, min(pos) AS pos FROM h GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY pos) AS rk FROM s),
+c AS (SELECT query_id, count(DISTINCT channel) AS n FROM h GROUP BY 1),
+f AS (SELECT query_id, page_num, round(sum(1.0::DOUBLE / (60 + rk)) + (any_value(n) - count(*)) / 10060.0::DOUBLE, 9) AS score, min(pos) AS pos FROM r JOIN c USING (query_id) GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos)::INT AS place FROM f QUALIFY place <= 15""")
+def r4_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return hits.rrf(_hits(spark, d)).drop("doc_id")
+
+
+@query(f"WITH {_HITS} SELECT query_id, pos, sum(length(text) + 20) OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM h QUALIFY used <= 2500")
+def r5_budget(spark: SparkSession, d: str) -> DataFrame:
+    return hits.within_budget(_hits(spark, d), 2500).select("query_id", "pos", "used")
+
+
+@query(f"WITH {_HITS} SELECT query_id, page_num, min(pos) AS pos FROM h GROUP BY 1, 2")
+def r6_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return hits.dedup(_hits(spark, d)).select("query_id", "page_num", "pos")
+
+
+@query(f"WITH {_HITS} SELECT query_id, page_num, round(sum(score), 4) AS score FROM h GROUP BY 1, 2")
+def a15_accumulate(spark: SparkSession, d: str) -> DataFrame:
+    return hits.accumulate(_hits(spark, d)).select("query_id", "page_num", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_HITS} SELECT query_id, page_num, channel, score, pos FROM h QUALIFY row_number() OVER (PARTITION BY query_id, page_num ORDER BY score DESC, pos) = 1")
+def a17_best_per_page(spark: SparkSession, d: str) -> DataFrame:
+    return hits.best_per_page(_hits(spark, d)).drop("doc_id")
+
+
+@query(f"WITH {_HITS} SELECT query_id, string_agg('[Page ' || page_num || ']' || chr(10) || trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM h GROUP BY 1")
+def t34_context(spark: SparkSession, d: str) -> DataFrame:
+    return hits.context(_hits(spark, d))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 16 AND role IN ('user', 'assistant')")
+def y1_history(spark: SparkSession, d: str) -> DataFrame:
+    return hits.history(fix.table(spark, d, "conversations")).select("conv_id", "turn", "role")
+
+
+_KINDS = f"WITH {_PG}, k AS (SELECT doc_id, page_num, length(trim(coalesce(text, '')))::INT AS char_count FROM pg)"
+
+
+@query(f"{_KINDS} SELECT *, CASE WHEN char_count >= 50 THEN 'text' ELSE 'scan' END AS page_type, char_count < 300 AS needs_ocr FROM k")
+def s1_page_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.page_kinds(fix.pages(spark, d))
+
+
+@query(f"{_KINDS} SELECT doc_id, sum((char_count >= 50)::INT)::BIGINT AS n_text, sum((char_count < 50)::INT)::BIGINT AS n_scan, CASE WHEN n_text > n_scan THEN 'text' ELSE 'scan' END AS track FROM k GROUP BY 1")
+def a18_load_summary(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.load_summary(corpus.page_kinds(fix.pages(spark, d)))
+
+
+@query(f"WITH {_PG} SELECT doc_id, count(*) AS total_pages, arg_min(substr(text, 1, 400), page_num) AS summary FROM pg GROUP BY 1")
+def a19_doc_meta(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.doc_meta(fix.pages(spark, d))
+
+
+@query("""WITH p AS (SELECT item_id AS query_id, unnest(['src' || (item_id % 30), 'ghost', 'src' || (item_id % 7), 'src' || (item_id % 30), 'src1']) AS doc_id, unnest([0, 1, 2, 3, 4]) AS at FROM benchmark),
+f AS (SELECT query_id, doc_id, min(at) AS at FROM p WHERE doc_id IN (SELECT source FROM documents) GROUP BY 1, 2)
+SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY at) - 1)::INT AS place FROM f QUALIFY place < 3""")
+def y3_route(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("item_id")
+    names = F.array(*[F.concat(F.lit("src"), x.cast("string")) if x is not None else F.lit("ghost") for x in (i % 30, None, i % 7, i % 30, F.lit(1))])
+    picks = fix.table(spark, d, "benchmark").select(i.alias("query_id"), fx.json_list(F.concat(F.lit("I pick "), F.to_json(names))).alias("doc_ids"))
+    return corpus.route(corpus.doc_meta(fix.pages(spark, d)), picks)
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, substr(text, 1, 500) AS w FROM documents), a AS (SELECT *, reverse(w) AS b FROM t),
+r AS (SELECT doc_id, text, CASE WHEN strpos(b, chr(10) || chr(10)) > 0 AND 500 - strpos(b, chr(10) || chr(10)) - 1 >= 425 THEN 500 - strpos(b, chr(10) || chr(10)) - 1
+  WHEN strpos(b, chr(10)) > 0 AND 500 - strpos(b, chr(10)) >= 425 THEN 500 - strpos(b, chr(10)) ELSE 500 END AS cut FROM a)
+SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE left(text, cut::BIGINT) || chr(10) || chr(10) || '[... ' || (length(text) - cut) || ' characters cut]' END AS text FROM r""")
+def t23_truncate(spark: SparkSession, d: str) -> DataFrame:
+    return fix.table(spark, d, "documents").select("doc_id", fx.smart_truncate(F.col("text"), 500).alias("text"))
+
+
+@query("SELECT p_partkey AS page_num, 'Table' AS kind, p_size || '.1' AS number, p_name AS title FROM part")
+def t4_captions(spark: SparkSession, d: str) -> DataFrame:
+    return fix.notes(spark, d).select("page_num", F.inline(fx.captions(F.col("text"))))
+
+
+@query("SELECT p_partkey AS page_num, '(' || p_size || ')' AS marker, 'note on ' || p_name AS note FROM part")
+def t5_footnotes(spark: SparkSession, d: str) -> DataFrame:
+    return fix.notes(spark, d).select("page_num", F.inline(fx.footnotes(F.col("text"))))
+
+
+@query("SELECT p_partkey AS page_num, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END::INT AS elided FROM part")
+def t7_ellipsis(spark: SparkSession, d: str) -> DataFrame:
+    return fix.notes(spark, d).select("page_num", fx.ellipsis_cells(F.col("text")).alias("elided"))
+
+
+@query(r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(p_brand || ' ' || p_size || '/2025 3.2 ' || p_type, '[A-Za-z]*\p{Nd}+(?:[./\-]\p{Nd}+)*[A-Za-z]*'), lambda x: length(x) >= 2))), ',') AS ids FROM part")
+def t2_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string"), F.lit("/2025 3.2 "), "p_type")
+    return fix.table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(fx.identifiers(text)), ",").alias("ids"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, (CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 1 END) >= 2.8 AS template,
+(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 3 END) >= 3 AND (CASE WHEN length(l_quantity::INT::VARCHAR) <= 2 THEN 3 ELSE 2 END) >= 2.4 AS refs FROM lineitem""")
+def t11_row_kinds(spark: SparkSession, d: str) -> DataFrame:
+    even = F.col("l_linenumber") % 2 == 0
+    some = lambda c: F.when(even, F.lit("-")).otherwise(c)
+    cells = F.array(F.when(even, F.lit(".")).otherwise(F.col("l_returnflag")), some(F.col("l_linestatus")), F.when(even, F.lit(" ")).otherwise(F.col("l_quantity").cast("int").cast("string")), F.when(even, F.lit("12345")).otherwise(F.lit("")))
+    return fix.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fx.template_row(cells).alias("template"), (fx.column_ref_row(cells) & ~even).alias("refs"))
+
+
+_ROWS = "r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS row_no, l_linenumber, l_partkey, l_returnflag FROM lineitem)"
+
+
+@query(f"""WITH {_ROWS}, b AS (SELECT l_orderkey, row_no, unnest([0, 1, 2]) AS col_no, unnest([l_linenumber::VARCHAR, l_partkey::VARCHAR, l_returnflag]) AS text FROM r)
+SELECT l_orderkey % 10 AS doc_id, l_orderkey AS page_num, 0 AS table_no, false AS is_header, row_no::INT AS row_no, col_no, text FROM b
+UNION ALL SELECT DISTINCT l_orderkey % 10, l_orderkey, 0, true, 0, c.k, c.t FROM lineitem, (VALUES (0, 'line'), (1, 'part'), (2, 'flag')) AS c(k, t)""")
+def t21_cells(spark: SparkSession, d: str) -> DataFrame:
+    return tables.cells(fix.order_tables(spark, d))
+
+
+@query(f"""WITH {_ROWS} SELECT l_orderkey AS page_num, '| line | part | flag |' || chr(10) || '| --- | --- | --- |' || string_agg(CASE WHEN l_linenumber > 9999999 THEN '' WHEN length(l_partkey::VARCHAR) <= 2 THEN '' ELSE chr(10) || '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' |' END, '' ORDER BY row_no) AS markdown FROM r GROUP BY 1""")
+def t15_render(spark: SparkSession, d: str) -> DataFrame:
+    return tables.rendered(tables.tables(tables.cells(fix.order_tables(spark, d)))).select("page_num", "markdown")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS o, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT *, o - row_number() OVER (ORDER BY o) AS run FROM p)
+SELECT min(o) AS page_num, count(*)::INT AS n_pages, sum(n)::INT AS n_rows FROM g GROUP BY run""")
+def m5_stitch(spark: SparkSession, d: str) -> DataFrame:
+    pages = fix.order_tables(spark, d).withColumn("doc_id", F.lit("all"))
+    return tables.stitched(tables.tables(tables.cells(pages))).select("page_num", F.size("pages").alias("n_pages"), F.size("rows").alias("n_rows"))
+
+
+_ITEMS = "i AS (SELECT l_orderkey AS page, l_linenumber AS line, k, l_linenumber * 20 + (l_partkey + k) % 6 AS top, k * 100 + l_suppkey % 7 AS lft FROM lineitem, range(0, 4) AS c(k))"
+
+
+@query(f"WITH {_ITEMS}, a AS (SELECT page, line, min(top) AS row_top FROM i GROUP BY 1, 2) SELECT page, row_top::DOUBLE AS row_top, k::BIGINT AS col_no, count(*) AS n FROM i JOIN a USING (page, line) GROUP BY 1, 2, 3")
+def l1_layout(spark: SparkSession, d: str) -> DataFrame:
+    return layout.placed(fix.items(spark, d)).groupBy("page", "row_top", "col_no").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_ITEMS} SELECT page, k::BIGINT AS col_no, floor(avg(lft))::INT AS col_left FROM i GROUP BY 1, 2")
+def l2_columns(spark: SparkSession, d: str) -> DataFrame:
+    return layout.columns(fix.items(spark, d))
+
+
+@query("SELECT DISTINCT l_orderkey AS page, true AS is_table FROM lineitem")
+def l4_table_pages(spark: SparkSession, d: str) -> DataFrame:
+    return layout.table_pages(fix.items(spark, d))
+
+
+_HEADS = """h AS (SELECT n_regionkey AS doc_id, n_nationkey + 1 AS page_num, 0 AS line_no, 2 AS level, n_name AS title FROM nation
+UNION ALL SELECT n_regionkey, n_nationkey + 1, 2 * row_number() OVER (PARTITION BY n_nationkey ORDER BY s_name) - 1, 3, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, line_no) AS ord FROM h)"""
+
+
+@query(f"WITH {_HEADS} SELECT o.doc_id, o.ord::INT AS ord, o.level::INT AS level, o.title, CASE WHEN o.level = 3 THEN p.ord END::INT AS parent FROM o JOIN o p ON o.doc_id = p.doc_id AND o.page_num = p.page_num AND p.level = 2")
+def n2_nested(spark: SparkSession, d: str) -> DataFrame:
+    return tree.nested(tree.headings(fix.headed(spark, d))).select("doc_id", "ord", "level", "title", "parent")
+
+
+def _totals(spark: SparkSession, d: str) -> DataFrame:
+    return fix.table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg((F.max("n_nationkey") + 1).alias("total_pages"))
+
+
+_TOTALS = "t AS (SELECT n_regionkey AS doc_id, max(n_nationkey) + 1 AS total_pages FROM nation GROUP BY 1)"
+
+
+@query(f"WITH {_HEADS}, {_TOTALS} SELECT doc_id, ord::INT AS ord, level::INT AS level, title, page_num AS page_start, greatest(page_num, coalesce(lead(page_num) OVER (PARTITION BY doc_id ORDER BY ord) - 1, total_pages))::INT AS page_end FROM o JOIN t USING (doc_id)")
+def n3_page_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return tree.page_ranges(tree.headings(fix.headed(spark, d)), _totals(spark, d))
+
+
+@query(f"WITH {_TOTALS} SELECT doc_id, round(count(*) / any_value(total_pages), 6) AS coverage, CASE WHEN count(*) / any_value(total_pages) >= 0.15 THEN 'headings' ELSE 'sections' END AS strategy FROM nation JOIN t ON n_regionkey = doc_id GROUP BY 1")
+def a12_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return tree.coverage(tree.headings(fix.headed(spark, d)), _totals(spark, d))
+
+
+@query(f"""WITH {_TOTALS}, b AS (SELECT doc_id, p FROM t, range(1, 1000) AS r(p) WHERE p <= total_pages AND NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = doc_id AND n_nationkey + 1 = p)),
+g AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM b) SELECT doc_id, min(p)::INT AS page_start, max(p)::INT AS page_end FROM g GROUP BY doc_id, run""")
+def n9_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return tree.orphan_ranges(tree.headings(fix.headed(spark, d)), _totals(spark, d))
+
+
+@query("SELECT n_regionkey AS doc_id, lower(n_name) AS key, string_agg('home of ' || s_name, '' ORDER BY s_suppkey)[1:0] || min_by('home of ' || s_name, (-length(s_name), s_suppkey)) AS description, count(*)::INT AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2 UNION ALL SELECT n_regionkey, lower(s_name), 'a supplier', count(*)::INT FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2")
+def a13_entities(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = graph.parse_lines(fix.replies(spark, d))
+    return graph.merge_entities(found).select("doc_id", "key", "description", F.size("source_node_ids").alias("n"))
+
+
+@query("SELECT n_regionkey AS doc_id, least(lower(s_name), lower(n_name)) AS low, greatest(lower(s_name), lower(n_name)) AS high, s_name AS source, n_name AS target, 'part_of' AS keywords FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def a14_relations(spark: SparkSession, d: str) -> DataFrame:
+    _, found = graph.parse_lines(fix.replies(spark, d))
+    return graph.merge_relations(found).select("doc_id", "low", "high", "source", "target", "keywords")
+
+
+_EDGES = """e AS (SELECT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, w AS (SELECT r_name AS seed, r_name AS node, 0 AS distance FROM region UNION SELECT seed, dst, distance + 1 FROM w JOIN b ON node = src WHERE distance < 2)
+SELECT seed, node, min(distance)::INT AS distance FROM w GROUP BY 1, 2 HAVING min(distance) > 0""")
+def g8_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbours(fix.edges(spark, d), fix.table(spark, d, "region").select(F.col("r_name").alias("node")))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, w AS (SELECT n_name AS src, [n_name] AS path FROM nation UNION ALL SELECT w.src, list_append(path, b.dst) FROM w JOIN b ON path[-1] = b.src WHERE len(path) < 4 AND NOT list_contains(path, b.dst) AND NOT (len(path) > 1 AND path[-1] IN (SELECT r_name FROM region)))
+SELECT src, path[-1] AS dst, array_to_string(path, '>') AS path FROM w WHERE len(path) > 1 AND path[-1] IN (SELECT r_name FROM region)""")
+def g9_paths(spark: SparkSession, d: str) -> DataFrame:
+    pairs = fix.table(spark, d, "nation").select(F.col("n_name").alias("src")).crossJoin(fix.table(spark, d, "region").select(F.col("r_name").alias("dst")))
+    return graph.simple_paths(fix.edges(spark, d), pairs).select("src", "dst", F.array_join("path", ">").alias("path"))
+
+
+@query("SELECT c_custkey AS query_id, n_regionkey AS doc_id, lower(n_name) AS key FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def g4_seeds(spark: SparkSession, d: str) -> DataFrame:
+    nation = fix.table(spark, d, "nation")
+    asked = fix.table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Where is "), "n_name", F.lit("?")).alias("query"))
+    return graph.seeds_in_query(nation.select(F.col("n_regionkey").alias("doc_id"), fx.entity_key(F.col("n_name")).alias("key")), asked)
