@@ -11,7 +11,7 @@ from foliant.functions.text import entity_key
 def parse_lines(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, relations) from pipe-separated reply lines of (doc_id, node_id, text)."""
     lines = responses.select("doc_id", "node_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    part = F.transform(F.split(F.trim("line"), r"\|"), F.trim)
+    part = F.transform(F.split(F.trim("line"), r"\|"), lambda x: F.trim(x))
     cut = lines.select("doc_id", "node_id", "line_no", part.alias("p"))
     get = lambda k: F.get("p", F.lit(k))
     entities = cut.filter((get(0) == "ENTITY") & (F.size("p") >= 4) & (get(1) != ""))
@@ -23,7 +23,8 @@ def parse_lines(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-_ORD = F.struct("node_id", "line_no")
+def _first(name: str) -> F.Column:
+    return F.min_by(name, F.struct("node_id", "line_no")).alias(name)
 
 
 def _longest() -> F.Column:
@@ -36,7 +37,7 @@ def merge_entities(entities: DataFrame) -> DataFrame:
     """One row per name up to case and spaces: first name and type, longest
     description, all nodes."""
     return entities.withColumn("key", entity_key(F.col("name"))).groupBy("doc_id", "key").agg(
-        F.min_by("name", _ORD).alias("name"), F.min_by("entity_type", _ORD).alias("entity_type"), _longest().alias("description"),
+        _first("name"), _first("entity_type"), _longest().alias("description"),
         F.array_sort(F.collect_set("node_id")).alias("source_node_ids"),
     )
 
@@ -45,7 +46,7 @@ def merge_relations(relations: DataFrame) -> DataFrame:
     """One row per unordered pair; the first one's direction and keywords."""
     a, b = entity_key(F.col("source")), entity_key(F.col("target"))
     return relations.withColumns({"low": F.least(a, b), "high": F.greatest(a, b)}).groupBy("doc_id", "low", "high").agg(
-        F.min_by("source", _ORD).alias("source"), F.min_by("target", _ORD).alias("target"), F.min_by("keywords", _ORD).alias("keywords"), _longest().alias("description"),
+        _first("source"), _first("target"), _first("keywords"), _longest().alias("description"),
         F.array_sort(F.collect_set("node_id")).alias("source_node_ids"),
     )
 

@@ -179,7 +179,7 @@ def spans(whole: DataFrame) -> DataFrame:
     """
     doc = Window.partitionBy("doc_id").orderBy("page_num", "table_no")
     page = Window.partitionBy("doc_id", "page_num")
-    trimmed = F.transform("headers", F.trim)
+    trimmed = F.transform("headers", lambda h: F.trim(h))
     state = whole.withColumns({"hs": trimmed, "last": F.max("table_no").over(page) == F.col("table_no")})
     goes_on = (F.lag("page_num").over(doc) == F.col("page_num") - 1) & F.lag("last").over(doc) & (F.col("table_no") == 0) & (F.lag("n_cols").over(doc) == F.col("n_cols")) & (F.lag("hs").over(doc) == F.col("hs"))
     run = state.withColumn("begins", (~F.coalesce(goes_on, F.lit(False))).cast("int"))

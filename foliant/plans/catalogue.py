@@ -73,7 +73,7 @@ def a2_term_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_INDEX}, c AS (SELECT *, 2.0 * score AS s FROM bx WHERE score > 0 {_TOP.format(15)}),
 k AS (SELECT query_id, doc_id, page_num, sum(s) AS score FROM (SELECT query_id, doc_id, page_num, s FROM c UNION ALL SELECT query_id, doc_id, page_num, score FROM bm WHERE score > 0 {_TOP.format(60)}) GROUP BY 1, 2, 3 {_TOP.format(30)}),
-f AS (SELECT k.query_id, k.doc_id, k.page_num, round(0.4 * k.score + 0.6 * coalesce(bx.score, 0), 6) AS score FROM k LEFT JOIN bx USING (query_id, doc_id, page_num) {_TOP.format(15)}),
+g AS (SELECT k.query_id, k.doc_id, k.page_num, round(0.4 * k.score + 0.6 * coalesce(bx.score, 0), 6) AS score FROM k LEFT JOIN bx USING (query_id, doc_id, page_num)), f AS (SELECT * FROM g {_TOP.format(15)}),
 nb AS (SELECT DISTINCT query_id, doc_id, page_num + x.d AS page_num FROM f, (VALUES (-1), (1)) AS x(d))
 SELECT *, 'ranked' AS kind FROM f UNION ALL SELECT query_id, doc_id, page_num, 0.1 AS score, 'neighbour' AS kind FROM nb SEMI JOIN pg USING (doc_id, page_num) ANTI JOIN f USING (query_id, doc_id, page_num)""")
 def r1_hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -158,9 +158,9 @@ def a19_doc_meta(spark: SparkSession, d: str) -> DataFrame:
     return corpus.doc_meta(fix.pages(spark, d))
 
 
-@query("""WITH p AS (SELECT item_id AS query_id, unnest(['src' || (item_id % 30), 'ghost', 'src' || (item_id % 7), 'src' || (item_id % 30), 'src1']) AS doc_id, unnest([0, 1, 2, 3, 4]) AS at FROM benchmark),
-f AS (SELECT query_id, doc_id, min(at) AS at FROM p WHERE doc_id IN (SELECT source FROM documents) GROUP BY 1, 2)
-SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY at) - 1)::INT AS place FROM f QUALIFY place < 3""")
+@query("""WITH p AS (SELECT item_id AS query_id, unnest(['src' || (item_id % 30), 'ghost', 'src' || (item_id % 7), 'src' || (item_id % 30), 'src1']) AS doc_id, unnest([0, 1, 2, 3, 4]) AS pos FROM benchmark),
+f AS (SELECT query_id, doc_id, min(pos) AS pos FROM p WHERE doc_id IN (SELECT source FROM documents) GROUP BY 1, 2)
+SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1)::INT AS place FROM f QUALIFY place < 3""")
 def y3_route(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("item_id")
     names = F.array(*[F.concat(F.lit("src"), x.cast("string")) if x is not None else F.lit("ghost") for x in (i % 30, None, i % 7, i % 30, F.lit(1))])
@@ -251,9 +251,9 @@ UNION ALL SELECT n_regionkey, n_nationkey + 1, 2 * row_number() OVER (PARTITION
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, line_no) AS ord FROM h)"""
 
 
-@query(f"WITH {_HEADS} SELECT o.doc_id, o.ord::INT AS ord, o.level::INT AS level, o.title, CASE WHEN o.level = 3 THEN p.ord END::INT AS parent FROM o JOIN o p ON o.doc_id = p.doc_id AND o.page_num = p.page_num AND p.level = 2")
+@query(f"WITH {_HEADS} SELECT o.doc_id, o.ord::INT AS ord, o.level::INT AS level, o.title, (CASE WHEN o.level = 3 THEN p.ord ELSE 0 END)::INT AS parent FROM o JOIN o p ON o.doc_id = p.doc_id AND o.page_num = p.page_num AND p.level = 2")
 def n2_nested(spark: SparkSession, d: str) -> DataFrame:
-    return tree.nested(tree.headings(fix.headed(spark, d))).select("doc_id", "ord", "level", "title", "parent")
+    return tree.nested(tree.headings(fix.headed(spark, d))).select("doc_id", "ord", "level", "title", F.coalesce("parent", F.lit(0)).alias("parent"))
 
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:
