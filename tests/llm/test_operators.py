@@ -1,0 +1,190 @@
+"""The ten operators on small hard cases: nulls, empty and long texts, ties, repeats,
+empty tables and clashing names, and against brute force where SQL has no word."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from foliant.llm import bpe, frames, language, mixing, neighbours, pseudonyms, scoring, simhash, store, urls, winnowing
+from pyspark.sql import functions as F
+
+KINDS = "doc_id long, text string, lang string, source string, n_chars long, copy string, key long"
+
+
+def words(seed, n, letters="abcdefghij"):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    long = words(1, 30_000)
+    texts = [None, "", " \n", "a", long, long, words(2, 200), words(2, 200), "Ünï — 漢字 " * 20, "same " * 5000]
+    rows = [(k, t, ("en", "de")[k % 2], None if k == 3 else f"s{k % 2}", len(t) if t else None, "x", 7) for k, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[6], (None, words(3, 50), None, "s0", 9, "x", 7)], KINDS)
+
+
+def test_winnowing_brute_force(spark, docs):
+    k, w = 5, 4
+    got = {}
+    for r in winnowing.winnow(docs.dropDuplicates(["doc_id"]), k, w).collect():
+        got.setdefault(r.doc_id, []).append((r.pos, r.fingerprint))
+    for r in docs.dropDuplicates(["doc_id"]).collect():
+        kept = [(i, c.lower()) for i, c in enumerate(r.text or "") if re.match(r"[^\W]", c)]
+        points = np.array([ord(c) for _, c in kept], dtype=np.uint32)
+        hashes = winnowing.rolling(points, k)
+        keys = [int(h) >> 17 for h in hashes]
+        chosen = set()
+        n = min(w, len(keys))
+        for i in range(len(keys) - n + 1 if n else 0):
+            least = min(keys[i : i + n])
+            chosen.add(max(j for j in range(i, i + n) if keys[j] == least))
+        assert sorted(got.get(r.doc_id, [])) == [(kept[j][0], int(hashes[j]) >> 1) for j in sorted(chosen)]
+
+
+def test_mixing(spark, docs):
+    out = mixing.mix_sources(docs, total=20.0)
+    assert "copy" in out.columns and out.count() > 0
+    sizes = {r[0]: r[1] for r in out.groupBy("source").agg(F.sum(F.greatest(F.coalesce("n_chars", F.lit(1)), F.lit(1)))).collect()}
+    assert set(sizes) == {None, "s0", "s1"}
+    assert mixing.mix_sources(docs.filter("false")).count() == 0
+    assert {r.source for r in mixing.mix_sources(docs, {"s1": 1}, total=9.0).collect()} == {"s1"}
+
+
+def test_pseudonyms(spark, docs):
+    text = "card 4111 1111 1111 1111 and 4111 1111 1111 1112, born 1984-02-29, not 2023-02-30, a.b@example.com, 10.0.0.1"
+    one = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(one).collect()}
+    assert got[1] == got[2] != text and len(got[1]) == len(text) and got[3] is None and got[4] == ""
+    assert "4111 1111 1111 1112" in got[1] and "2023-02-30" in got[1] and "@example.com" in got[1]
+    card = re.search(r"card ([0-9 ]{19})", got[1])[1]
+    assert pseudonyms.luhn(card.replace(" ", "")) and card != "4111 1111 1111 1111"
+    assert pseudonyms.pseudonymise_text(got[1], back=True) == text
+    back = pseudonyms.pseudonymise(pseudonyms.pseudonymise(docs), back=True)
+    assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+    f = pseudonyms.Feistel(b"k", "t", 1000)
+    assert sorted(f.permute(x) for x in range(1000)) == list(range(1000)) and all(f.permute(x) != x for x in range(1000))
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_backoff_brute_force(spark, docs, hot):
+    got = {(r.doc_id): r for r in scoring.score_documents(docs, hot=hot, per_bucket=100).collect()}
+    texts = [(r.doc_id, re.findall(r"\w+", (r.text or "").lower())) for r in docs.collect()]
+    seen, pairs, context = Counter(), Counter(), Counter()
+    for _, t in texts:
+        seen.update(t)
+        pairs.update(zip([None, *t], t))
+        context.update([None, *t][: len(t)])
+    total = sum(seen.values())
+    assert len(got) == len({k for k, _ in texts})
+    for k, t in texts:
+        want = sum(math.log(pairs[a, b] / context[a]) if pairs[a, b] >= 2 else math.log(0.4 * seen[b] / total) for a, b in zip([None, *t], t))
+        assert got[k].n_tokens == len(t) and got[k].copies == (2 if k == 6 else 1)
+        assert abs(got[k].log_score - want) < 1e-4 if t else got[k].log_score is None
+    assert scoring.score_documents(docs.filter("false")).count() == 0
+
+
+def test_urls(spark):
+    same = ["http://WWW.a.com:80/p/?b=2&a=1&utm_source=x#f", "https://a.com/p?a=1&b=2", "//u@a.com/p/index.html?a=1&b=2&ref=z"]
+    pages = spark.createDataFrame([*((k, u, True, 1) for k, u in enumerate(same)), (3, "https://a.com/q", False, 1), (4, None, False, 1), (5, "nothing", False, 1)], "page_id long, url string, listed boolean, u_row int")
+    listed = spark.createDataFrame([(same[1],), (None,), (same[1],)], "url string")
+    got = {r.page_id: r for r in urls.filter_urls(pages, listed).collect()}
+    assert {k for k, r in got.items() if r.listed} == {0, 1, 2} and got[4].canonical_url is None and got[5].canonical_url is None
+    assert not urls.filter_urls(pages, listed.filter("false")).filter("listed").count()
+    big = spark.range(3000).select(F.concat(F.lit("https://h.com/"), F.col("id").cast("string")).alias("url"), "id")
+    assert urls.filter_urls(big, big.filter("id % 3 = 0")).filter("listed = (id % 3 = 0)").count() == 3000
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(600, 16)), np.ones((30, 16))]).astype(np.float32)
+    rows = [(k, v.tolist(), "x") for k, v in enumerate(x)] + [(700, None, "x"), (701, [1.0], "x"), (702, [float("nan")] * 16, "x"), (None, x[0].tolist(), "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, place string")
+    got = neighbours.nearest_neighbours(table, k=5, leaf=64).filter("vec_id is not null").toPandas()
+    assert set(got.vec_id) == set(range(630)) and (got.groupby("vec_id").size() == 5).all()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    kth = np.sort(d, axis=1)[:, 4]
+    assert np.mean([r.distance <= kth[int(r.vec_id)] + 1e-5 for r in got.itertuples()]) >= 0.9
+    assert neighbours.nearest_neighbours(table.filter("false")).count() == 0
+    assert neighbours.nearest_neighbours(table.limit(3), k=5).count() == 6
+
+
+def test_bpe_against_library(spark, docs):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(bpe.VOCABULARY)
+    t.encode_special_tokens = True
+    odd = spark.createDataFrame([(100, "a" * 3000), (101, "don't 123 \t\n  x<|endoftext|>"), (102, "\U0001f600é́")], "doc_id long, text string")
+    got = bpe.encode(docs.select("doc_id", "text").unionByName(odd)).collect()
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").unionByName(odd).collect()}
+    for r in got:
+        if texts[r.doc_id] is None:
+            assert r.ids is None and r.n_tokens is None
+        else:
+            assert r.ids == t.encode(texts[r.doc_id], add_special_tokens=False).ids and r.exact
+    back = {r.doc_id: r.text for r in bpe.decode(spark.createDataFrame(got)).collect()}
+    assert back == texts
+
+
+def test_language(spark):
+    en, de = "the quick brown fox jumps over the lazy dog and runs ", "der schnelle braune fuchs springt ueber den faulen hund und "
+    r = random.Random(5)
+    mixed = lambda s: " ".join(r.choice(s.split()) for _ in range(60))
+    rows = [(k, mixed(en if k % 2 else de), "en" if k % 2 else "de", "p") for k in range(60)] + [(100, "".join(r.choice("qxzjkv") for _ in range(400)), None, "p"), (101, None, None, "p"), (102, "", "en", "p")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, predicted string")
+    got = {x.doc_id: x for x in language.identify(table).collect()}
+    assert all(got[k].predicted == got[k].lang for k in range(60))
+    assert [got[k].predicted for k in (100, 101, 102)] == [None] * 3
+    assert language.identify(table.filter("false")).count() == 0 and language.keep_identified(table).count() == 60
+
+
+def test_store_round_trip(spark, docs):
+    base = frames.shared_dir(spark)
+    store.save(docs, base)
+    streams = lambda df: sorted(str((r.doc_id, r.ids)) for r in df.collect())
+    assert streams(store.restore(spark, base)) == streams(bpe.encode(docs))
+    found = store.verify(spark, base).collect()
+    assert all(r.verified for r in found if r.root) and sum(r.root is None for r in found) == 1
+    chunks = spark.read.parquet(f"{base}/chunks")
+    assert chunks.count() == chunks.select("address").distinct().count()
+    chunks.withColumn("ids", F.concat("ids", F.lit(b"x"))).write.parquet(f"{base}/bad")
+    import shutil
+
+    path = base.removeprefix("file://")
+    shutil.rmtree(f"{path}/chunks")
+    shutil.move(f"{path}/bad", f"{path}/chunks")
+    spark.catalog.clearCache()
+    assert {r.verified for r in store.verify(spark, base).collect() if r.n_chunks} == {False}
+    assert store.store_and_verify(docs.filter("false")).count() == 0
+
+
+def test_simhash_groups(spark):
+    base = words(11, 300)
+    near = base.replace(" ", "  ", 3) + " tail"
+    rows = [(1, base), (2, base), (3, near), (4, words(12, 300)), (5, None), (6, ""), (7, ""), (8, "!!"), (2, base), (None, base)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stays", F.lit(1))
+    got = {(r.doc_id, r.duplicate_of, r.copies) for r in simhash.near_duplicates(table).collect()}
+    assert got == {(2, 1, 2), (3, 1, 1), (None, 1, 1), (7, 6, 1)}
+    left = simhash.drop_near_duplicates(table)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5, 6, 8] and left.columns == table.columns
+    many = spark.createDataFrame([(k, words(k // 4, 200)) for k in range(800)], "doc_id long, text string")
+    assert simhash.near_duplicates(many, cap=16).count() == 600
+    assert simhash.near_duplicates(table.filter("false")).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, docs):
+    import corpus_pipeline as pipeline
+
+    assert [n for n, _ in pipeline.STAGES] == ["language", "near_duplicates", "pseudonyms", "mixture", "tokens"]
+    now = docs.drop("copy", "key")
+    for _, stage in pipeline.STAGES[:-1]:
+        after = frames.written(stage(spark, now, ""))
+        assert after.columns == now.columns
+        now = after
+    assert all(r.exact for r in pipeline.STAGES[-1][1](spark, now, "").collect())
+    empty = docs.filter("false").drop("copy", "key")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
