@@ -31,8 +31,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SAFE = regex.compile(r"(?<=\S) (?=\p{L})")
 _PIECE = 1 << 20
-_CACHED = 2_000_000
+_CACHED = 1_000_000
 _LOCKSTEP = 64
+#: Words gathered before they are looked up, and bytes of text at once.
+_CUT, _SLICE = 100_000, 1 << 20
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.int64(1 << 40)
 
@@ -282,7 +284,7 @@ class Bpe:
             for piece in pieces(text or ""):
                 cut.extend(PATTERN.findall(piece))
                 owner.append((row, len(cut)))
-                if len(cut) > 500_000:
+                if len(cut) > _CUT:
                     flush()
         flush()
         return np.concatenate(found) if found else np.empty(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
@@ -385,7 +387,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 texts = part.column(1)
                 none = texts.is_null().to_numpy(zero_copy_only=False)
                 ids, ends = bpe.encode(texts.to_pylist())
