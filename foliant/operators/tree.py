@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-DOC = Window.partitionBy("doc_id")
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id")
 
 
 def headings(pages: DataFrame) -> DataFrame:
@@ -18,12 +20,12 @@ def headings(pages: DataFrame) -> DataFrame:
 
 def numbered(found: DataFrame) -> DataFrame:
     """Headings with ``ord``, their place in the document from 1."""
-    return found.withColumn("ord", F.row_number().over(DOC.orderBy("page_num", "line_no")))
+    return found.withColumn("ord", F.row_number().over(_doc().orderBy("page_num", "line_no")))
 
 
 def nested(found: DataFrame) -> DataFrame:
     """Headings with ``parent``: the nearest one before of a smaller level, null if none."""
-    before = DOC.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = _doc().orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.when(F.col("level") > j, F.last(F.when(F.col("level") == j, F.col("ord")), ignorenulls=True).over(before)) for j in range(1, 6)]
     return numbered(found).withColumn("parent", F.greatest(*last))
 
@@ -31,7 +33,7 @@ def nested(found: DataFrame) -> DataFrame:
 def page_ranges(found: DataFrame, totals: DataFrame) -> DataFrame:
     """Headings with the pages they own: up to the page before the next heading's,
     their own page at least. totals: (doc_id, total_pages)."""
-    following = F.lead("page_num").over(DOC.orderBy("ord"))
+    following = F.lead("page_num").over(_doc().orderBy("ord"))
     end = F.greatest(F.col("page_num"), F.coalesce(following - 1, F.col("total_pages")))
     return numbered(found).join(totals, "doc_id").select("doc_id", "ord", "level", "title", F.col("page_num").alias("page_start"), end.alias("page_end"))
 
@@ -56,7 +58,7 @@ def orphan_ranges(found: DataFrame, totals: DataFrame) -> DataFrame:
     """(doc_id, page_start, page_end): runs of pages without a heading."""
     every = totals.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("total_pages").cast("int"))).alias("page_num"))
     bare = every.join(found.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_anti")
-    run = F.col("page_num") - F.row_number().over(DOC.orderBy("page_num"))
+    run = F.col("page_num") - F.row_number().over(_doc().orderBy("page_num"))
     return bare.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end")).drop("run")
 
 
