@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+
 def _doc() -> WindowSpec:
     return Window.partitionBy("doc_id")
 

@@ -17,11 +17,11 @@ def test_blocks_do_not_overlap():
 
 
 def test_headers_and_wide_tables(spark):
-    wide = "<table><thead><tr>" + "".join(f"<th>C{k}</th>" for k in range(9)) + "<th></th></tr></thead><tbody><tr>" + "<td>v</td>" * 10 + "</tr></tbody></table>"
+    wide = "<table><thead><tr>" + "".join(f"<th>C{k}</th>" for k in range(9)) + "<th></th></tr></thead><tbody><tr>" + "<td>val</td>" * 10 + "</tr></tbody></table>"
     levels = '<table><tr><th colspan="2">A</th></tr><tr><th>A</th><th>B</th></tr><tr><td>...</td><td>2</td></tr></table>'
     pages = spark.createDataFrame([("d", 1, wide), ("d", 2, levels), ("d", 3, None)], "doc_id string, page_num int, text string")
     found = {r.page_num: r for r in tables.rendered(tables.tables(tables.cells(pages))).collect()}
-    assert found[1].n_cols == 10 and "**Row 1:**" in found[1].markdown and "- col_10: v" in found[1].markdown
+    assert found[1].n_cols == 10 and "**Row 1:**" in found[1].markdown and "- col_10: val" in found[1].markdown
     assert found[2].headers == ["A", "A > B"] and found[2].rows == [["...", "2"]]
 
 
