@@ -7,6 +7,10 @@ language, and the language that needs fewest wins. A text that needs more than
 ``reject`` phrases a letter in every language, beyond the first ``SLACK``, has
 none: it is in another language or in none.
 
+Samples differ in size, and a longer one gives longer matches: a language's rates
+are compared in proportion to the logarithm of its sample's letters, by which
+phrases grow. Languages with next to no sample are left out, see ``LEAST_LETTERS``.
+
 The automata are small and travel with the task. Texts are cut into blocks that
 are parsed in lockstep, one gather per letter and language for thousands of
 blocks at once. Map only: one scan, no shuffle.
@@ -14,6 +18,7 @@ blocks at once. Map only: one scan, no shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +30,11 @@ from pyspark.sql import types as T
 from foliant.llm.frames import col, without
 from foliant.llm.text import codepoints, fold_table, slices
 
-#: Bounds of the labelled sample: rows looked at and letters kept, per language.
+#: The labelled sample: rows drawn at a time and letters kept, per language.
 SAMPLE_ROWS, SAMPLE_LETTERS = 64, 24_000
+#: A language with fewer letters than this is left out, as its texts can't be told
+#: from others; where no language has four times as many, a quarter of the largest.
+LEAST_LETTERS = 500
 #: Phrases never reach across the edge of a block.
 BLOCK = 512
 REJECT, SLACK = 0.42, 6
@@ -112,15 +120,18 @@ class Model:
     """The automata of all languages; built once per worker from the sample."""
 
     def __init__(self, sample: list[tuple[str, list[str]]], letters: int = SAMPLE_LETTERS) -> None:
-        self.languages = [language for language, _ in sample]
         self.classes = alphabet([t for _, texts in sample for t in texts])
         encoded = []
         for _, texts in sample:
             points, ends = codepoints(pa.array(texts, pa.large_string()))
             encoded.append(squeeze(self.classes[points], ends)[0][:letters])
-        # equal amounts, or the language with more text would match longer
-        least = min((len(e) for e in encoded), default=0)
-        self.tables = [automaton(e[:least]) for e in encoded]
+        longest = max((len(e) for e in encoded), default=0)
+        least = max(1, min(LEAST_LETTERS, longest // 4))
+        kept = [k for k, e in enumerate(encoded) if len(e) >= least]
+        self.languages = [sample[k][0] for k in kept]
+        self.tables = [automaton(encoded[k]) for k in kept]
+        # the language with more text matches longer
+        self.weights = np.array([math.log(len(encoded[k]) + 1) / math.log(longest + 1) for k in kept])
 
     def rates(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(phrases per letter by row and language, letters by row)."""
@@ -159,19 +170,36 @@ def _model(key: int, sample: list[tuple[str, list[str]]]) -> Model:
 
 
 def labelled(docs: DataFrame, rows: int = SAMPLE_ROWS, letters: int = SAMPLE_LETTERS, lang_col: str = "lang", text_col: str = "text") -> list[tuple[str, list[str]]]:
-    """The labelled sample: per language at most ``rows`` whole texts.
+    """The labelled sample: per language whole texts until they have ``letters``.
 
-    Rows are taken in the order of a hash of their text. Only as many texts are
-    kept as reach ``letters``, so what comes to the driver is bounded.
+    Texts are taken in the order of a hash, each once; those without a letter
+    are passed over. ``rows`` at a time are drawn, and more for the languages
+    that don't have ``letters`` yet. Only as many texts are kept as reach twice
+    ``letters``, so what comes to the driver is bounded.
     """
     lang, text = col(lang_col).cast("string"), col(text_col)
-    found = docs.filter(lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), F.xxhash64(text).alias("order"), F.length(text).alias("n"))
-    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("order", "n"))).filter(f"nth <= {rows}")
-    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = first.withColumn("so_far", F.coalesce(so_far, F.lit(0))).filter(F.col("so_far") < 2 * letters).select("lang", "order").distinct()
+    found = docs.filter(lang.isNotNull()).select(lang.alias("lang"), F.xxhash64(text).alias("order"), F.length(F.regexp_replace(text, r"\P{L}+", "")).alias("n")).filter("n > 0")
+    nth = F.dense_rank().over(Window.partitionBy("lang").orderBy("order"))
+    chosen: list[tuple[str, int]] = []
+    open_ = found
+    while True:
+        drawn: dict[str, list[tuple[int, int]]] = {}
+        for r in open_.withColumn("nth", nth).filter(F.col("nth") <= rows).groupBy("lang", "order").agg(F.min("n").alias("n")).collect():
+            drawn.setdefault(r["lang"], []).append((r["order"], r["n"]))
+        short = [language for language, texts in drawn.items() if len(texts) >= rows and sum(n for _, n in texts) < letters]
+        for language in drawn.keys() - set(short):
+            so_far = 0
+            for order, n in sorted(drawn[language]):
+                if so_far < 2 * letters:
+                    chosen.append((language, order))
+                so_far += n
+        if not short:
+            break
+        open_, rows = found.filter(F.col("lang").isin(short)), rows * 8
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, order long")
     texts = docs.select(lang.alias("lang"), F.xxhash64(text).alias("order"), text.alias("text"))
     by: dict[str, dict[int, str]] = {}
-    picked = texts.join(F.broadcast(chosen), ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text"))
+    picked = texts.join(F.broadcast(wanted), ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text"))
     for r in picked.collect():
         by.setdefault(r["lang"], {})[r["order"]] = r["text"]
     return [(language, [t for _, t in sorted(by[language].items())]) for language in sorted(by)]
@@ -185,7 +213,8 @@ def identify(docs: DataFrame, train: DataFrame | None = None, reject: float = RE
     that is null, empty or without a letter is rejected with a null rate, and so
     is every text if no row is labelled. Of equal languages the first by name
     wins. Repeated rows give equal results. A column of docs that is named like a
-    new one gives way to it.
+    new one gives way to it. Labels whose sample is below ``LEAST_LETTERS`` are
+    never predicted, and change nothing for the others.
     """
     sample = labelled(docs if train is None else train, lang_col=lang_col, text_col=text_col)
     key = hash(str(sample))
@@ -202,7 +231,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, reject: float = RE
             for part in slices(batch, batch.schema.names[n]):
                 rates, sizes = model.rates(part.column(n))
                 if model.languages:
-                    best = rates.argmin(axis=1)
+                    best = (rates * model.weights).argmin(axis=1)
                     rate = rates[np.arange(len(best)), best]
                 else:
                     best, rate = np.zeros(len(sizes), dtype=int), np.zeros(len(sizes))

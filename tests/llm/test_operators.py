@@ -141,6 +141,24 @@ def test_language(spark):
     assert language.identify(table.filter("false")).count() == 0 and language.keep_identified(table).count() == 60
 
 
+def test_language_with_tiny_labels(spark):
+    en, de = "the quick brown fox jumps over the lazy dog and runs ", "der schnelle braune fuchs springt ueber den faulen hund und "
+    r = random.Random(6)
+    mixed = lambda s, n: " ".join(r.choice(s.split()) for _ in range(n))
+    train = [(mixed(en if k % 2 else de, 60), "en" if k % 2 else "de") for k in range(60)] + [("12 34 -- 5", "nn"), ("lazy", "eng"), ("the fox", "eng")]
+    held = [(k, mixed(en if k % 2 else de, 60), ("de", "en")[k % 2]) for k in range(20)] + [(20, "".join(r.choice("qxzjkv") for _ in range(400)), None)]
+    got = language.identify(spark.createDataFrame(held, "doc_id long, text string, lang string"), spark.createDataFrame(train, "text string, lang string")).collect()
+    assert [x.predicted for x in sorted(got, key=lambda x: x.doc_id)] == [x[2] for x in held]
+
+
+def test_language_draws_until_it_has_letters(spark):
+    r = random.Random(7)
+    rows = [("".join(r.choice("abcdefgh") for _ in range(9)), "xx") for _ in range(900)] + [("0 1 2", "xx")] * 50 + [("same text", "yy")] * 200 + [("other text", "yy")]
+    sample = dict(language.labelled(spark.createDataFrame(rows, "text string, lang string"), letters=4000))
+    assert sum(map(len, sample["xx"])) >= 4000 and not any(t[0] == "0" for t in sample["xx"])
+    assert sorted(sample["yy"]) == ["other text", "same text"]
+
+
 def test_store_round_trip(spark, docs):
     base = frames.shared_dir(spark)
     store.save(docs, base)
