@@ -5,9 +5,13 @@ orthogonal to those above it. A query's leaves of all trees wait in one queue,
 ordered by how far the query lies on the wrong side of their worst split; that
 margin bounds the distance to anything in the leaf from below. The query first
 takes its home leaf of every tree, which gives a distance for its k-th
-neighbour, and then every leaf whose margin is at most ``reach`` times that, so
-the effort follows the data and not their number. Candidates are ranked by their
-exact distances.
+neighbour, and then every leaf whose margin is at most ``reach`` times that.
+Candidates are ranked by their exact distances.
+
+Each level loses some neighbours beyond a given reach, so what is lost grows with
+the depth and thus with the table. Therefore ``reach`` is only the least: a sample
+of queries is compared with the whole table, and the reach that gives them
+``recall`` of their true neighbours is taken, whatever size or shape the data has.
 
 Levels are built one grouped median at a time over all vectors. Both rounds are
 one shuffle each of vectors by leaf; only distances leave a leaf.
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from foliant.llm.frames import col, written
 
 TREES, LEAF, REACH, K = 4, 2048, 0.1, 10
+#: Share of true neighbours to find, and queries on which the reach for it is measured.
+RECALL, MEASURED = 0.95, 256
 _ROWS = 1024
 Level = np.ndarray
 
@@ -73,6 +79,26 @@ def reachable(x: np.ndarray, limit: np.ndarray, planes: np.ndarray, levels: list
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def needed(x: np.ndarray, y: np.ndarray, planes: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """The least limit at which each row of x reaches the leaf of its row of y in some tree."""
+    worst = np.zeros((len(planes), len(x)))
+    for t in range(len(planes)):
+        nodes = np.zeros(len(x), dtype=np.int64)
+        for k, cuts in enumerate(levels):
+            margin, right = x @ planes[t, k] - cuts[t, nodes], y @ planes[t, k] > cuts[t, nodes]
+            worst[t] = np.maximum(worst[t], np.where(right, -margin, margin))
+            nodes = nodes * 2 + right
+    return worst.min(axis=0)
+
+
+def enough(need: np.ndarray, kth: np.ndarray, recall: float) -> float:
+    """The reach that finds this share of neighbours, by what each needs and its query's distance."""
+    if not len(need):
+        return 0.0
+    shares = np.sort(need / np.maximum(kth, 1e-30))
+    return float(shares[min(len(shares), max(1, math.ceil(recall * len(shares)))) - 1]) * (1 + 1e-5)
+
+
 def nearest(queries: np.ndarray, own: np.ndarray, points: np.ndarray, keys: np.ndarray, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of query, key of point, exact distance): each query's k best points.
 
@@ -154,14 +180,41 @@ def _levels(vectors: DataFrame, planes: np.ndarray, depth: int, dim: int) -> lis
     return levels
 
 
-def nearest_neighbours(table: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, reach: float = REACH, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _measured(vectors: DataFrame, kth: DataFrame, planes: np.ndarray, levels: list[Level], dim: int, k: int, recall: float, measured: int) -> float:
+    """The reach that this forest takes for this recall, from a sample of queries
+    against all vectors."""
+    sample = vectors.orderBy(F.xxhash64("key"), "key").limit(measured).join(kth, "key", "left").collect()
+    if not sample:
+        return 0.0
+    own, x = np.array([r["key"] for r in sample]), np.array([r["vector"] for r in sample], dtype=np.float32)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, y = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+            at, other, distance = nearest(x, own, y, keys, k)
+            order = np.argsort(keys)
+            place = order[np.searchsorted(keys[order], other)]
+            need = needed(x[at], y[place], planes, levels)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(other), pa.array(distance), pa.array(need)], names=["at", "other", "distance", "need"])
+
+    near = vectors.mapInArrow(compared, "at long, other long, distance double, need double")
+    place = F.row_number().over(Window.partitionBy("at").orderBy("distance", "other"))
+    best = near.withColumn("place", place).filter(F.col("place") <= k).select("at", "need").collect()
+    limit = np.array([np.inf if r["kth"] is None else r["kth"] for r in sample])
+    return enough(np.array([r["need"] for r in best]), limit[[r["at"] for r in best]], recall)
+
+
+def nearest_neighbours(table: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, reach: float = REACH, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, measured: int = MEASURED) -> DataFrame:
     """(vec_id, neighbour, place, distance): the k nearest others of every row.
 
     Euclidean distance; equal distances are ordered by the neighbour's id. Rows
     that are equal in id and vector count once. A vector that is null, has a null
     or a value that isn't finite, or another length than most, has no neighbours
     and is none. A null id stays null. With fewer than k others all are given; an
-    empty table gives none; other columns are ignored.
+    empty table gives none; other columns are ignored. The search reaches as far as
+    a sample of ``measured`` queries needs for ``recall``, and ``reach`` at least.
     """
     vector = col(vector_col).cast("array<float>")
     rows = table.select(col(id_col).alias("vec_id"), vector.alias("vector")).filter("size(vector) > 0 and forall(vector, v -> v is not null and not isnan(v) and abs(v) < 1e18)")
@@ -205,6 +258,7 @@ def nearest_neighbours(table: DataFrame, k: int = K, trees: int = TREES, leaf: i
     first = written(points.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare(True), found).distinct())
     # fewer than k at home: every leaf may have a neighbour
     kth = first.groupBy("key").agg(F.when(F.count("*") >= k, F.array_sort(F.collect_list("distance"))[k - 1]).alias("kth"))
+    reach = max(reach, _measured(vectors, kth, planes, levels, dim, k, recall, measured)) if depth else reach
     asked = vectors.join(kth, "key", "left").select("key", "vector", F.coalesce("kth", F.lit(1e30)).alias("most"))
     both = points.unionByName(asked.mapInArrow(away, kinds)) if depth else points.filter("false")
     second = both.repartition("cell").sortWithinPartitions("cell", "most").mapInArrow(compare(False), found)

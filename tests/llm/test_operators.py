@@ -113,6 +113,17 @@ def test_neighbours_recall(spark):
     assert neighbours.nearest_neighbours(table.limit(3), k=5).count() == 6
 
 
+def test_neighbours_recall_in_deep_trees(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest_neighbours(table, trees=2, leaf=12).toPandas()
+    d = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    kth = np.sort(d, axis=1)[:, 9]
+    assert (got.distance <= kth[got.vec_id] + 1e-5).sum() >= 0.93 * 15_000
+
+
 def test_bpe_against_library(spark, docs):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(bpe.VOCABULARY)
