@@ -84,27 +84,42 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 3, most_pa
     return found.withColumn("place", place).filter(F.col("place") <= most_paths)
 
 
-def seeds_in_query(entities: DataFrame, queries: DataFrame, least: int = 3) -> DataFrame:
-    """(query_id, doc_id, key): names of three signs or more that a query holds.
+def _grams(text: str, n: int) -> F.Column:
+    """The distinct runs of n signs in a text; none if it is shorter or null."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.array_distinct(F.when(F.length(text) >= n, F.transform(starts, lambda k: F.substring(F.col(text), k, F.lit(n)))))
 
-    A name's first word is a word of the query, so an equi-join narrows it first.
-    """
-    from foliant.functions.text import tokens
 
-    words = queries.select("query_id", F.lower("query").alias("q"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("word"))
-    names = entities.select("doc_id", "key", F.get(tokens(F.col("key")), F.lit(0)).alias("word")).filter(F.length("key") >= least)
-    return words.join(names, "word").filter(F.contains("q", "key")).select("query_id", "doc_id", "key").distinct()
+def seeds_in_query(entities: DataFrame, queries: DataFrame, least: int = 3, whole_words: bool = False) -> DataFrame:
+    """(query_id, doc_id, key): names of ``least`` signs (1 or more) or longer that a
+    query holds, anywhere in it; with ``whole_words`` only where no word goes on
+    before or after the name.
+
+    The first signs of a name stand in a query that holds it: an equi-join on them,
+    three at most, narrows it first.
+    """
+    n = min(3, least)
+    asked = queries.select("query_id", F.lower("query").alias("q"))
+    grams = asked.select("query_id", "q", F.explode(_grams("q", n)).alias("gram"))
+    names = entities.select("doc_id", "key", F.substring("key", 1, n).alias("gram")).filter(F.length("key") >= least)
+    holds = F.contains("q", "key")
+    if whole_words:
+        quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace("key", F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
+        holds &= F.regexp_like("q", quoted)
+    return grams.join(names, "gram").filter(holds).select("query_id", "doc_id", "key").distinct()
 
 
 def cross_references(nodes: DataFrame, least: int = 10) -> DataFrame:
     """(doc_id, src, dst): a node whose text names another's title; one row per pair.
 
-    The title's first word narrows the join; nodes: (doc_id, node_id, title, text).
+    A title's first signs, eight at most, narrow the join, and only what they leave
+    meets the texts; nodes: (doc_id, node_id, title, text).
     """
-    from foliant.functions.text import tokens
-
-    titles = nodes.filter(F.length("title") >= least).select("doc_id", F.col("node_id").alias("dst"), F.lower("title").alias("t"), F.get(tokens(F.col("title")), F.lit(0)).alias("word"))
-    texts = nodes.select("doc_id", F.col("node_id").alias("src"), F.lower("text").alias("x"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    hits = texts.join(titles, ["doc_id", "word"]).filter((F.col("src") != F.col("dst")) & F.contains("x", "t"))
+    n = min(8, least)
+    titles = nodes.filter(F.length("title") >= least).select("doc_id", F.col("node_id").alias("dst"), F.lower("title").alias("t"))
+    texts = nodes.select("doc_id", F.col("node_id").alias("src"), F.lower("text").alias("x"))
+    grams = texts.select("doc_id", "src", F.explode(_grams("x", n)).alias("gram"))
+    near = grams.join(titles.withColumn("gram", F.substring("t", 1, n)), ["doc_id", "gram"]).filter("src <> dst").select("doc_id", "src", "dst", "t").distinct()
+    hits = near.join(texts, ["doc_id", "src"]).filter(F.contains("x", "t"))
     pair = Window.partitionBy("doc_id", F.least("src", "dst"), F.greatest("src", "dst")).orderBy("src", "dst")
     return hits.withColumn("nth", F.row_number().over(pair)).filter("nth = 1").select("doc_id", "src", "dst")

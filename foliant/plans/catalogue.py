@@ -312,4 +312,4 @@ def g9_paths(spark: SparkSession, d: str) -> DataFrame:
 def g4_seeds(spark: SparkSession, d: str) -> DataFrame:
     nation = fix.table(spark, d, "nation")
     asked = fix.table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Where is "), "n_name", F.lit("?")).alias("query"))
-    return graph.seeds_in_query(nation.select(F.col("n_regionkey").alias("doc_id"), fx.entity_key(F.col("n_name")).alias("key")), asked)
+    return graph.seeds_in_query(nation.select(F.col("n_regionkey").alias("doc_id"), fx.entity_key(F.col("n_name")).alias("key")), asked, whole_words=True)

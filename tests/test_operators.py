@@ -63,6 +63,23 @@ def test_cross_references(spark):
     assert [(r.src, r.dst) for r in graph.cross_references(nodes).collect()] == [("1", "2")]
 
 
+def test_seeds_anywhere_in_the_query(spark):
+    names = ["land", "regulation", "東京都", "+++", "new york", "ab", "norway"]
+    asked = ["Is Finland bound by EU Regulations?", "昨日東京都に行きました", "what is +++ in New  York", "to New York", "ab", None, ""]
+    entities = spark.createDataFrame([("d", n) for n in names], "doc_id string, key string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    want = {(k, n) for k, q in enumerate(asked) for n in names if q and len(n) >= 3 and n in q.lower()}
+    got = [(r.query_id, r.key) for r in graph.seeds_in_query(entities, queries).collect()]
+    assert set(got) == want and len(got) == len(want) == 5
+    whole = graph.seeds_in_query(entities, queries, whole_words=True)
+    assert {(r.query_id, r.key) for r in whole.collect()} == {(2, "+++"), (3, "new york")}
+
+
+def test_cross_references_within_words(spark):
+    nodes = spark.createDataFrame([("d", "1", "x", "the SUBREGULATIONS of it"), ("d", "2", "Regulation", None), ("d", "3", "東京都条例第一条の二", "規定"), ("d", "4", "y", "昨日東京都条例第一条の二に"), ("e", "5", "z", "regulation")], "doc_id string, node_id string, title string, text string")
+    assert sorted((r.src, r.dst) for r in graph.cross_references(nodes).collect()) == [("1", "2"), ("4", "3")]
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         fx.page_of_chunk(F.lit("page_12")).alias("a"), fx.page_of_chunk(F.lit("row_1")).alias("b"), fx.json_list(F.lit('so ["x","y"] ["z"]')).alias("c"), fx.json_list(F.lit("no")).alias("d"),
