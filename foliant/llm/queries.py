@@ -13,7 +13,7 @@ from foliant.llm.mixing import ORACLE as MIXING_SQL
 from foliant.llm.mixing import mix_sources
 from foliant.llm.neighbours import nearest_neighbours
 from foliant.llm.pseudonyms import pseudonymise
-from foliant.llm.scoring import score_documents
+from foliant.llm.scoring import ORDER, score_documents
 from foliant.llm.simhash import near_duplicates
 from foliant.llm.store import store_and_verify
 from foliant.llm.urls import ORACLE as URLS_SQL
@@ -34,7 +34,7 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), order=ORDER)
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

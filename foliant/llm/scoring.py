@@ -1,9 +1,15 @@
 """Stupid-backoff scores of documents under the corpus' own n-gram counts.
 
-A word after another scores the pair's count over the first word's count as a
-context where the pair occurs at least ``least`` times in the corpus, else
-``alpha`` times the word's own share of all words. The first word follows the
-start of its text. A document's score is the sum of its words' logarithms.
+A word after ``order`` - 1 others scores the n-gram's count over the count of those
+others as a context where the n-gram occurs at least ``least`` times in the corpus,
+else ``alpha`` times what it scores after one word less; after none, its share of
+all words. What precedes the first word are starts of text, as many as are needed.
+A document's score is the sum of its words' logarithms.
+
+Above pairs, the occurrences of each order are shuffled by their context, counted
+and scored. What isn't scored goes on to the next lower order as it is, what is
+scored as n-grams with their numbers, as both count there. Contexts that are too
+common for a bucket are counted beforehand and spread by the word after them.
 
 The count tables are partitioned by hash. Pairs are exploded once and shuffled by
 the hash of the first word, so the pair counts and the context counts of a
@@ -31,6 +37,8 @@ from foliant.llm.frames import col, written
 from foliant.llm.text import mix, slices, words
 
 ALPHA, LEAST = 0.4, 2
+#: Words of the longest n-grams that op4_backoff scores.
+ORDER = 3
 #: Words whose counts are broadcast, and pairs per bucket: both bound memory, neither the result.
 HOT, PER_BUCKET = 1 << 16, 1 << 20
 _START = np.uint64(0x5374617274206F66)
@@ -38,7 +46,7 @@ _SLICE = 8 << 20
 _FLUSH = 1_500_000
 _PACKED = "bucket long, kind int, docs binary, sizes binary, words binary, first binary, second binary"
 _NAMES = ["bucket", "kind", "docs", "sizes", "words", "first", "second"]
-_PENDING, _SUMS, _COUNTS = 0, 1, 2
+_PENDING, _SUMS, _COUNTS, _SCORED = 0, 1, 2, 3
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -73,19 +81,25 @@ def _summed(data: bytes) -> np.ndarray:
     return np.cumsum(_unzip(data, 8).view(np.uint64), dtype=np.uint64)
 
 
-def pack(bucket: int, docs: np.ndarray, columns: list[np.ndarray]) -> tuple:
-    """One row: runs of documents, which ascend, and one or two columns of words by number."""
-    new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+def pack(bucket: int, docs: np.ndarray, columns: list[np.ndarray], scored: bool = False) -> tuple:
+    """One row: runs of documents, which ascend, and columns of words by number.
+
+    With ``scored``, numbers of occurrences take the place of documents.
+    """
     distinct, back = np.unique(np.concatenate(columns), return_inverse=True)
-    parts = np.split(back, len(columns))
-    sizes = np.diff(np.append(new, len(docs)))
-    return bucket, _PENDING, _ascending(docs[new]), _small(sizes), _ascending(distinct), _small(parts[0]), _small(parts[1]) if len(parts) > 1 else None
+    last = len(docs) * (len(columns) - 1)
+    words = (_ascending(distinct), _small(back[:last]), _small(back[last:])) if last else (_ascending(distinct), _small(back), None)
+    if scored:
+        return bucket, _SCORED, None, _small(docs), *words
+    new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    return bucket, _PENDING, _ascending(docs[new]), _small(np.diff(np.append(new, len(docs)))), *words
 
 
 def unpack(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
-    docs = np.repeat(_summed(row["docs"]), _large(row["sizes"]))
+    docs = np.repeat(_summed(row["docs"]), _large(row["sizes"])) if row["kind"] == _PENDING else _large(row["sizes"])
     distinct = _summed(row["words"])
-    return docs, [distinct[_large(row[c])] for c in ("first", "second") if row[c] is not None]
+    first = distinct[_large(row["first"])]
+    return docs, [first] if row["second"] is None else [*np.split(first, len(first) // len(docs)), distinct[_large(row["second"])]]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -93,14 +107,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=_NAMES)
 
 
-def scatter(buckets: np.ndarray, docs: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def scatter(buckets: np.ndarray, docs: np.ndarray, columns: list[np.ndarray], scored: bool = False) -> Iterator[pa.RecordBatch]:
     """Packed rows, one per bucket that occurs."""
     order = np.argsort(buckets, kind="stable")
     buckets, docs, columns = buckets[order], docs[order], [c[order] for c in columns]
     edges = np.append(np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])), len(buckets)) if len(buckets) else [0]
     rows: list[tuple] = []
     for low, high in zip(edges[:-1], edges[1:]):
-        rows.append(pack(int(buckets[low]), docs[low:high], [c[low:high] for c in columns]))
+        rows.append(pack(int(buckets[low]), docs[low:high], [c[low:high] for c in columns], scored))
         if len(rows) >= 64:
             yield _batch(rows)
             rows = []
@@ -116,6 +130,26 @@ def chain(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return before, np.repeat(np.arange(len(sizes)), sizes)
 
 
+def history(hashes: np.ndarray, rows: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the n-gram that ends with each word, as columns; row of each word)."""
+    before, row = chain(hashes, rows)
+    columns = [before, hashes]
+    starts = rows[:-1][np.diff(rows) > 0]
+    for _ in range(order - 2):
+        before = np.concatenate([[_START], before[:-1]]) if len(before) else before
+        before[starts] = _START
+        columns.insert(0, before)
+    return columns, row
+
+
+def folded(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for the words of a context."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = mix(mix(out) + c)
+    return out
+
+
 class Common:
     """Counts of the commonest words, and where their rows go."""
 
@@ -183,16 +217,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
         yield now, held
 
 
-def _count(batches: Iterator[pa.RecordBatch], common: Common, total: int, alpha: float, least: int) -> Iterator[pa.RecordBatch]:
-    """Count a bucket's pairs and contexts; score what is known there."""
+def _count(batches: Iterator[pa.RecordBatch], common: Common, words: Common, total: int, alpha: float, least: int, skipped: int, below: Common | None) -> Iterator[pa.RecordBatch]:
+    """Count a bucket's n-grams and contexts; score what is known there.
+
+    common: of the contexts; words: of single words; skipped: longer orders before
+    this one; below: of the contexts of the next lower order, None for pairs.
+    """
     sums, wait, waiting = _Sums(), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal wait, waiting
         if wait:
-            docs, word = (np.concatenate([w[k] for w in wait]) for k in range(2))
+            docs = np.concatenate([w[0] for w in wait])
+            columns = [np.concatenate(c) for c in zip(*(w[1] for w in wait))]
             order = np.argsort(docs, kind="stable")
-            yield from scatter(common.of_words(word[order]), docs[order], [word[order]])
+            columns = [c[order] for c in columns]
+            yield from scatter(words.of_words(columns[0]) if below is None else below.of_pairs(folded(columns[:-1]), columns[-1]), docs[order], columns)
         wait, waiting = [], 0
 
     def known() -> Iterator[pa.RecordBatch]:
@@ -203,24 +243,45 @@ def _count(batches: Iterator[pa.RecordBatch], common: Common, total: int, alpha:
             yield _batch([(bucket, _SUMS, _ascending(docs[cut]), _small(tokens[cut]), score[cut].tobytes(), None, None)])
 
     for _, rows in _groups(batches):
+        for r in rows:
+            if r["kind"] == _SUMS:
+                yield _batch([tuple(r[n] for n in _NAMES)])
+        rows = [r for r in rows if r["kind"] != _SUMS]
+        if not rows:
+            continue
         opened = [unpack(r) for r in rows]
-        docs = np.concatenate([o[0] for o in opened])
-        first, second = (np.concatenate([o[1][k] for o in opened]) for k in range(2))
+        asked = np.repeat([r["kind"] == _PENDING for r in rows], [len(o[0]) for o in opened])
+        docs = np.concatenate([o[0].view(np.uint64) for o in opened])
+        columns = [np.concatenate(c) for c in zip(*(o[1] for o in opened))]
         del opened
-        _, pair, times = np.unique(mix(mix(first) + second), return_inverse=True, return_counts=True)
-        count = times[pair]
+        weight = np.where(asked, 1, docs.view(np.int64))
+        first, second = folded(columns[:-1]), columns[-1]
+        _, back = np.unique(mix(mix(first) + second), return_inverse=True)
+        count = np.bincount(back, weight)[back]
         place = common.place(first)
-        _, back, times = np.unique(first, return_inverse=True, return_counts=True)
-        context = np.where(place >= 0, common.context[place], times[back]) if len(common.word) else times[back]
-        kept = count >= least
-        own = common.place(second)
+        _, back = np.unique(first, return_inverse=True)
+        context = np.bincount(back, weight)[back]
+        if len(common.word):
+            context = np.where(place >= 0, common.context[place], context)
+        kept = asked & (count >= least)
         score = np.zeros(len(docs))
-        score[kept] = np.log(count[kept] / context[kept])
-        back_off = np.flatnonzero(~kept & (own >= 0))
-        score[back_off] = np.log(alpha * common.seen[own[back_off]] / total)
-        sums.add(docs, None, score)
-        rest = ~kept & (own < 0)
-        wait.append((docs[rest], second[rest]))
+        score[kept] = np.log(count[kept] / context[kept]) + skipped * math.log(alpha)
+        if below is None:
+            own = words.place(second)
+            back_off = np.flatnonzero(asked & ~kept & (own >= 0))
+            score[back_off] = np.log(words.seen[own[back_off]] / total) + (skipped + 1) * math.log(alpha)
+            sums.add(docs[asked], None, score[asked])
+            rest = asked & ~kept & (own < 0)
+            wait.append((docs[rest], [second[rest]]))
+        else:
+            sums.add(docs[kept], None, score[kept])
+            rest = asked & ~kept
+            wait.append((docs[rest], [c[rest] for c in columns[1:]]))
+            lower, weight = [c[~rest] for c in columns[1:]], weight[~rest]
+            if len(weight):
+                _, one, back = np.unique(mix(mix(folded(lower[:-1])) + lower[-1]), return_index=True, return_inverse=True)
+                lower = [c[one] for c in lower]
+                yield from scatter(below.of_pairs(folded(lower[:-1]), lower[-1]), np.bincount(back, weight).astype(np.int64), lower, True)
         waiting += int(rest.sum())
         if waiting >= _FLUSH:
             yield from flush()
@@ -230,7 +291,7 @@ def _count(batches: Iterator[pa.RecordBatch], common: Common, total: int, alpha:
     yield from known()
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], total: int, alpha: float) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], total: int, alpha: float, backed: int) -> Iterator[pa.RecordBatch]:
     """Join what backed off to the word counts of its bucket; hand sums on."""
     sums = _Sums()
 
@@ -251,21 +312,24 @@ def _resolve(batches: Iterator[pa.RecordBatch], total: int, alpha: float) -> Ite
                 sums.add(_summed(r["docs"]), _large(r["sizes"]), np.frombuffer(r["words"], np.float64))
             elif r["kind"] == _PENDING:
                 docs, (second,) = unpack(r)
-                sums.add(docs, np.zeros(len(docs)), np.log(alpha * seen[np.searchsorted(word, second)] / total))
+                sums.add(docs, np.zeros(len(docs)), np.log(seen[np.searchsorted(word, second)] / total) + backed * math.log(alpha))
         if sums.held >= _FLUSH:
             yield out()
     yield out()
 
 
-def score_documents(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int = HOT, per_bucket: int = PER_BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int = HOT, per_bucket: int = PER_BUCKET, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """(doc_id, copies, n_tokens, log_score, mean_log_score), a row per document.
 
     Words are runs of letters, digits and underscores in lower case. Rows equal
     in id and text are one row with ``copies`` of them, though all of them count
     in the corpus; ``n_tokens`` and ``log_score`` are of one copy. A text that is
     null, empty or without a word has no words and null scores. A null id stays
-    null; other columns are ignored; an empty table gives none.
+    null; other columns are ignored; an empty table gives none. ``order``, 2 or more,
+    is the words of the longest n-grams.
     """
+    if order < 2:
+        raise ValueError("order is 2 or more")
     key = F.xxhash64(col(id_col), col(text_col))
     texts = docs.filter(col(text_col).isNotNull())
     counts = written(texts.select(col(text_col).alias("text")).mapInArrow(_tally, "word long, seen long, context long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("context").alias("context")))
@@ -273,15 +337,37 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, h
     buckets = max(1, math.ceil(total / per_bucket))
     top = counts.orderBy(F.desc(F.greatest("seen", "context")), "word").limit(hot).toPandas()
     common = Common(top["word"].to_numpy(np.int64).view(np.uint64), top["seen"].to_numpy(np.int64), top["context"].to_numpy(np.int64), buckets)
+    often = max(1, per_bucket // 4)
+    heavy = np.sort(common.word[np.maximum(common.seen, common.context) >= often])
+
+    def contexts(k: int) -> Common:
+        """Contexts of k - 1 words that are too common for one bucket: all their words are."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text", _SLICE):
+                    columns = history(*words(part.column(0)), k)[0][:-1]
+                    whole = np.all([np.isin(c, heavy) for c in columns], axis=0)
+                    distinct, times = np.unique(folded([c[whole] for c in columns]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(times)], names=["context", "times"])
+
+        none = np.empty(0, np.int64)
+        if not len(heavy):
+            return Common(none.view(np.uint64), none, none, buckets)
+        found = texts.select(col(text_col).alias("text")).mapInArrow(count, "context long, times long").groupBy("context").agg(F.sum("times").alias("times")).filter(F.col("times") >= often).toPandas()
+        times = found["times"].to_numpy(np.int64)
+        return Common(found["context"].to_numpy(np.int64).view(np.uint64), times, times, buckets)
+
+    by_order = {2: common} | {k: contexts(k) for k in range(3, order + 1)}
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 hashes, rows = words(part.column(1))
-                before, row = chain(hashes, rows)
+                columns, row = history(hashes, rows, order)
                 keys = part.column(0).to_numpy().view(np.uint64)
-                order = np.argsort(keys[row], kind="stable")
-                yield from scatter(common.of_pairs(before, hashes)[order], keys[row[order]], [before[order], hashes[order]])
+                at = np.argsort(keys[row], kind="stable")
+                yield from scatter(by_order[order].of_pairs(folded(columns[:-1]), hashes)[at], keys[row[at]], [c[at] for c in columns])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,10 +381,15 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, h
             if rows:
                 yield _batch(rows)
 
-    pairs = texts.select(key.alias("key"), col(text_col).alias("text")).mapInArrow(explode, _PACKED)
-    counted = pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _count(batches, common, total, alpha, least), _PACKED)
+    def counted_at(k: int, rows: DataFrame) -> DataFrame:
+        below = by_order.get(k - 1)
+        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _count(batches, by_order[k], common, total, alpha, least, order - k, below), _PACKED)
+
+    counted = texts.select(key.alias("key"), col(text_col).alias("text")).mapInArrow(explode, _PACKED)
+    for k in range(order, 1, -1):
+        counted = counted_at(k, counted)
     words_by = counts.select("word", "seen").mapInArrow(listed, _PACKED)
-    sums = counted.unionByName(words_by).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _resolve(batches, total, alpha), "doc long, tokens long, score double")
+    sums = counted.unionByName(words_by).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _resolve(batches, total, alpha, order - 1), "doc long, tokens long, score double")
     sums = sums.groupBy("doc").agg(F.sum("tokens").alias("tokens"), F.sum("score").alias("score"))
     base = docs.groupBy(key.alias("doc"), col(id_col).alias("doc_id")).agg(F.count("*").alias("copies"))
     score = F.round(F.col("score") / F.col("copies"), 6)

@@ -87,6 +87,22 @@ def test_backoff_brute_force(spark, docs, hot):
     assert scoring.score_documents(docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(("order", "hot"), [(3, 3), (4, 0)])
+def test_backoff_of_higher_order(spark, docs, order, hot):
+    got = {r.doc_id: r for r in scoring.score_documents(docs, hot=hot, per_bucket=100, order=order).collect()}
+    texts = [(r.doc_id, re.findall(r"\w+", (r.text or "").lower())) for r in docs.collect()]
+    seen, context = Counter(), Counter()
+    grams = lambda t: [tuple(([None] * (order - 1) + t)[i : i + order]) for i in range(len(t))]
+    for _, t in texts:
+        for g in grams(t):
+            seen.update(g[k:] for k in range(order))
+            context.update(g[k:-1] for k in range(order))
+    share = lambda g: math.log(seen[g] / context[g[:-1]]) if len(g) == 1 or seen[g] >= 2 else math.log(0.4) + share(g[1:])
+    for k, t in texts:
+        assert got[k].n_tokens == len(t)
+        assert abs(got[k].log_score - sum(map(share, grams(t)))) < 1e-4 if t else got[k].log_score is None
+
+
 def test_urls(spark):
     same = ["http://WWW.a.com:80/p/?b=2&a=1&utm_source=x#f", "https://a.com/p?a=1&b=2", "//u@a.com/p/index.html?a=1&b=2&ref=z"]
     pages = spark.createDataFrame([*((k, u, True, 1) for k, u in enumerate(same)), (3, "https://a.com/q", False, 1), (4, None, False, 1), (5, "nothing", False, 1)], "page_id long, url string, listed boolean, u_row int")
