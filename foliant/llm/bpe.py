@@ -5,10 +5,12 @@ matches are a guess at its tokens. A token sequence is the true encoding exactly
 if every two neighbours would be kept apart by BPE, so all neighbouring pairs are
 checked at once by undoing merges from the cut outwards; only words with a pair
 that fails are merged exactly, rank by rank, many words in lockstep. Results are
-kept per worker, so a word is encoded about once.
+kept per worker by a hash of the word, within a bound, so a word is encoded about
+once. What comes out is decoded again and compared with the text, which also finds
+a hash that two words share; such a slice is encoded without what was kept.
 
-Map only: one scan, no shuffle. Texts are worked on in slices, and long ones in
-pieces cut where no token can reach across.
+Map only: one scan, no shuffle. Words are cut, hashed and looked up as arrays over
+a slice of texts, and long texts in pieces cut where no token can reach across.
 """
 
 from __future__ import annotations
@@ -18,25 +20,29 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from foliant.llm.frames import col
-from foliant.llm.text import mix, slices
+from foliant.llm.text import codepoints, kept, mix, slices, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SAFE = regex.compile(r"(?<=\S) (?=\p{L})")
+_SAFE = regex.compile(r"(?<=\S) (?=\p{L})|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}'])|(?<=\S)(?=\n)")
 _PIECE = 1 << 20
-_CACHED = 1_000_000
-_LOCKSTEP = 64
-#: Words gathered before they are looked up, and bytes of text at once.
-_CUT, _SLICE = 100_000, 1 << 20
+#: Words and ids that a worker keeps, some 16 MB.
+_WORDS, _IDS = 1 << 19, 1 << 21
+#: A word of more bytes isn't guessed at but merged at once, by a heap.
+_LONG = 1 << 10
+#: Words of about one length are merged in lockstep, longer ones one by one.
+_WIDTHS = (6, 8, 10, 13, 18, 28, 64)
+#: Bytes of text at once.
+_SLICE = 1 << 20
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.int64(1 << 40)
+_OTHER, _LETTER, _NUMBER, _WHITE, _SPACE = range(5)
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,36 +85,46 @@ class Bpe:
         codes = (self.left[256:] << 32) | self.right[256:]
         self._pairs = _Table(codes.astype(np.uint64), merged)
         self.merge_of = dict(zip(codes.tolist(), merged.tolist()))
+        self._bytes = np.full(1 << 16, _NONE)
+        plain = (self.left[256:] < 256) & (self.right[256:] < 256)
+        self._bytes[self.left[256:][plain] << 8 | self.right[256:][plain]] = merged[plain]
         data = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         lengths = np.array([len(t) for t in self.tokens])
         self.starts, self.lengths, self.bytes = np.cumsum(lengths) - lengths, lengths, data
         self.longest = int(lengths.max())
-        total, down = _prefix(data)
-        self._whole = _Table(_part(total, down, self.starts, lengths), np.arange(len(left)))
-        self.sizes = np.zeros(self.longest + 1, dtype=bool)
-        self.sizes[lengths] = True
-        self._known: dict[str, int] = {}
-        self._from, self._count, self._store, self._used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
+        total = _prefix(data)
+        self._whole = _Table(_part(total, self.starts, self.starts + lengths), np.arange(len(left)))
+        # which lengths tokens of the same first three bytes have, those of 63 and more as one
+        self._opening = np.zeros(1 << 16, dtype=np.uint64)
+        np.bitwise_or.at(self._opening, self._first(np.append(data, [0, 0]).astype(np.uint32), self.starts[lengths > 2]), np.uint64(1) << np.minimum(lengths[lengths > 2], 63).astype(np.uint64))
+        self.forget()
 
     # -- the three steps
 
-    def greedy(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, their words) of greedy longest match, in order of word and place."""
-        total, down = _prefix(data)
+    @staticmethod
+    def _first(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (data[at] * 40503 ^ data[at + 1] * 30011 ^ data[at + 2] * 257) & 0xFFFF
+
+    def greedy(self, data: np.ndarray, total: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, their words) of greedy longest match, in order of word and place.
+
+        total: the prefix hashes of the bytes that starts and stops refer to.
+        """
+        padded = np.append(data, [0, 0]).astype(np.uint32)
         at, word = starts.copy(), np.arange(len(starts))
         tokens, owners = [], []
         while len(word):
             found = np.full(len(word), -1, dtype=np.int64)
             room = np.minimum(stops[word] - at, self.longest)
+            may = self._opening[self._first(padded, at)]
             open_ = np.arange(len(word))
             for size in range(int(room.max()), 0, -1):
-                if not self.sizes[size]:
-                    continue
                 now = open_[room[open_] >= size]
+                if size > 2:
+                    now = now[may[now] >> np.uint64(min(size, 63)) & np.uint64(1) > 0]
                 if not len(now):
                     continue
-                hit = self._whole.find(_part(total, down, at[now], size))
-                found[now] = hit
+                found[now] = self._whole.find(_part(total, at[now], at[now] + size))
                 open_ = open_[found[open_] < 0]
                 if not len(open_):
                     break
@@ -144,49 +160,62 @@ class Bpe:
             at, a, b, limit = at[go], na[go], nb[go], limit[go]
         return out
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The exact encodings, by merging the pair of least rank again and again."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        short = [k for k, w in enumerate(words) if len(w) <= _LOCKSTEP]
-        for k, w in enumerate(words):
-            if len(w) > _LOCKSTEP:
-                out[k] = self._merge_long(w)
-        if short:
-            sizes = np.array([len(words[k]) for k in short])
-            width = int(sizes.max())
-            row = np.full((len(short), width + 1), -1, dtype=np.int64)
-            row[np.arange(width + 1)[None, :] < sizes[:, None]] = np.frombuffer(b"".join(words[k] for k in short), dtype=np.uint8)
-            alive = np.arange(len(short))
-            ranks = self._ranks(row)
-            while len(alive):
-                best = ranks[alive].argmin(axis=1)
-                alive_now = ranks[alive, best] < _NONE
-                alive, best = alive[alive_now], best[alive_now]
-                if not len(alive):
-                    break
-                columns = np.arange(width)[None, :]
-                part = row[alive]
-                part[np.arange(len(alive)), best] = ranks[alive, best]
-                moved = np.where(columns > best[:, None], part[:, 1:], part[:, :-1])
-                row[alive] = np.concatenate([moved, np.full((len(alive), 1), -1)], axis=1)
-                shifted = ranks[alive]
-                shifted = np.where(columns > best[:, None], np.concatenate([shifted[:, 1:], np.full((len(alive), 1), _NONE)], axis=1), shifted)
-                ranks[alive] = shifted
-                for near in (best - 1, best):
-                    ok = near >= 0
-                    r, c = alive[ok], near[ok]
-                    ranks[r, c] = self._pair_ranks(row[r, c], row[r, c + 1])
-            for k, r in zip(short, row):
-                out[k] = r[r >= 0]
-        return out
+    def merge(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, n + 1 offsets): exact, by merging the pair of least rank again and again."""
+        sizes = stops - starts
+        lots = [(np.flatnonzero((sizes > low) & (sizes <= high)), high) for low, high in zip((0, *_WIDTHS), _WIDTHS)]
+        made = [self._merge_rows(data, starts[lot], sizes[lot], high) for lot, high in lots]
+        rest = np.flatnonzero(sizes > _WIDTHS[-1])
+        long = [self._merge_long(data[starts[k] : stops[k]].tobytes()) for k in rest]
+        counts = np.zeros(len(starts), dtype=np.int64)
+        for (lot, _), (_, n) in zip(lots, made):
+            counts[lot] = n
+        counts[rest] = [len(x) for x in long]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(ends[-1], dtype=np.int64)
+        for (lot, _), (flat, n) in zip(lots, made):
+            out[np.repeat(ends[lot], n) + _counting(n)] = flat
+        for k, x in zip(rest, long):
+            out[ends[k] : ends[k + 1]] = x
+        return out, ends
+
+    def _merge_rows(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, how many by word) of words of at most ``width`` bytes, in lockstep."""
+        row = np.full((len(starts), width + 1), -1, dtype=np.int64)
+        inside = np.arange(width + 1)[None, :] < sizes[:, None]
+        row[inside] = data[np.repeat(starts, sizes) + _counting(sizes)]
+        both = inside[:, 1:]
+        ranks = np.full((len(starts), width), _NONE)
+        ranks[both] = self._bytes[row[:, :-1][both] << 8 | row[:, 1:][both]]
+        alive = np.arange(len(starts))
+        columns = np.arange(width)[None, :]
+        while len(alive):
+            now = ranks[alive]
+            best = now.argmin(axis=1)
+            least = now[np.arange(len(alive)), best]
+            go = least < _NONE
+            alive, best, now, least = alive[go], best[go], now[go], least[go]
+            if not len(alive):
+                break
+            part = row[alive]
+            part[np.arange(len(alive)), best] = least
+            after = columns > best[:, None]
+            row[alive, :-1] = np.where(after, part[:, 1:], part[:, :-1])
+            row[alive, -1] = -1
+            now[:, :-1] = np.where(after[:, :-1], now[:, 1:], now[:, :-1])
+            now[:, -1] = np.where(after[:, -1], _NONE, now[:, -1])
+            ranks[alive] = now
+            for near in (best - 1, best):
+                ok = near >= 0
+                r, c = alive[ok], near[ok]
+                ranks[r, c] = self._pair_ranks(row[r, c], row[r, c + 1])
+        held = row >= 0
+        return row[held], held.sum(axis=1)
 
     def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         found = self._pairs.find(((a << 32) | (b & 0xFFFFFFFF)).astype(np.uint64))
         return np.where((found >= 0) & (a >= 0) & (b >= 0), found, _NONE)
 
-    def _ranks(self, row: np.ndarray) -> np.ndarray:
-        return self._pair_ranks(row[:, :-1].ravel(), row[:, 1:].ravel()).reshape(len(row), -1)
-
     def _merge_long(self, word: bytes) -> np.ndarray:
         token: list[int] = list(word)
         after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
@@ -211,83 +240,113 @@ class Bpe:
 
     # -- words and texts
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, n + 1 offsets) of distinct words."""
-        raw = [w.encode() for w in words]
-        sizes = np.array([len(w) for w in raw], dtype=np.int64)
-        stops = np.cumsum(sizes)
-        tokens, owner = self.greedy(np.frombuffer(b"".join(raw), dtype=np.uint8), stops - sizes, stops)
+    def words(self, data: np.ndarray, total: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, n + 1 offsets) of words in the bytes ``data``."""
+        usual = np.flatnonzero(stops - starts <= _LONG)
+        tokens, owner = self.greedy(data, total, starts[usual], stops[usual])
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         code, back = np.unique(tokens[inside] << 32 | tokens[inside + 1], return_inverse=True)
         good = self.apart(code >> 32, code & 0xFFFFFFFF)[back]
-        failing = np.unique(owner[inside[~good]])
-        counts = np.bincount(owner, minlength=len(words))
-        if len(failing):
-            exact = self.merge([raw[k] for k in failing])
-            keep = np.ones(len(words), dtype=bool)
-            keep[failing] = False
-            counts[failing] = [len(e) for e in exact]
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            out = np.empty(ends[-1], dtype=np.int64)
-            put = np.ones(ends[-1], dtype=bool)
-            spans = np.repeat(ends[failing], counts[failing]) + _counting(counts[failing])
-            put[spans] = False
-            out[spans] = np.concatenate(exact)
-            out[put] = tokens[keep[owner]]
-            return out, ends
-        return tokens, np.concatenate([[0], np.cumsum(counts)])
-
-    def _places(self, distinct: list[str]) -> np.ndarray:
-        """Where the distinct words are in the store; new ones are encoded."""
-        known = self._known
-        if len(known) > _CACHED:
-            known.clear()
-            self._used = 0
-        new = [w for w in distinct if w not in known]
-        if new:
-            tokens, ends = self.words(new)
-            n, used = len(known), self._used
-            while n + len(new) > len(self._from):
-                self._from, self._count = np.resize(self._from, 2 * len(self._from)), np.resize(self._count, 2 * len(self._count))
-            while used + len(tokens) > len(self._store):
-                self._store = np.resize(self._store, 2 * len(self._store))
-            self._store[used : used + len(tokens)] = self.ids[tokens]
-            self._from[n : n + len(new)] = ends[:-1] + used
-            self._count[n : n + len(new)] = np.diff(ends)
-            self._used += len(tokens)
-            known.update(zip(new, range(n, n + len(new))))
-        return np.fromiter((known[w] for w in distinct), dtype=np.int64, count=len(distinct))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, n + 1 offsets); None counts as empty."""
-        found: list[np.ndarray] = []
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        cut: list[str] = []
-        owner: list[tuple[int, int]] = []
-
-        def flush() -> None:
-            if not cut:
-                return
-            codes, distinct = pd.factorize(np.array(cut, dtype=object))
-            place = self._places(list(distinct))[codes]
-            counts = self._count[place]
-            found.append(self._store[np.repeat(self._from[place], counts) + _counting(counts)])
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            low = 0
-            for row, high in owner:
-                sizes[row] += ends[high] - ends[low]
-                low = high
-            cut.clear()
-            owner.clear()
-
-        for row, text in enumerate(texts):
-            for piece in pieces(text or ""):
-                cut.extend(PATTERN.findall(piece))
-                owner.append((row, len(cut)))
-                if len(cut) > _CUT:
-                    flush()
-        flush()
-        return np.concatenate(found) if found else np.empty(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
+        rest = np.ones(len(starts), dtype=bool)
+        rest[usual] = False
+        rest[usual[owner[inside[~good]]]] = True
+        failing = np.flatnonzero(rest)
+        counts = np.zeros(len(starts), dtype=np.int64)
+        counts[usual] = np.bincount(owner, minlength=len(usual))
+        if not len(failing):
+            return tokens, np.concatenate([[0], np.cumsum(counts)])
+        exact, edges = self.merge(data, starts[failing], stops[failing])
+        counts[failing] = np.diff(edges)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(ends[-1], dtype=np.int64)
+        put = np.ones(ends[-1], dtype=bool)
+        spans = np.repeat(ends[failing], counts[failing]) + _counting(counts[failing])
+        put[spans] = False
+        out[spans] = exact
+        out[put] = tokens[~rest[usual][owner]]
+        return out, ends
+
+    def forget(self) -> None:
+        """Drop the words that are kept."""
+        self._kept = _Table(np.empty(0, np.uint64), np.empty(0, np.int64), bits=12)
+        self._from, self._count, self._store = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _places(self, data: np.ndarray, total: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Where the words are among those kept; new ones are encoded."""
+        hashes = _part(total, starts, stops)
+        place = self._kept.find(hashes)
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place
+        _, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+        if len(self._from) and (len(self._from) + len(first) > _WORDS or len(self._store) > _IDS):
+            self.forget()
+            return self._places(data, total, starts, stops)
+        one = new[first]
+        tokens, ends = self.words(data, total, starts[one], stops[one])
+        n = len(self._from)
+        self._from = np.concatenate([self._from, (ends[:-1] + len(self._store)).astype(np.int32)])
+        self._count = np.concatenate([self._count, np.diff(ends).astype(np.int32)])
+        self._store = np.concatenate([self._store, self.ids[tokens]])
+        self._kept = self._kept.with_more(hashes[one], np.arange(n, n + len(one)))
+        place[new] = n + back
+        return place
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, _ = utf8(texts)
+        points, ends = codepoints(texts)
+        firsts = np.flatnonzero(word_starts(points, ends))
+        if len(points) == len(data):
+            starts = firsts
+        else:
+            width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+            starts = (np.cumsum(width) - width)[firsts]
+        stops = np.append(starts[1:], len(data))[: len(starts)]
+        place = self._places(data, _prefix(data), starts, stops)
+        counts = self._count[place].astype(np.int64)
+        ids = self._store[np.repeat(self._from[place], counts) + _counting(counts)]
+        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(firsts, ends)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, n + 1 offsets); null counts as empty."""
+        found, sizes = [np.empty(0, np.int32)], []
+        data, edges = utf8(texts)
+        low = 0
+        # runs of texts, or one long text in pieces
+        cuts = np.flatnonzero(np.diff(edges) > _PIECE).tolist()
+        for row in [*cuts, len(texts)]:
+            lots = [(texts.slice(low, row - low), False)] if row > low else []
+            if row < len(texts):
+                lots.append((pa.array(pieces(texts[row].as_py()), pa.large_string()), True))
+            for lot, whole in lots:
+                each = [(lot.slice(k, 1), 1) for k in range(len(lot))] if whole else [(lot, len(lot))]
+                so_far = 0
+                for part, _ in each:
+                    ids, ends = self._encode(part)
+                    if self.decode(ids) != utf8(part)[0].tobytes():
+                        self.forget()  # two words with one hash: by themselves they don't meet
+                        ids, ends = self._apart(part)
+                    found.append(ids)
+                    if whole:
+                        so_far += len(ids)
+                    else:
+                        sizes.append(np.diff(ends))
+                if whole:
+                    sizes.append(np.array([so_far]))
+            low = row + 1
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else np.empty(0, np.int64))])
+
+    def _apart(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, each word by itself and nothing kept."""
+        out, sizes = [np.empty(0, np.int32)], []
+        for text in texts.to_pylist():
+            before = sum(map(len, out))
+            for word in PATTERN.findall(text or ""):
+                data = np.frombuffer(word.encode(), dtype=np.uint8)
+                tokens, _ = self.words(data, _prefix(data), np.zeros(1, np.int64), np.array([len(data)]))
+                out.append(self.ids[tokens])
+            sizes.append(sum(map(len, out)) - before)
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         rank = self.rank_of_id[ids]
@@ -295,6 +354,54 @@ class Bpe:
         return self.bytes[np.repeat(self.starts[rank], counts) + _counting(counts)].tobytes()
 
 
+def classes() -> np.ndarray:
+    """Code point -> letter, number, white space, the plain space, or other."""
+
+    def make() -> np.ndarray:
+        every = "".join(map(chr, range(0x110000)))
+        out = np.zeros(0x110000, dtype=np.uint8)
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                out[m.start() : m.end()] = kind
+        out[0x20] = _SPACE
+        return out
+
+    return kept("classes", make)
+
+
+def word_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where PATTERN's matches begin, for texts in a row with n + 1 offsets."""
+    n = len(points)
+    kind = classes()[points]
+    space = kind == _SPACE
+    np.minimum(kind, _WHITE, out=kind)
+    out = np.empty(n, dtype=bool)
+    if not n:
+        return out
+    np.not_equal(kind[1:], kind[:-1], out=out[1:])
+    inner = ends[:-1][ends[:-1] < n]
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[inner] = begins[n] = True
+    out[inner] = True
+    # the last of a run of white space stands alone, or before what follows if it is a space
+    white = kind == _WHITE
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~begins[1:n])
+    out[last] = True
+    out[last + 1] = ~space[last]
+    # contractions: an apostrophe that nothing is before in its word
+    quote = np.flatnonzero((points == 39) & out)
+    if len(quote):
+        padded = np.append(points, [0, 0, 0]).astype(np.uint32)
+        one, two = padded[quote + 1], padded[quote + 2]
+        near = np.minimum(quote + 1, n), np.minimum(quote + 2, n)
+        single = np.isin(one, [ord(c) for c in "sdmt"]) & ~begins[near[0]]
+        pair = ((one == 108) & (two == 108) | (one == 118) & (two == 101) | (one == 114) & (two == 101)) & ~begins[near[0]] & ~begins[near[1]]
+        out[quote[single | pair] + 1] = False
+        after = np.concatenate([quote[single] + 2, quote[pair] + 3])
+        out[after[after < n]] = True
+    return out
+
+
 def _counting(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... again for each count."""
     ends = np.cumsum(counts)
@@ -313,27 +420,51 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(len(data) + 1, _BASE), np.full(len(data) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)))
-    up[0] = down[0] = 1
-    np.cumprod(up, out=up)
-    np.cumprod(down, out=down)
+_powers: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _prefix(data: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all prefixes, modulo 2^64."""
+    global _powers
+    if _powers is None or len(_powers[0]) <= len(data):
+        n = max(len(data) + 1, _SLICE + 4096)
+        up, down = np.full(n, _BASE), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+        up[0] = down[0] = 1
+        _powers = np.cumprod(up), np.cumprod(down)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return total, down
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _powers[0][: len(data)]
+    np.cumsum(terms, out=total[1:])
+    return total
 
 
-def _part(total: np.ndarray, down: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    return mix((total[at + size] - total[at]) * down[at])
+def _part(total: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    return mix((total[stops] - total[starts]) * _powers[1][starts])
 
 
 class _Table:
     """Keys to numbers, by open addressing that probes all keys at once."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(len(keys) * 4).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 4) -> None:
+        self.bits = max(bits, int(len(keys) * 4).bit_length())
         size = 1 << self.bits
-        self.keys, self.values = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int64)
+        self.held = 0
+        self.keys, self.values = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
+        self.put(keys, values)
+
+    def with_more(self, keys: np.ndarray, values: np.ndarray) -> _Table:
+        """This table or a larger one, with keys that it doesn't have yet."""
+        if 2 * (self.held + len(keys)) <= len(self.keys):
+            self.put(keys, values)
+            return self
+        full = self.values >= 0
+        return _Table(np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], values]), self.bits + 1)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that aren't there."""
+        size = len(self.keys)
+        self.held += len(keys)
         left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = self.values[slot] < 0
@@ -350,8 +481,9 @@ class _Table:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, -1 where there is none."""
         slot = self._slot(keys)
-        out = np.where(self.keys[slot] == keys, self.values[slot], -1)
-        open_ = np.flatnonzero((out < 0) & (self.values[slot] >= 0))
+        held = self.values[slot].astype(np.int64)
+        out = np.where(self.keys[slot] == keys, held, -1)
+        open_ = np.flatnonzero((out < 0) & (held >= 0))
         at = slot[open_]
         while len(open_):
             at = (at + 1) & (len(self.keys) - 1)
@@ -363,14 +495,9 @@ class _Table:
         return out
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def vocabulary(path: str) -> Bpe:
     """The vocabulary of this worker, loaded once."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return kept("vocabulary", lambda: Bpe(path), path)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,7 +517,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
             for part in slices(batch, "text", _SLICE):
                 texts = part.column(1)
                 none = texts.is_null().to_numpy(zero_copy_only=False)
-                ids, ends = bpe.encode(texts.to_pylist())
+                ids, ends = bpe.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=pa.array(none))
                 exact = _round_trip(bpe, texts, ids, ends)
                 counts = pa.array(np.diff(ends), mask=none)
@@ -401,11 +528,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
 
 
 def _round_trip(bpe: Bpe, texts: pa.Array, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    whole = "".join(t or "" for t in texts.to_pylist()).encode()
-    if bpe.decode(ids) == whole:
-        sizes = np.concatenate([[0], np.cumsum(bpe.lengths[bpe.rank_of_id[ids]])])[ends]
-        return np.diff(sizes) == np.array([len((t or "").encode()) for t in texts.to_pylist()])
-    return np.array([bpe.decode(ids[ends[k] : ends[k + 1]]) == (t or "").encode() for k, t in enumerate(texts.to_pylist())])
+    data, edges = utf8(texts)
+    back = np.frombuffer(bpe.decode(ids), dtype=np.uint8)
+    made = np.concatenate([[0], np.cumsum(bpe.lengths[bpe.rank_of_id[ids]])])[ends]
+    if len(back) == len(data) and (back == data).all():
+        return np.diff(made) == np.diff(edges)
+    return np.array([np.array_equal(back[made[k] : made[k + 1]], data[edges[k] : edges[k + 1]]) for k in range(len(texts))], dtype=bool)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -94,7 +94,7 @@ def _recipes(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) ->
         for part in slices(batch, "text"):
             texts = part.column(1)
             none = texts.is_null().to_numpy(zero_copy_only=False)
-            ids, ends = bpe.encode(texts.to_pylist())
+            ids, ends = bpe.encode(texts)
             stops = cut(ids, ends)
             data = ids.astype(width).tobytes()
             item = np.dtype(width).itemsize

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ _TILE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _fold: np.ndarray | None = None
+_kept: dict[str, tuple[Hashable, Any]] = {}
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -36,6 +38,20 @@ def fold_table() -> np.ndarray:
     return _fold
 
 
+#: Models of which a worker keeps one at a time: stages follow each other in it.
+_LARGE = ("vocabulary", "automata")
+
+
+def kept(kind: str, make: Callable[[], Any], key: Hashable = None) -> Any:
+    """What a worker made before under this key, or make() now; a large model
+    takes the place of the other kinds."""
+    if kind not in _kept or _kept[kind][0] != key:
+        for k in _LARGE if kind in _LARGE else (kind,):
+            _kept.pop(k, None)
+        _kept[kind] = (key, make())
+    return _kept[kind][1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64); x is left as it is."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -62,17 +78,28 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of all rows in a row, n + 1 offsets); null counts as empty."""
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all rows in a row, n + 1 offsets); null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
+    if not n:
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     data = texts.buffers()[2]
-    raw = memoryview(data)[int(offsets[0]) : int(offsets[-1])] if data is not None and n else b""
-    points = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), dtype=np.uint32)
-    ends = np.zeros(n + 1, dtype=np.int64)
-    np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), out=ends[1:])
-    return points, ends
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
+def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all rows in a row, n + 1 offsets); null counts as empty."""
+    data, edges = utf8(texts)
+    points = np.frombuffer(str(memoryview(data), "utf-8").encode("utf-32-le"), dtype=np.uint32)
+    if len(points) == len(data):
+        return points, edges
+    # a code point begins at each byte that doesn't continue one
+    before = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    return points, before[edges]
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
