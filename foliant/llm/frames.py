@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: dict[str, list[str]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,20 +49,49 @@ def shared_dir(spark: SparkSession) -> str:
 
         base = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """Write df as Parquet; its shuffle files go as soon as it is written, as
+    nothing else reads them."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    write(df, path, compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def removed(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that written() made, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
     for frame in frames:
-        for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that the operators wrote in this application.
+
+    A result is lazy and reads some of them: save it first.
+    """
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)

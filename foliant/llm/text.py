@@ -63,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text each, one row at least."""
     n = batch.num_rows
     if not n:
