@@ -4,8 +4,9 @@ For each language a suffix automaton holds every substring of a bounded amount
 of labelled text. A text is parsed against it greedily into longest matches; the
 fewer phrases per letter it takes, the lower its cross-entropy with that
 language, and the language that needs fewest wins. A text that needs more than
-``reject`` phrases a letter in every language, beyond the first ``SLACK``, has
-none: it is in another language or in none.
+``reject`` phrases a letter in the best language has none: it is in another
+language or in none. Its last phrase, which the text's end cuts off, doesn't count
+for that.
 
 Samples differ in size, and a longer one gives longer matches: a language's rates
 are compared in proportion to the logarithm of its sample's letters, by which
@@ -13,7 +14,10 @@ phrases grow. Languages with next to no sample are left out, see ``LEAST_LETTERS
 
 The automata are small and travel with the task. Texts are cut into blocks that
 are parsed in lockstep, one gather per letter and language for thousands of
-blocks at once. Map only: one scan, no shuffle.
+blocks at once. Each block is first parsed as if a phrase began with it; then the
+state that the block before ended in is carried into it until both parses are in
+one state, after which they agree. So the phrases are those of the whole text.
+Map only: one scan, no shuffle.
 """
 
 from __future__ import annotations
@@ -27,25 +31,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.frames import col, without
-from foliant.llm.text import codepoints, fold_table, slices
+from foliant.llm.frames import col, fresh, without
+from foliant.llm.text import codepoints, fold_table, kept, slices
 
 #: The labelled sample: rows drawn at a time and letters kept, per language.
 SAMPLE_ROWS, SAMPLE_LETTERS = 64, 24_000
 #: A language with fewer letters than this is left out, as its texts can't be told
 #: from others; where no language has four times as many, a quarter of the largest.
 LEAST_LETTERS = 500
-#: Phrases never reach across the edge of a block.
+#: Letters that are parsed at once; without any effect on the result.
 BLOCK = 512
-REJECT, SLACK = 0.42, 6
-_ALPHABET = 128
-_SPACE, _REST = 1, 2
-_PAD = 0
+REJECT = 0.42
+_PAD, _SPACE, _UNKNOWN = 0, 1, 2
+#: Letters that have a class each; rarer ones are spelled in so many digits of this base.
+_SINGLE, _RADIX, _DIGITS = 92, 32, 4
 
 
 def alphabet(texts: list[str]) -> np.ndarray:
-    """Code point -> class: the sample's commonest letters, one each; a space for
-    digits and all that is no letter; the rest together."""
+    """Code point -> class: the samples' commonest letters, one each; a space for
+    digits and all that is no letter; letters that no sample has together, as none
+    can match them. The samples' other letters are to be spelled: -1."""
     fold = fold_table()
     numeric = np.zeros(0x110000, dtype=bool)
     numeric[[k for k in np.flatnonzero(fold) if not chr(int(k)).isalpha()]] = True
@@ -54,28 +59,45 @@ def alphabet(texts: list[str]) -> np.ndarray:
         points = fold[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
         for c, n in zip(*np.unique(points[(points != 0) & ~numeric[points]], return_counts=True)):
             counts[int(c)] = counts.get(int(c), 0) + int(n)
-    own = np.full(0x110000, _REST, dtype=np.uint8)
-    for k, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[: _ALPHABET - 3]):
-        own[c] = k + 3
+    own = np.full(0x110000, _UNKNOWN, dtype=np.int16)
+    ranked = sorted(counts, key=lambda c: (-counts[c], c))
+    for k, c in enumerate(ranked):
+        own[c] = k + 3 if k < _SINGLE else -1
     out = own[fold]
     out[(fold == 0) | numeric] = _SPACE
     return out
 
 
 def squeeze(classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of what is no letter become one space; offsets follow."""
+    """(the places that stay, their offsets): runs of what is no letter become one
+    space, and none is at the start of a text."""
     keep = classes != _SPACE
     keep[1:] |= classes[:-1] != _SPACE
     inner = ends[:-1][ends[:-1] < len(classes)]
-    keep[inner] = classes[inner] != _SPACE  # none at the start of a text
+    keep[inner] = classes[inner] != _SPACE
     total = np.concatenate([[0], np.cumsum(keep)])
-    return classes[keep], total[ends]
+    return np.flatnonzero(keep), total[ends]
 
 
-def automaton(letters: np.ndarray) -> np.ndarray:
-    """Suffix automaton of a text, as a table: row + class -> next row | miss.
+def spelled(classes: np.ndarray, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, offsets): a symbol for each class, ``_DIGITS`` for a letter that has none."""
+    rare = np.flatnonzero(classes < 0)
+    if not len(rare):
+        return classes.astype(np.uint8), ends
+    wide = np.ones(len(classes), dtype=np.int64)
+    wide[rare] = _DIGITS
+    starts = np.cumsum(wide) - wide
+    out = np.repeat(np.maximum(classes, 0), wide).astype(np.uint8)
+    letters = fold_table()[points[rare]]
+    for d in range(_DIGITS):
+        out[starts[rare] + d] = 3 + _SINGLE + (letters // _RADIX**d) % _RADIX
+    return out, np.append(starts, len(out))[ends]
 
-    Row numbers are multiples of the alphabet's size; the low bit says that the
+
+def automaton(letters: np.ndarray, width: int) -> np.ndarray:
+    """Suffix automaton of a text, as a table: row + symbol -> next row | miss.
+
+    Row numbers are multiples of ``width``, a power of two; the low bit says that the
     match ended and a new phrase began with this letter. Padding never ends one.
     """
     follow: list[dict[int, int]] = [{}]
@@ -103,70 +125,104 @@ def automaton(letters: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = clone
         last = now
-    # state 0 is the start; one more stands after a letter that never occurs
+    # state 0 is the start; one more stands before a text and after a letter that
+    # never occurs: whatever comes there begins a phrase
     lost = len(follow)
-    first = np.full(_ALPHABET, lost, dtype=np.int32)
+    first = np.full(width, lost, dtype=np.int32)
     for c, s in follow[0].items():
         first[c] = s
-    table = np.tile(first * _ALPHABET | 1, (lost + 1, 1))
+    table = np.tile(first * width | 1, (lost + 1, 1))
     for s in range(1, lost):
         for c, to in follow[s].items():
-            table[s, c] = to * _ALPHABET
-    table[:, _PAD] = np.arange(lost + 1) * _ALPHABET
+            table[s, c] = to * width
+    table[:, _PAD] = np.arange(lost + 1) * width
     return table.ravel()
 
 
+def phrases(columns: np.ndarray, first: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
+    """How many phrases begin in each block.
+
+    columns: step x block, padded; first: whether a block begins a text. Blocks of
+    a text follow each other.
+    """
+    steps, n = columns.shape
+    lost = np.int32(len(table) - width)
+    alone = np.empty((steps, n), dtype=np.int32)  # states of blocks parsed by themselves
+    row, begun = np.full(n, lost), np.zeros(n, dtype=np.int32)
+    for k in range(steps):
+        np.take(table, row | columns[k], out=alone[k], mode="clip")  # row numbers leave the low bits free
+        begun += alone[k] & 1
+        row = alone[k] & ~1
+    by_itself, ended, entered = begun.copy(), row, np.full(n, lost)
+    inner = np.flatnonzero(~first)
+    while True:
+        again = inner[entered[inner] != ended[inner - 1]]
+        if not len(again):
+            return begun
+        # from the state in which the block before ended until both parses are in one state
+        row = entered[again] = ended[again - 1]
+        ended[again] = alone[-1, again] & ~1
+        change, open_ = np.zeros(len(again), dtype=np.int32), np.arange(len(again))
+        for k in range(steps):
+            at = again[open_]
+            row, usual = table.take(row | columns[k, at]), alone[k, at]
+            change[open_] += (row & 1) - (usual & 1)
+            apart = (row ^ usual) > 1
+            open_, row = open_[apart], row[apart] & ~1
+            if not len(open_):
+                break
+        ended[again[open_]] = row
+        begun[again] = by_itself[again] + change
+
+
 class Model:
     """The automata of all languages; built once per worker from the sample."""
 
     def __init__(self, sample: list[tuple[str, list[str]]], letters: int = SAMPLE_LETTERS) -> None:
         self.classes = alphabet([t for _, texts in sample for t in texts])
-        encoded = []
+        encoded, sizes = [], []
         for _, texts in sample:
-            points, ends = codepoints(pa.array(texts, pa.large_string()))
-            encoded.append(squeeze(self.classes[points], ends)[0][:letters])
-        longest = max((len(e) for e in encoded), default=0)
+            symbols, ends, n = self._symbols(pa.array(texts, pa.large_string()))
+            sizes.append(min(letters, int(n.sum())))
+            # as many symbols as the first ``letters`` letters have
+            encoded.append(symbols[: int(letters * max(1.0, len(symbols) / max(1, n.sum())))])
+        longest = max(sizes, default=0)
         least = max(1, min(LEAST_LETTERS, longest // 4))
-        kept = [k for k, e in enumerate(encoded) if len(e) >= least]
-        self.languages = [sample[k][0] for k in kept]
-        self.tables = [automaton(encoded[k]) for k in kept]
+        chosen = [k for k, n in enumerate(sizes) if n >= least]
+        self.languages = [sample[k][0] for k in chosen]
+        top = max([_UNKNOWN, *(int(encoded[k].max()) for k in chosen)])
+        self.width = 1 << int(top).bit_length()
+        self.tables = [automaton(encoded[k], self.width) for k in chosen]
         # the language with more text matches longer
-        self.weights = np.array([math.log(len(encoded[k]) + 1) / math.log(longest + 1) for k in kept])
+        self.weights = np.array([math.log(sizes[k] + 1) / math.log(longest + 1) for k in chosen])
 
-    def rates(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases per letter by row and language, letters by row)."""
+    def _symbols(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, n + 1 offsets, letters by row)."""
         points, ends = codepoints(texts)
-        letters, ends = squeeze(self.classes[points], ends)
+        stay, ends = squeeze(self.classes[points], ends)
+        symbols, at = spelled(self.classes[points[stay]], points[stay], ends)
+        return symbols, at, np.diff(ends)
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases by row and language, letters by row)."""
+        symbols, ends, letters = self._symbols(texts)
+        # a symbol that no sample has is like any other such one
+        symbols = np.where(symbols < self.width, symbols, _UNKNOWN).astype(np.uint8)
         sizes = np.diff(ends)
         blocks = -(-sizes // BLOCK)
         edges = np.concatenate([[0], np.cumsum(blocks)])
-        # place of each letter in the blocks laid side by side
+        # place of each symbol in the blocks laid side by side
         lanes = np.zeros(edges[-1] * BLOCK, dtype=np.uint8)
-        lanes[np.arange(len(letters)) + np.repeat(edges[:-1] * BLOCK - ends[:-1], sizes)] = letters
+        lanes[np.arange(len(symbols)) + np.repeat(edges[:-1] * BLOCK - ends[:-1], sizes)] = symbols
         columns = np.ascontiguousarray(lanes.reshape(-1, BLOCK).T)
-        out = np.zeros((len(sizes), len(self.tables)))
+        out = np.zeros((len(sizes), len(self.tables)), dtype=np.int64)
         some = np.flatnonzero(blocks)
-        for k, table in enumerate(self.tables):
-            row = np.zeros(edges[-1], dtype=np.int32)
-            phrases = np.zeros(edges[-1], dtype=np.int32)
-            for step in columns:
-                row |= step  # row numbers leave the low bits free
-                row = table.take(row)
-                phrases += row & 1
-                row &= ~1
-            if len(some):
-                out[some, k] = np.add.reduceat(phrases, edges[some]) / sizes[some]
-        return out, sizes
-
-
-_models: dict[int, Model] = {}
-
-
-def _model(key: int, sample: list[tuple[str, list[str]]]) -> Model:
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(sample)
-    return _models[key]
+        first = np.zeros(edges[-1], dtype=bool)
+        first[edges[some]] = True
+        if len(some):
+            for k, table in enumerate(self.tables):
+                out[some, k] = np.add.reduceat(phrases(columns, first, table, self.width), edges[some])
+        return out, letters
 
 
 def labelled(docs: DataFrame, rows: int = SAMPLE_ROWS, letters: int = SAMPLE_LETTERS, lang_col: str = "lang", text_col: str = "text") -> list[tuple[str, list[str]]]:
@@ -205,47 +261,56 @@ def labelled(docs: DataFrame, rows: int = SAMPLE_ROWS, letters: int = SAMPLE_LET
     return [(language, [t for _, t in sorted(by[language].items())]) for language in sorted(by)]
 
 
-def identify(docs: DataFrame, train: DataFrame | None = None, reject: float = REJECT, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] | None = None) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame | None = None, reject: float = REJECT, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] | None = None, found: tuple[str, str] = ("predicted", "rate")) -> DataFrame:
     """docs with ``predicted`` (null: rejected) and ``rate``, phrases per letter.
 
     ``train`` has the labelled rows, docs itself if it is not given; ``keep``
-    names the columns of docs that the result has, all if it is not given. Text
-    that is null, empty or without a letter is rejected with a null rate, and so
-    is every text if no row is labelled. Of equal languages the first by name
-    wins. Repeated rows give equal results. A column of docs that is named like a
-    new one gives way to it. Labels whose sample is below ``LEAST_LETTERS`` are
-    never predicted, and change nothing for the others.
+    names the columns of docs that the result has, all if it is not given; ``found``
+    are the new columns' names. Text that is null, empty or without a letter is
+    rejected with a null rate, and so is every text if no row is labelled. Of equal
+    languages the first by name wins. Repeated rows give equal results, long texts
+    are parsed whole, an empty table gives none. A column of docs that is named
+    like a new one gives way to it. Labels whose sample is below ``LEAST_LETTERS``
+    are never predicted, and change nothing for the others.
     """
     sample = labelled(docs if train is None else train, lang_col=lang_col, text_col=text_col)
+    source = docs.select(*[col(c) for c in (keep or docs.columns)])
+    source = without(source, found)
+    n = len(source.columns)
+    shown = [k for k, c in enumerate(source.columns) if c.lower() == text_col.lower()]
+    out = T.StructType([*source.schema.fields, T.StructField(found[0], T.StringType()), T.StructField(found[1], T.DoubleType())])
+    if not shown:
+        source = without(docs, found).select(*[col(c) for c in source.columns], col(text_col)) if text_col.lower() not in map(str.lower, found) else docs.select(*[col(c) for c in source.columns], col(text_col))
+    at = shown[0] if shown else n
     key = hash(str(sample))
-    kept = docs.select(*[col(c) for c in (keep or docs.columns)])
-    kept = without(kept, ["predicted", "rate"])
-    n = len(kept.columns)
-    source = kept.withColumn("predicted", col(text_col)) if text_col in kept.columns else docs.select(*[col(c) for c in kept.columns], col(text_col).alias("predicted"))
-    out = T.StructType([*kept.schema.fields, T.StructField("predicted", T.StringType()), T.StructField("rate", T.DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(key, sample)
+        model = kept("automata", lambda: Model(sample), key)
         names = np.array([*model.languages, None], dtype=object)
         for batch in batches:
-            for part in slices(batch, batch.schema.names[n]):
-                rates, sizes = model.rates(part.column(n))
+            for part in slices(batch, at):
+                counts, sizes = model.counts(part.column(at))
                 if model.languages:
-                    best = (rates * model.weights).argmin(axis=1)
-                    rate = rates[np.arange(len(best)), best]
+                    best = (counts * model.weights).argmin(axis=1)
+                    count = counts[np.arange(len(best)), best]
                 else:
-                    best, rate = np.zeros(len(sizes), dtype=int), np.zeros(len(sizes))
+                    best = count = np.zeros(len(sizes), dtype=int)
                 known = (sizes > 0) & bool(model.languages)
-                fits = rate * sizes - SLACK <= reject * sizes
+                # the last phrase is cut off by the text's end
+                fits = count - 1 <= reject * sizes
                 choice = np.where(known & fits, best, len(model.languages))
-                fields = [*(part.schema.field(k) for k in range(n)), pa.field("predicted", pa.string()), pa.field("rate", pa.float64())]
+                fields = [*(part.schema.field(k) for k in range(n)), pa.field(found[0], pa.string()), pa.field(found[1], pa.float64())]
+                rate = count / np.maximum(sizes, 1)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(names[choice].tolist(), pa.string()), pa.array(rate, mask=~known)], schema=pa.schema(fields))
 
     return source.mapInArrow(rows, out)
 
 
 def keep_identified(docs: DataFrame, lang_col: str = "lang", **how: object) -> DataFrame:
-    """docs without the rejected ones; the language found replaces the label."""
-    found = identify(docs, lang_col=lang_col, **how).filter("predicted is not null")
-    swap = [F.col("predicted").alias(c) if c == lang_col else col(c) for c in docs.columns if c.lower() not in ("predicted", "rate")]
-    return found.select(*swap)
+    """docs without the rejected ones; the language found replaces the label.
+
+    All columns stay as they are named, whatever their names.
+    """
+    names = fresh(docs, "predicted", "rate")
+    found = identify(docs, lang_col=lang_col, found=(names[0], names[1]), **how).filter(col(names[0]).isNotNull())
+    return found.select(*[col(names[0]).alias(c) if c.lower() == lang_col.lower() else col(c) for c in docs.columns])
