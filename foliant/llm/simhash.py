@@ -1,12 +1,14 @@
 """SimHash near-duplicate groups, found by random bit sampling.
 
 Each text gets 256 bits: bit by bit the majority over its distinct words'
-hashes. Equal fingerprints collapse first, exactly. Then each of ``tables``
-tables groups the distinct fingerprints by ``bits`` sampled coordinates; a
-bucket beyond ``cap`` is split by more coordinates of the same table, again and
-again, and one that they can't split is compared in full. Every pair that shares
-a bucket is verified by its Hamming distance, and groups are the connected
-components of the verified pairs.
+hashes. Equal fingerprints collapse first, exactly. Then several tables group the
+distinct fingerprints by sampled coordinates, as many as keep a bucket small for
+the number of fingerprints there are, and as many tables as find a pair at
+``RADIUS`` with a chance of ``RECALL`` all the same. A bucket beyond ``cap`` is
+split by more coordinates of the same table, again and again, at first several times
+over by different ones, so that a pair which some of them part still meets; one that
+they can't split is compared in full. Every pair that shares a bucket is verified by
+its Hamming distance, and groups are the connected components of the verified pairs.
 
 Buckets are compared inside partitions sorted by bucket; what leaves one is a
 star per component found there, not its pairs. Components are merged by
@@ -15,6 +17,7 @@ alternating stars, each round written to the shared folder.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,12 @@ from foliant.llm.text import mix, slices, words
 WORDS = 4
 BITS = 64 * WORDS
 RADIUS = 44
-TABLES, SAMPLED, CAP = 48, 16, 1024
-_MORE, _ROUNDS = 4, 12
+#: Coordinates sampled at least, fingerprints to a bucket about, the chance to find
+#: a pair at RADIUS, and fingerprints from which a bucket is split.
+SAMPLED, PER_BUCKET, RECALL, CAP = 16, 64, 0.9, 1024
+_PAIRS = 1 << 22
+#: Coordinates more by which a large bucket is split, and how often over, by round.
+_MORE, _OVER = 4, (4, 2, 1, 1, 1, 1, 1, 1, 1, 1)
 _RUN = 65_535
 _PARTS = ["f0", "f1", "f2", "f3"]
 
@@ -107,71 +114,101 @@ def _sample(bits: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
 
 def bucket_pairs(buckets: np.ndarray, bits: np.ndarray, radius: int, cap: int, coordinates: np.ndarray, sampled: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places within ``radius`` that share a bucket; buckets are sorted."""
-    n = len(buckets)
-    if n < 2:
-        return
-    order = np.arange(n)
-    inner = np.zeros(n, dtype=np.int64)
-    for depth in range(_ROUNDS):
-        same = np.concatenate([[True], (buckets[order][1:] != buckets[order][:-1]) | (inner[1:] != inner[:-1])])
-        starts = np.flatnonzero(same)
-        sizes = np.diff(np.append(starts, n))
-        large = np.repeat(sizes > cap, sizes)
+    group, place, table = buckets, np.arange(len(buckets)), buckets >> sampled
+    low = sampled
+    for over in (*_OVER, 0):
+        if len(group) < 2:
+            return
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(starts, len(group)))
+        large = np.repeat(sizes > cap, sizes) if over else np.zeros(len(group), dtype=bool)
+        yield from _close(group[~large], place[~large], bits, radius)
         if not large.any():
-            break
-        at = np.flatnonzero(large)
-        rows = order[at]
-        low = sampled + depth * _MORE
-        extra = _sample(bits[rows], coordinates[buckets[rows] >> sampled, low : low + _MORE])
-        inner[at] = (inner[at] << _MORE) | extra
-        again = np.lexsort((inner[at], buckets[rows]))
-        # members of a split bucket stay within its span, so they sort in place
-        order[at], inner[at] = rows[again], inner[at][again]
-    same = np.concatenate([[True], (buckets[order][1:] != buckets[order][:-1]) | (inner[1:] != inner[:-1])])
-    starts = np.flatnonzero(same)
-    sizes = np.diff(np.append(starts, n))
-    room = np.repeat(starts + sizes, sizes) - np.arange(n) - 1
-    sorted_bits = bits[order]
+            return
+        group, place, table = np.repeat(np.arange(len(sizes)), sizes)[large], place[large], table[large]
+        parts = []
+        for k in range(over):
+            at = low + k * _MORE
+            extra = _sample(bits[place], coordinates[table, at : at + _MORE])
+            parts.append((group * over + k) << _MORE | extra)
+        low += over * _MORE
+        group, place, table = np.concatenate(parts), np.tile(place, over), np.tile(table, over)
+        by = np.argsort(group, kind="stable")
+        group, place, table = group[by], place[by], table[by]
+
+
+def _close(group: np.ndarray, place: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within ``radius`` in the same group, a lag at a time."""
+    if len(group) < 2:
+        return
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.append(starts, len(group)))
+    room = np.repeat(starts + sizes, sizes) - np.arange(len(group)) - 1
+    own = bits[place]
     alive = np.flatnonzero(room >= 1)
     lag = 1
     while len(alive):
-        apart = np.bitwise_count(sorted_bits[alive] ^ sorted_bits[alive + lag]).sum(axis=1, dtype=np.int32)
+        apart = np.bitwise_count(own[alive] ^ own[alive + lag]).sum(axis=1, dtype=np.int32)
         near = alive[apart <= radius]
         if len(near):
-            yield order[near], order[near + lag]
+            yield place[near], place[near + lag]
         lag += 1
         alive = alive[room[alive] >= lag]
 
 
 def _stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each place the least place that pairs connect it with."""
+    """For each place the least place that pairs connect it with.
+
+    Pairs are taken in lots: memory follows the places, not the pairs.
+    """
     label = np.arange(n)
-    both = list(pairs)
-    if not both:
-        return label
-    a, b = np.concatenate([p[0] for p in both]), np.concatenate([p[1] for p in both])
-    while True:
-        before = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == before).all():
-            return label
+
+    def join(lot: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        a, b = label[np.concatenate([p[0] for p in lot])], label[np.concatenate([p[1] for p in lot])]
+        up = np.arange(n)
+        while True:
+            before = up.copy()
+            least = np.minimum(up[a], up[b])
+            np.minimum.at(up, a, least)
+            np.minimum.at(up, b, least)
+            up = up[up]
+            if (up == before).all():
+                break
+        label[:] = up[label]
+
+    lot: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for pair in pairs:
+        lot.append(pair)
+        held += len(pair[0])
+        if held >= _PAIRS:
+            join(lot)
+            lot, held = [], 0
+    if lot:
+        join(lot)
+    return label
+
+
+def plan(n: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, sampled): for n fingerprints, so that recall at the radius holds at any size."""
+    sampled = max(SAMPLED, math.ceil(math.log2(max(2, n) / PER_BUCKET)))
+    # drawn without replacement
+    chance = math.prod((BITS - radius - i) / (BITS - i) for i in range(sampled))
+    return math.ceil(math.log(1 - recall) / math.log(1 - chance)), sampled
 
 
 def near_edges(nodes: DataFrame, radius: int, tables: int, sampled: int, cap: int) -> DataFrame:
     """(u, v) of nearby distinct fingerprints; nodes: (node, f0..f3)."""
     coordinates = _coordinates(tables)
     names = ["bucket", "node", *_PARTS]
-    kinds = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in names[1:])])
+    kinds = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(c, T.LongType()) for c in names[1:])])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(1, 5)], axis=1)
             for t in range(tables):
                 bucket = _sample(bits, coordinates[t, :sampled]) | (t << sampled)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *batch.columns], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[tuple[np.ndarray, ...]], last: bool) -> tuple[pa.RecordBatch | None, list]:
@@ -224,16 +261,21 @@ def components(edges: DataFrame) -> DataFrame:
         state = mark
 
 
-def losses(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, sampled: int = SAMPLED, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def losses(docs: DataFrame, radius: int = RADIUS, tables: int | None = None, sampled: int | None = None, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, row_key2, duplicate_of, copies, stays): rows that lose.
 
     One row per id and whole text: ``copies`` such rows, of which ``stays`` (0 or
-    1) stay. The row of least id stays of each group.
+    1) stay. The row of least id stays of each group. ``tables`` and ``sampled``
+    follow the number of fingerprints unless they are given.
     """
     marks = written(fingerprints(docs, id_col, text_col))
     node = F.xxhash64(*_PARTS)
     nodes = marks.select(*_PARTS).distinct().select(node.alias("node"), *_PARTS)
-    roots = components(near_edges(nodes, radius, tables, sampled, cap))
+    nodes = written(nodes)
+    planned = plan(nodes.count(), radius)
+    sampled = sampled or planned[1]
+    roots = components(near_edges(nodes, radius, tables or planned[0], sampled, cap))
+    removed(docs.sparkSession, nodes)
     items = marks.select("doc_id", "row_key", "row_key2", node.alias("node")).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("grp"), "doc_id", "row_key", "row_key2").agg(F.count("*").alias("copies"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row_key").alias("k"), F.col("row_key2").alias("k2"))
     heads = items.groupBy("grp").agg(F.min(rank).alias("head"), F.sum("copies").alias("size")).filter("size > 1")
