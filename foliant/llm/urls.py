@@ -7,7 +7,8 @@ canonical URL, which removes the false positives.
 
 The filter is a table of (block, four longs) made by one grouped ``bit_or``. It
 is broadcast while it has at most ``MOST_BLOCKS`` blocks; beyond that the same
-probe is a shuffled join on the block. Everything stays in the JVM.
+probe is a shuffled join on the block. The list is made canonical once and written;
+pages are read once. Everything stays in the JVM.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.frames import col, fresh, without
+from foliant.llm.frames import col, fresh, without, written
 
 #: Listed URLs per block of 256 bits: about one false positive in a thousand.
 PER_BLOCK = 16
@@ -62,19 +63,19 @@ def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return listed.groupBy(block.alias("block")).agg(*[F.bit_or(_mask(h, w)).alias(f"w{w}") for w in range(4)])
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", listed_col: str = "url", per_block: int = PER_BLOCK) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", listed_col: str = "url", per_block: int = PER_BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """pages with ``canonical_url`` and ``listed``, whether the list has it.
 
-    Both sides are made canonical. A null or hostless URL has a null canonical
-    URL and is not listed; neither is anything if the list is empty. Repeated
-    rows stay, repeated list entries count once. Columns of pages with the new
-    names give way to them.
+    Both sides are made canonical. A null, empty or hostless URL has a null
+    canonical URL and is not listed; neither is anything if the list is empty; no
+    pages give none. Repeated rows stay, repeated list entries count once. Long URLs
+    and texts are kept whole. Columns of pages with the new names give way to them.
     """
     pages = without(pages, ["canonical_url", "listed"])
-    names = listed.select(canonical(col(listed_col)).alias("l_url")).filter("l_url is not null").distinct()
+    names = written(listed.select(canonical(col(listed_col)).alias("l_url")).filter("l_url is not null").distinct())
     blocks = max(1, -(-names.count() // per_block))
     made = bloom(names, "l_url", blocks)
-    if blocks <= MOST_BLOCKS:
+    if blocks <= most_blocks:
         made = F.broadcast(made)
     row, block, *words = fresh(pages, "u_row", "u_block", "u_w0", "u_w1", "u_w2", "u_w3")
     made = made.select(F.col("block").alias(block), *[F.col(f"w{k}").alias(w) for k, w in enumerate(words)])
@@ -83,12 +84,13 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", liste
     place = F.when(F.col("canonical_url").isNotNull(), F.pmod(F.xxhash64(F.lit("block"), F.col("canonical_url")), F.lit(blocks)))
     probed = rows.withColumn(block, place).join(made, block, "left")
     inside = reduce(lambda a, b: a & b, (col(w).bitwiseAND(_mask(h, k)) == _mask(h, k) for k, w in enumerate(words)))
-    # what the filter stops has a null key, which the exact join never shuffles to a match
-    probed = probed.withColumn(row, F.when(F.coalesce(inside, F.lit(False)), F.col("canonical_url"))).drop(block, *words)
-    stopped = probed.filter(col(row).isNull()).withColumn("listed", F.lit(False)).drop(row)
+    # what the filter stops gets a key of its own that no URL is: spread, and without a match
+    passed = F.when(F.coalesce(inside, F.lit(False)), F.col("canonical_url"))
+    plain = [c for c, kind in pages.dtypes if c == url_col or kind in ("string", "bigint", "int", "double", "timestamp")]
+    own = F.concat(F.lit("\x00"), F.xxhash64(*[col(c) for c in plain]).cast("string"))
+    keyed = probed.withColumn(row, F.coalesce(passed, own)).drop(block, *words)
     exact = names.select(F.col("l_url").alias(row), F.lit(True).alias("listed"))
-    passed = probed.filter(col(row).isNotNull()).join(exact, row, "left").withColumn("listed", F.coalesce("listed", F.lit(False))).drop(row)
-    return stopped.unionByName(passed)
+    return keyed.join(exact, row, "left").withColumn("listed", F.coalesce("listed", F.lit(False))).drop(row)
 
 
 def spam_list(pages: DataFrame, url_col: str = "url", pattern: str = LISTED) -> DataFrame:

@@ -6,8 +6,8 @@ k-grams in a row the least hash is kept, the rightmost of equal ones. So any
 passage of ``k + window - 1`` letters that two texts share has a fingerprint in
 both; a shared passage below ``k`` letters never has one.
 
-Map only: one scan, no shuffle, memory bounded by a tile whatever the length of
-a text.
+Map only: one scan, no shuffle. Hashes are made a tile at a time; a text's letters
+are held whole, some 16 bytes each.
 """
 
 from __future__ import annotations
@@ -152,8 +152,8 @@ def winnow(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc
 
     ``pos`` is the 0-based code point at which the k-gram starts in the text as
     it is. A null or empty text, or one of fewer than ``k`` letters, has no rows;
-    one of fewer than ``window`` k-grams has the least of them. Repeated rows
-    give repeated fingerprints, a null id stays null, other columns are ignored,
+    one of fewer than ``window`` k-grams has the least of them. Long texts are
+    worked on whole. Repeated rows give repeated fingerprints, a null id stays null, other columns are ignored,
     an empty table gives none.
     """
     if k < 1 or window < 1 or k + window > _TILE // 2:
