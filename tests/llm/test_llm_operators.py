@@ -1,17 +1,26 @@
 """The ten operators on small hard cases: nulls, empty and long texts, ties, repeats,
 empty tables and clashing names, and against brute force where SQL has no word."""
 
+import datetime
+import hashlib
+import ipaddress
 import math
 import random
 import re
+import shutil
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from foliant.llm import bpe, frames, language, mixing, neighbours, pseudonyms, scoring, simhash, store, urls, winnowing
+from foliant.llm import bpe, frames, language, mixing, neighbours, pseudonyms, scoring, simhash, store, text, urls, winnowing
+from foliant.llm.queries import KEY
 from pyspark.sql import functions as F
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long, copy string, key long"
+EN = "the quick brown fox jumps over the lazy dog and runs away from all of them "
+DE = "der schnelle braune fuchs springt ueber den faulen hund und laeuft davon "
 
 
 def words(seed, n, letters="abcdefghij"):
@@ -19,161 +28,366 @@ def words(seed, n, letters="abcdefghij"):
     return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(n))
 
 
+def mixed(seed, sentence, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(sentence.split()) for _ in range(n))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
-    long = words(1, 30_000)
-    texts = [None, "", " \n", "a", long, long, words(2, 200), words(2, 200), "Ünï — 漢字 " * 20, "same " * 5000]
+    long = words(1, 6_000)
+    texts = [None, "", " \n", "a", long, long, words(2, 200), words(2, 200), "Ünï — 漢字 " * 20, "same " * 2000]
     rows = [(k, t, ("en", "de")[k % 2], None if k == 3 else f"s{k % 2}", len(t) if t else None, "x", 7) for k, t in enumerate(texts)]
     return spark.createDataFrame([*rows, rows[6], (None, words(3, 50), None, "s0", 9, "x", 7)], KINDS)
 
 
+# 1 winnowing
+
+
 def test_winnowing_brute_force(spark, docs):
     k, w = 5, 4
-    got = {}
-    for r in winnowing.winnow(docs.dropDuplicates(["doc_id"]), k, w).collect():
-        got.setdefault(r.doc_id, []).append((r.pos, r.fingerprint))
-    for r in docs.dropDuplicates(["doc_id"]).collect():
+    got = Counter((r.doc_id, r.pos, r.fingerprint) for r in winnowing.winnow(docs, k, w).collect())
+    want = Counter()
+    for r in docs.collect():
         kept = [(i, c.lower()) for i, c in enumerate(r.text or "") if re.match(r"[^\W]", c)]
-        points = np.array([ord(c) for _, c in kept], dtype=np.uint32)
-        hashes = winnowing.rolling(points, k)
-        keys = [int(h) >> 17 for h in hashes]
+        hashes = []
+        for i in range(len(kept) - k + 1):
+            h = 0
+            for _, c in kept[i : i + k]:
+                h = (h * winnowing.BASE + ord(c)) % 2**64
+            hashes.append(h)
         chosen = set()
-        n = min(w, len(keys))
-        for i in range(len(keys) - n + 1 if n else 0):
-            least = min(keys[i : i + n])
-            chosen.add(max(j for j in range(i, i + n) if keys[j] == least))
-        assert sorted(got.get(r.doc_id, [])) == [(kept[j][0], int(hashes[j]) >> 1) for j in sorted(chosen)]
+        n = min(w, len(hashes))
+        for i in range(len(hashes) - n + 1 if n else 0):
+            least = min(h >> 17 for h in hashes[i : i + n])
+            chosen.add(max(j for j in range(i, i + n) if hashes[j] >> 17 == least))
+        want.update((r.doc_id, kept[j][0], hashes[j] >> 1) for j in chosen)
+    assert got == want
+    assert winnowing.winnow(docs.filter("false")).count() == 0
+
+
+# 2 mixing
+
+
+def by_hand(rows, seed=mixing.SEED, weights=None, total=1.0):
+    """(id, copies) by the definition, in exact order; rows: (id, source, size, text)."""
+    hashed = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:10], 16)
+    sizes = Counter()
+    for _, source, size, _ in rows:
+        sizes[source] += max(size or 1, 1)
+    share = {s: 1 if weights is None else weights.get(s, 0) for s in sizes}
+    every, shares, out = sum(sizes.values()), sum(share.values()), Counter()
+    for source in sizes:
+        if not share[source]:
+            continue
+        name = "" if source is None else f"={source}"
+        step = math.floor(float(share[source]) * every * total / (float(shares) * sizes[source]) * mixing.UNIT)
+        done = hashed(f"{seed}|offset|{name}") % mixing.UNIT
+        own = [r for r in rows if r[1] == source]
+        place = lambda r: (hashed(f"{seed}|" + (f"|{max(r[2] or 1, 1)}" if r[0] is None else str(r[0]))), r[0] is not None, r[0] or 0, max(r[2] or 1, 1))
+        for r in sorted(own, key=place):
+            out[r[0]] += (done + step) // mixing.UNIT - done // mixing.UNIT
+            done += step
+    return +out
 
 
 def test_mixing(spark, docs):
-    out = mixing.mix_sources(docs, total=20.0)
-    assert "copy" in out.columns and out.count() > 0
-    sizes = {r[0]: r[1] for r in out.groupBy("source").agg(F.sum(F.greatest(F.coalesce("n_chars", F.lit(1)), F.lit(1)))).collect()}
-    assert set(sizes) == {None, "s0", "s1"}
-    assert mixing.mix_sources(docs.filter("false")).count() == 0
-    assert {r.source for r in mixing.mix_sources(docs, {"s1": 1}, total=9.0).collect()} == {"s1"}
+    rows = [(r.doc_id, r.source, r.n_chars, r.text) for r in docs.collect()]
+    for weights, total in ((None, 20.0), ({"s1": 3, None: 2}, 7.0), ({"s0": 10**6, "s1": 1}, 2.0)):
+        out = mixing.mix_sources(docs, weights, total)
+        assert Counter(r.doc_id for r in out.collect()) == by_hand(rows, weights=weights, total=total)
+    assert "copy" in out.columns and mixing.mix_sources(docs.filter("false")).count() == 0
+    # a size and a weight whose product is beyond 64 bits
+    big = spark.createDataFrame([(k, "t", "en", f"s{k % 2}", 3 * 10**14, "x", 1) for k in range(400)], KINDS)
+    assert Counter(r.source for r in mixing.mix_sources(big, {"s0": 10**6, "s1": 10**6}).collect()) == {"s0": 200, "s1": 200}
+    named = big.withColumns({"offset": F.lit(1), "buckets": F.lit(2)})
+    assert set(mixing.mix_sources(named).columns) == {*named.columns, "copy"}
+
+
+def test_mixing_of_one_large_source(spark):
+    rows = spark.range(8_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 > 0, "big").otherwise("small").alias("source"), (F.col("id") % 100).alias("n_chars"))
+    want = by_hand([(r.doc_id, r.source, r.n_chars, r.text) for r in rows.collect()], total=1.3)
+    assert Counter(r.doc_id for r in mixing.mix_sources(rows, total=1.3).collect()) == want
+
+
+# 3 pseudonyms
 
 
 def test_pseudonyms(spark, docs):
-    text = "card 4111 1111 1111 1111 and 4111 1111 1111 1112, born 1984-02-29, not 2023-02-30, a.b@example.com, 10.0.0.1"
-    one = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(one).collect()}
-    assert got[1] == got[2] != text and len(got[1]) == len(text) and got[3] is None and got[4] == ""
+    line = "card 4111 1111 1111 1111 and 4111 1111 1111 1112, born 1984-02-29, not 2023-02-30, a.b@example.com, 10.0.0.1"
+    one = spark.createDataFrame([(1, line), (2, line), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(one, KEY).collect()}
+    assert got[1] == got[2] != line and len(got[1]) == len(line) and got[3] is None and got[4] == ""
     assert "4111 1111 1111 1112" in got[1] and "2023-02-30" in got[1] and "@example.com" in got[1]
-    card = re.search(r"card ([0-9 ]{19})", got[1])[1]
-    assert pseudonyms.luhn(card.replace(" ", "")) and card != "4111 1111 1111 1111"
-    assert pseudonyms.pseudonymise_text(got[1], back=True) == text
-    back = pseudonyms.pseudonymise(pseudonyms.pseudonymise(docs), back=True)
+    assert pseudonyms.pseudonymise_text(got[1], KEY, back=True) == line
+    back = pseudonyms.pseudonymise(pseudonyms.pseudonymise(docs, KEY), KEY, back=True)
     assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+    assert pseudonyms.pseudonymise(docs.filter("false"), KEY).count() == 0
     f = pseudonyms.Feistel(b"k", "t", 1000)
     assert sorted(f.permute(x) for x in range(1000)) == list(range(1000)) and all(f.permute(x) != x for x in range(1000))
 
 
-@pytest.mark.parametrize("hot", [0, 3])
-def test_backoff_brute_force(spark, docs, hot):
-    got = {(r.doc_id): r for r in scoring.score_documents(docs, hot=hot, per_bucket=100).collect()}
-    texts = [(r.doc_id, re.findall(r"\w+", (r.text or "").lower())) for r in docs.collect()]
-    seen, pairs, context = Counter(), Counter(), Counter()
-    for _, t in texts:
-        seen.update(t)
-        pairs.update(zip([None, *t], t))
-        context.update([None, *t][: len(t)])
-    total = sum(seen.values())
-    assert len(got) == len({k for k, _ in texts})
-    for k, t in texts:
-        want = sum(math.log(pairs[a, b] / context[a]) if pairs[a, b] >= 2 else math.log(0.4 * seen[b] / total) for a, b in zip([None, *t], t))
-        assert got[k].n_tokens == len(t) and got[k].copies == (2 if k == 6 else 1)
-        assert abs(got[k].log_score - want) < 1e-4 if t else got[k].log_score is None
-    assert scoring.score_documents(docs.filter("false")).count() == 0
-
-
-@pytest.mark.parametrize(("order", "hot"), [(3, 3), (4, 0)])
-def test_backoff_of_higher_order(spark, docs, order, hot):
-    got = {r.doc_id: r for r in scoring.score_documents(docs, hot=hot, per_bucket=100, order=order).collect()}
-    texts = [(r.doc_id, re.findall(r"\w+", (r.text or "").lower())) for r in docs.collect()]
+def doubled(digits):
+    return sum(int(c) if k % 2 == 0 else (2 * int(c)) // 10 + 2 * int(c) % 10 for k, c in enumerate(digits[::-1])) % 10 == 0
+
+
+def rest97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def calendar(pattern):
+    def valid(value):
+        try:
+            return bool(datetime.datetime.strptime(value, pattern))
+        except ValueError:
+            return False
+
+    return valid
+
+
+#: Values of each format, and a check of its own for what takes their place.
+PLANTED = [
+    (["4111111111111111", "378282246310005", "6011111111111117"], lambda v: v.isdigit() and doubled(v)),
+    (["4111-1111-1111-1111", "5500 0000 0000 0004"], lambda v: doubled(re.sub("[ -]", "", v))),
+    (["GB82WEST12345698765432", "DE89370400440532013000"], rest97),
+    (["078-05-1120", "219-09-9999"], lambda v: v[:3] not in ("000", "666") and v[:3] < "900" and v[4:6] != "00" and v[7:] != "0000"),
+    (["10.0.0.1", "192.168.17.204"], lambda v: bool(ipaddress.IPv4Address(v))),
+    (["2001:db8:0:1:2:3:4:ff00", "2001:db8::ff00:42"], lambda v: bool(ipaddress.IPv6Address(v))),
+    (["1984-02-29", "1899-12-31", "2100-01-01", "0901-07-03"], lambda v: calendar("%Y-%m-%d")(v)),
+    (["12/31/1999", "2/3/1984", "11/7/2030"], calendar("%m/%d/%Y")),
+    (["31/12/1999", "17/4/1950"], calendar("%d/%m/%Y")),
+    (["1/12/84", "03/04/05"], calendar("%m/%d/%y")),
+    (["31.12.1999", "5.6.2021"], calendar("%d.%m.%Y")),
+    (["March 5, 1850", "July 14, 1999"], calendar("%B %d, %Y")),
+    (["+1 (555) 123-4567", "(212) 555-0199", "+442079460958", "2125551234"], lambda v: len(re.sub(r"\D", "", v)) >= 10),
+    (["jane.doe@example.com", "x+y@mail.example.org"], lambda v: re.fullmatch(r"[\w.+-]+@(example\.com|mail\.example\.org)", v)),
+]
+#: What looks like them and is none.
+DECOYS = ["4111111111111112", "GB82WEST12345698765431", "000-12-3456", "666-12-3456", "300.1.2.3", "2023-02-29", "31.4.2020", "13/32/1999", "1.2.10", "1700000000", "std::abs", "12:30:45", "3.14159", "99/99/99"]
+
+
+def test_pseudonyms_find_what_is_planted(spark):
+    r = random.Random(9)
+    items = [(v, ok) for values, ok in PLANTED for v in values] + [(v, None) for v in DECOYS]
+    rows, layout = [], []
+    for k in range(60):
+        chosen = r.sample(items, 12)
+        parts = []
+        for value, ok in chosen:
+            parts += [words(r.random(), 3, "klmnopqr"), value]
+        rows.append((k, " ; ".join(parts)))
+        layout.append((parts, chosen))
+    seen = {}
+    for r_ in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect():
+        parts, chosen = layout[r_.doc_id]
+        after = r_.text.split(" ; ")
+        assert [len(a) for a in after] == [len(b) for b in parts] and after[::2] == parts[::2]
+        for (value, ok), now in zip(chosen, after[1::2]):
+            assert now == value if ok is None else now != value and ok(now), (value, now)
+            assert re.sub(r"\d", "9", re.sub("[A-Za-z]+", "a", now)) == re.sub(r"\d", "9", re.sub("[A-Za-z]+", "a", value)) or ":" in value or "20" in value or "March" in value or "July" in value or "GB" in value or "DE" in value
+            assert seen.setdefault(value, now) == now
+    assert len(set(seen.values())) == len(seen)
+
+
+# 4 backoff
+
+
+def held_out(texts, order):
+    """A scorer by the definition."""
     seen, context = Counter(), Counter()
     grams = lambda t: [tuple(([None] * (order - 1) + t)[i : i + order]) for i in range(len(t))]
-    for _, t in texts:
+    for t in texts:
         for g in grams(t):
             seen.update(g[k:] for k in range(order))
             context.update(g[k:-1] for k in range(order))
-    share = lambda g: math.log(seen[g] / context[g[:-1]]) if len(g) == 1 or seen[g] >= 2 else math.log(0.4) + share(g[1:])
+    every = context[()]
+
+    def share(g):
+        if len(g) == 1:
+            return math.log(max(seen[g] - 1, 1) / max(every - 1, 1))
+        return math.log((seen[g] - 1) / (context[g[:-1]] - 1)) if seen[g] > 1 else math.log(0.4) + share(g[1:])
+
+    return lambda t: sum(map(share, grams(t)))
+
+
+@pytest.mark.parametrize(("order", "hot", "passes"), [(2, 3, 2), (3, 3, 2), (4, 0, 1)])
+def test_backoff_brute_force(spark, docs, order, hot, passes):
+    got = {r.doc_id: r for r in scoring.score_documents(docs, hot=hot, per_bucket=2000, order=order, passes=passes).collect()}
+    texts = [(r.doc_id, re.findall(r"\w+", (r.text or "").lower())) for r in docs.collect()]
+    want = held_out([t for _, t in texts], order)
+    assert len(got) == len({k for k, _ in texts})
     for k, t in texts:
-        assert got[k].n_tokens == len(t)
-        assert abs(got[k].log_score - sum(map(share, grams(t)))) < 1e-4 if t else got[k].log_score is None
+        assert got[k].n_tokens == len(t) and got[k].copies == (2 if k == 6 else 1)
+        assert abs(got[k].log_score - want(t)) < 1e-4 if t else got[k].log_score is None
+    assert scoring.score_documents(docs.filter("false"), order=order).count() == 0
+
+
+# 5 URLs
 
 
 def test_urls(spark):
     same = ["http://WWW.a.com:80/p/?b=2&a=1&utm_source=x#f", "https://a.com/p?a=1&b=2", "//u@a.com/p/index.html?a=1&b=2&ref=z"]
-    pages = spark.createDataFrame([*((k, u, True, 1) for k, u in enumerate(same)), (3, "https://a.com/q", False, 1), (4, None, False, 1), (5, "nothing", False, 1)], "page_id long, url string, listed boolean, u_row int")
+    pages = spark.createDataFrame([*((k, u, True, 1) for k, u in enumerate(same)), (3, "https://a.com/q", False, 1), (4, None, False, 1), (5, "nothing", False, 1), (6, "", True, 1), (7, "https://b.com/" + "x" * 100_000, False, 1), (3, "https://a.com/q", False, 1)], "page_id long, url string, listed boolean, u_row int")
     listed = spark.createDataFrame([(same[1],), (None,), (same[1],)], "url string")
-    got = {r.page_id: r for r in urls.filter_urls(pages, listed).collect()}
-    assert {k for k, r in got.items() if r.listed} == {0, 1, 2} and got[4].canonical_url is None and got[5].canonical_url is None
+    for most in (urls.MOST_BLOCKS, 0):
+        found = urls.filter_urls(pages, listed, most_blocks=most).collect()
+        got = {r.page_id: r for r in found}
+        assert len(found) == 9 and {k for k, r in got.items() if r.listed} == {0, 1, 2}
+        assert [got[k].canonical_url for k in (4, 5, 6)] == [None] * 3 and len(got[7].canonical_url) == 100_006
     assert not urls.filter_urls(pages, listed.filter("false")).filter("listed").count()
+    assert urls.filter_urls(pages.filter("false"), listed).count() == 0
     big = spark.range(3000).select(F.concat(F.lit("https://h.com/"), F.col("id").cast("string")).alias("url"), "id")
     assert urls.filter_urls(big, big.filter("id % 3 = 0")).filter("listed = (id % 3 = 0)").count() == 3000
 
 
+@pytest.mark.parametrize("name", ["op2_mixing", "op5_urls"])
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}/*.parquet')" if p.is_dir() else f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    ours = entry.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+    theirs = con.execute(entry.oracle_sql()[name]).df()[list(ours.columns)]
+    plain = lambda frame: sorted(tuple("" if x is None or x != x else str(x) for x in row) for row in frame.astype(object).itertuples(index=False))
+    assert plain(ours) == plain(theirs)
+
+
+# 6 neighbours
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(600, 16)), np.ones((30, 16))]).astype(np.float32)
-    rows = [(k, v.tolist(), "x") for k, v in enumerate(x)] + [(700, None, "x"), (701, [1.0], "x"), (702, [float("nan")] * 16, "x"), (None, x[0].tolist(), "x")]
+    rows = [(k, v.tolist(), "x") for k, v in enumerate(x)] + [(700, None, "x"), (701, [1.0], "x"), (702, [float("nan")] * 16, "x"), (703, [], "x"), (None, x[0].tolist(), "x"), (5, x[5].tolist(), "y")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, place string")
-    got = neighbours.nearest_neighbours(table, k=5, leaf=64).filter("vec_id is not null").toPandas()
+    got = neighbours.nearest_neighbours(table, k=5, leaf=64).toPandas()
+    assert (got[got.vec_id == 0].sort_values("place").neighbour.isna().tolist())[0]  # the equal row without an id
+    got = got[got.vec_id.notna()]
     assert set(got.vec_id) == set(range(630)) and (got.groupby("vec_id").size() == 5).all()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     kth = np.sort(d, axis=1)[:, 4]
     assert np.mean([r.distance <= kth[int(r.vec_id)] + 1e-5 for r in got.itertuples()]) >= 0.9
+    # ties by id: of 30 equal vectors each has the first five others
+    assert got[got.vec_id == 629].sort_values("place").neighbour.tolist() == [600, 601, 602, 603, 604]
+    assert got[got.vec_id == 602].sort_values("place").neighbour.tolist() == [600, 601, 603, 604, 605]
     assert neighbours.nearest_neighbours(table.filter("false")).count() == 0
     assert neighbours.nearest_neighbours(table.limit(3), k=5).count() == 6
+    few = neighbours.nearest_neighbours(table, k=5, leaf=64, queries=table.filter("vec_id % 50 = 0")).toPandas()
+    assert set(few.vec_id) == set(range(0, 630, 50))
+    far = spark.createDataFrame([(k, [float(v) * 1e30, 1.0]) for k, v in enumerate((1, 2, 4, 8))], "vec_id long, embedding array<float>")
+    assert {(r.vec_id, r.neighbour) for r in neighbours.nearest_neighbours(far, k=1).collect()} == {(0, 1), (1, 0), (2, 1), (3, 2)}
 
 
 def test_neighbours_recall_in_deep_trees(spark):
-    x = np.random.default_rng(4).normal(size=(1500, 64))
+    x = np.random.default_rng(4).normal(size=(3000, 64))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = neighbours.nearest_neighbours(table, trees=2, leaf=12).toPandas()
+    got = neighbours.nearest_neighbours(table).toPandas()
     d = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
     np.fill_diagonal(d, np.inf)
     kth = np.sort(d, axis=1)[:, 9]
-    assert (got.distance <= kth[got.vec_id] + 1e-5).sum() >= 0.93 * 15_000
+    assert (got.distance <= kth[got.vec_id] + 1e-5).sum() >= 0.92 * 30_000
+
+
+def test_neighbours_queue_gives_leaves_in_order():
+    x = np.random.default_rng(5).normal(size=(500, 8)).astype(np.float32)
+    planes = neighbours.directions(3, 4, 8, 1)
+    levels = neighbours.medians(x, planes)
+    plain = [[row.tolist() for row in cuts] for cuts in levels]
+    far = neighbours.places(x[:20], planes, levels)
+    for k in range(20):
+        got = neighbours.search([(x[k].astype(np.float64) @ planes[t].T).tolist() for t in range(3)], plain, 48)
+        assert sorted(got) == list(range(48)) and (np.diff(far[k][got]) >= 0).all()
+        assert set(neighbours.route(x[k : k + 1], planes, levels)[:, 0] + np.arange(3) * 16) == set(got[:3])
+
+
+# 7 BPE
 
 
 def test_bpe_against_library(spark, docs):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(bpe.VOCABULARY)
     t.encode_special_tokens = True
-    odd = spark.createDataFrame([(100, "a" * 3000), (101, "don't 123 \t\n  x<|endoftext|>"), (102, "\U0001f600é́")], "doc_id long, text string")
-    got = bpe.encode(docs.select("doc_id", "text").unionByName(odd)).collect()
-    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").unionByName(odd).collect()}
+    long = words(21, 220_000, "abcdéñ")
+    odd = spark.createDataFrame([(100, "a" * 3000), (101, "don't 123 \t\n  x<|endoftext|>"), (102, "\U0001f600é́"), (103, long), (104, "漢字，東京。" * 200_000)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(odd)
+    got = bpe.encode(every).collect()
+    texts = {r.doc_id: r.text for r in every.collect()}
+    assert len(long) > bpe._PIECE
     for r in got:
         if texts[r.doc_id] is None:
             assert r.ids is None and r.n_tokens is None
         else:
-            assert r.ids == t.encode(texts[r.doc_id], add_special_tokens=False).ids and r.exact
-    back = {r.doc_id: r.text for r in bpe.decode(spark.createDataFrame(got)).collect()}
+            assert r.ids == t.encode(texts[r.doc_id], add_special_tokens=False).ids and r.exact and r.n_tokens == len(r.ids)
+    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(every)).collect()}
     assert back == texts
+    assert bpe.encode(docs.filter("false")).count() == 0 and bpe.decode(bpe.encode(docs.filter("false"))).count() == 0
+
+
+def test_bpe_cuts_words_as_the_pattern():
+    r = random.Random(1)
+    letters = list("abs dlmtrev'' \n\t 　.,!12é漢١'''  \x1c ")
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(5000)]
+    points, ends = text.codepoints(pa.array(texts))
+    starts = bpe.word_starts(points, ends)
+    for k, t in enumerate(texts):
+        assert np.flatnonzero(starts[ends[k] : ends[k + 1]]).tolist() == [m.start() for m in bpe.PATTERN.finditer(t)]
+    one = bpe.Bpe()
+    ids, ends = one.encode(pa.array(texts))
+    apart, edges = one._apart(pa.array(texts))
+    assert ids.tolist() == apart.tolist() and ends.tolist() == edges.tolist()
+    one._kept.values[one._kept.values >= 0] = 0  # as if hashes met: found out, and encoded anew
+    assert one.encode(pa.array(texts))[0].tolist() == ids.tolist()
+
+
+# 8 language
 
 
 def test_language(spark):
-    en, de = "the quick brown fox jumps over the lazy dog and runs ", "der schnelle braune fuchs springt ueber den faulen hund und "
-    r = random.Random(5)
-    mixed = lambda s: " ".join(r.choice(s.split()) for _ in range(60))
-    rows = [(k, mixed(en if k % 2 else de), "en" if k % 2 else "de", "p") for k in range(60)] + [(100, "".join(r.choice("qxzjkv") for _ in range(400)), None, "p"), (101, None, None, "p"), (102, "", "en", "p")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, predicted string")
-    got = {x.doc_id: x for x in language.identify(table).collect()}
-    assert all(got[k].predicted == got[k].lang for k in range(60))
-    assert [got[k].predicted for k in (100, 101, 102)] == [None] * 3
-    assert language.identify(table.filter("false")).count() == 0 and language.keep_identified(table).count() == 60
+    train = spark.createDataFrame([(mixed(k, EN if k % 2 else DE, 60), "en" if k % 2 else "de") for k in range(60)], "text string, lang string")
+    held = [(k, mixed(1000 + k, EN if k % 2 else DE, 60), "en" if k % 2 else "de", "p") for k in range(40)]
+    junk = random.Random(5)
+    odd = [(100, "".join(junk.choice("qxzjkv") for _ in range(400)), None, "p"), (101, None, None, "p"), (102, "", "en", "p"), (103, "12 -- 3", "en", "p"), (104, "xq zj", "en", "p"), (105, "qqq qqq", "en", "p"), (106, "the dog", "xx", "p"), (107, mixed(7, EN, 40_000), "de", "p"), (0, held[0][1], "de", "p")]
+    table = spark.createDataFrame(held + odd, "doc_id long, text string, lang string, predicted string")
+    found = language.identify(table, train).collect()
+    got = {x.doc_id: x for x in found}
+    assert len(found) == 49 and all(got[k].predicted == got[k].lang for k in range(40))
+    assert [got[k].predicted for k in range(100, 108)] == [None] * 6 + ["en"] * 2
+    assert [got[k].rate for k in (101, 102, 103)] == [None] * 3
+    kept = language.keep_identified(table.withColumn("rate", F.lit("r")), train=train)
+    assert kept.columns == [*table.columns, "rate"] and {r.doc_id for r in kept.collect()} == {*range(40), 106, 107}
+    assert {(r.predicted, r.rate) for r in kept.collect()} == {("p", "r")}
+    assert language.identify(table.filter("false")).count() == 0
+    same = spark.createDataFrame([(EN * 20, "b"), (EN * 20, "a")], "text string, lang string")
+    assert {r.predicted for r in language.identify(table.filter("doc_id = 1"), same).collect()} == {"a"}
+
+
+def test_language_phrases_by_definition():
+    samples = [("en", [mixed(1, EN, 600)]), ("de", [mixed(2, DE, 600)]), ("zh", ["".join(chr(0x4E00 + k * k % 3000) for k in range(3000))])]
+    model = language.Model(samples)
+    texts = ["", "a", mixed(3, EN, 5000), mixed(4, DE, 300) + mixed(5, EN, 300), "the " * 2000, samples[0][1][0] * 2, samples[2][1][0][100:1500], "Ünï 漢字 русский", "zq" * 700]
+    got, _ = model.counts(pa.array(texts))
+    for k, (_, own) in enumerate(samples):
+        sample = bytes(model._symbols(pa.array(own))[0].tolist())
+        for j, t in enumerate(texts):
+            symbols = bytes(model._symbols(pa.array([t]))[0].tolist())
+            at = count = 0
+            while at < len(symbols):
+                n = 1
+                while at + n <= len(symbols) and symbols[at : at + n] in sample:
+                    n += 1
+                at += max(n - 1, 1)
+                count += 1
+            assert got[j, k] == count
 
 
 def test_language_with_tiny_labels(spark):
-    en, de = "the quick brown fox jumps over the lazy dog and runs ", "der schnelle braune fuchs springt ueber den faulen hund und "
-    r = random.Random(6)
-    mixed = lambda s, n: " ".join(r.choice(s.split()) for _ in range(n))
-    train = [(mixed(en if k % 2 else de, 60), "en" if k % 2 else "de") for k in range(60)] + [("12 34 -- 5", "nn"), ("lazy", "eng"), ("the fox", "eng")]
-    held = [(k, mixed(en if k % 2 else de, 60), ("de", "en")[k % 2]) for k in range(20)] + [(20, "".join(r.choice("qxzjkv") for _ in range(400)), None)]
+    train = [(mixed(k, EN if k % 2 else DE, 60), "en" if k % 2 else "de") for k in range(60)] + [("12 34 -- 5", "nn"), ("lazy", "eng"), ("the fox", "eng")]
+    held = [(k, mixed(100 + k, EN if k % 2 else DE, 60), ("de", "en")[k % 2]) for k in range(20)]
     got = language.identify(spark.createDataFrame(held, "doc_id long, text string, lang string"), spark.createDataFrame(train, "text string, lang string")).collect()
     assert [x.predicted for x in sorted(got, key=lambda x: x.doc_id)] == [x[2] for x in held]
 
@@ -186,26 +400,103 @@ def test_language_draws_until_it_has_letters(spark):
     assert sorted(sample["yy"]) == ["other text", "same text"]
 
 
+# 9 store
+
+
+def replaced(path, name, frame):
+    frame.write.parquet(f"{path}/other")
+    shutil.rmtree(f"{path}/{name}")
+    shutil.move(f"{path}/other", f"{path}/{name}")
+
+
 def test_store_round_trip(spark, docs):
     base = frames.shared_dir(spark)
-    store.save(docs, base)
+    path = base.removeprefix("file://")
+    store.save(docs, base, part=2, fan=2)
+    look = lambda: {(r.doc_id, r.n_chunks): r.verified for r in store.verify(spark, base, fan=2).collect()}
     streams = lambda df: sorted(str((r.doc_id, r.ids)) for r in df.collect())
     assert streams(store.restore(spark, base)) == streams(bpe.encode(docs))
-    found = store.verify(spark, base).collect()
-    assert all(r.verified for r in found if r.root) and sum(r.root is None for r in found) == 1
-    chunks = spark.read.parquet(f"{base}/chunks")
-    assert chunks.count() == chunks.select("address").distinct().count()
-    chunks.withColumn("ids", F.concat("ids", F.lit(b"x"))).write.parquet(f"{base}/bad")
-    import shutil
-
-    path = base.removeprefix("file://")
-    shutil.rmtree(f"{path}/chunks")
-    shutil.move(f"{path}/bad", f"{path}/chunks")
-    spark.catalog.clearCache()
-    assert {r.verified for r in store.verify(spark, base).collect() if r.n_chunks} == {False}
+    found = look()
+    assert all(v for (_, n), v in found.items() if n is not None) and [v for (_, n), v in found.items() if n is None] == [None]
+    assert spark.read.parquet(f"{base}/manifest").agg(F.max("level")).first()[0] >= 2
+    # by the definition: cuts, distinct chunks, addresses, roots
+    encoded = {r.doc_id: np.array(r.ids, dtype=np.int64) for r in bpe.encode(docs).collect() if r.ids is not None}
+    chunks, recipes = set(), {}
+    gear = store.mix(np.arange(1 << 16, dtype=np.uint64)).tolist()
+    for k, ids in encoded.items():
+        cuts, last, before = [], 0, -(10**9)
+        for i in range(store.SPAN, len(ids) + 1):
+            h = 0
+            for x in ids[i - store.SPAN : i].tolist():
+                h = (h * store._BASE + gear[x]) % 2**64
+            if h % (1 << store.CUT_BITS) == 0:
+                if i - max(before, 0) >= store.LEAST:
+                    cuts.append(i)
+                before = i
+        pieces = []
+        for stop in [*cuts, len(ids)]:
+            while stop - last > store.MOST:
+                pieces.append(ids[last : last + store.MOST])
+                last += store.MOST
+            if stop > last:
+                pieces.append(ids[last:stop])
+            last = stop
+        named = [hashlib.blake2b(p.astype("<u2").tobytes(), digest_size=16).digest() for p in pieces]
+        chunks |= set(named)
+        recipes[k] = named
+    stored = spark.read.parquet(f"{base}/chunks")
+    assert Counter(bytes(r.address) for r in stored.collect()) == Counter(chunks)
+    for r in spark.read.parquet(f"{base}/recipes").collect():
+        assert (r.recipe is None) == (r.doc_id == 0)
+        if r.recipe is not None:
+            assert [bytes(x) for x in r.recipe] == recipes[r.doc_id] and bytes(r.root) == root(recipes[r.doc_id])
+    assert max(map(len, recipes.values())) > 1
+    # damage is found: in a recipe, the manifest, and every chunk
+    recipe = spark.read.parquet(f"{base}/recipes")
+    replaced(path, "recipes", recipe.withColumn("recipe", F.when(F.col("doc_id") == 4, F.reverse("recipe")).otherwise(F.col("recipe"))))
+    assert {k for k, v in look().items() if v is False} == {(4, len(recipes[4]))}
+    replaced(path, "recipes", recipe_again(spark, docs, base))
+    replaced(path, "manifest", spark.read.parquet(f"{base}/manifest").withColumn("root", F.when(F.col("level") == 0, F.col("root")).otherwise(F.lit(b"x"))))
+    assert not any(look().values())
+    replaced(path, "chunks", stored.withColumn("ids", F.concat("ids", F.lit(b"xx"))))
+    assert {v for (_, n), v in look().items() if n} == {False}
     assert store.store_and_verify(docs.filter("false")).count() == 0
 
 
+def recipe_again(spark, docs, base):
+    other = frames.shared_dir(spark)
+    store.save(docs, other, part=2, fan=2)
+    return spark.read.parquet(f"{other}/recipes")
+
+
+def root(leaves):
+    level = [hashlib.blake2b(b"\x00" + x, digest_size=32).digest() for x in leaves]
+    if not level:
+        return hashlib.blake2b(b"", digest_size=32).digest()
+    while len(level) > 1:
+        level = [hashlib.blake2b(b"\x01" + b"".join(level[k : k + 2]), digest_size=32).digest() if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+    return level[0]
+
+
+def test_store_finds_a_wrong_cut(spark, docs):
+    """Chunks that are sound and a root that fits, but not the stream."""
+    base = frames.shared_dir(spark)
+    store.save(docs, base)
+    schema = spark.read.parquet(f"{base}/recipes").schema
+    rows = []
+    for r in spark.read.parquet(f"{base}/recipes").collect():
+        row = r.asDict()
+        if r.doc_id == 4:
+            row |= {"recipe": r.recipe[:-1], "root": root([bytes(x) for x in r.recipe[:-1]])}
+        rows.append(row)
+    replaced(base.removeprefix("file://"), "recipes", spark.createDataFrame(rows, schema))
+    replaced(base.removeprefix("file://"), "manifest", store.manifest_of(spark.read.parquet(f"{base}/recipes"), 0))
+    assert [r.doc_id for r in store.verify(spark, base).collect() if r.verified is False] == [4]
+
+
+# 10 SimHash
+
+
 def test_simhash_groups(spark):
     base = words(11, 300)
     near = base.replace(" ", "  ", 3) + " tail"
@@ -220,16 +511,134 @@ def test_simhash_groups(spark):
     assert simhash.near_duplicates(table.filter("false")).count() == 0
 
 
+def variants(seed, n, changes):
+    """A text and near copies of it."""
+    r = random.Random(seed)
+    base = words(seed, 120).split()
+    out = [" ".join(base)]
+    for k in range(n - 1):
+        other = list(base)
+        for _ in range(changes):
+            other[r.randrange(len(other))] = f"x{r.randrange(10**6)}"
+        out.append(" ".join(other))
+    return out
+
+
+@pytest.mark.parametrize("cap", [simhash.CAP, 24])
+def test_simhash_against_all_pairs(spark, cap):
+    texts = [t for k in range(60) for t in variants(k, 1 + k % 7, 1 + k % 12)] + variants(99, 120, 9)
+    rows = list(enumerate(texts))
+    bits = simhash.sketch(*text.words(pa.array(texts)))
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+    label = list(range(len(texts)))
+
+    def find(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a, b in zip(*np.nonzero(apart <= simhash.RADIUS)):
+        low, high = sorted((find(a), find(b)))
+        label[high] = low
+    want = {(k, find(k)) for k in range(len(texts)) if find(k) != k}
+    got = {(r.doc_id, r.duplicate_of) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cap=cap).collect()}
+    assert len(got & want) >= 0.97 * len(want) and all(find(a) == find(b) for a, b in got)
+
+
+def test_simhash_of_many_words():
+    """More distinct words than the counters of 16 bits hold."""
+    many = " ".join(map(str, range(70_000)))
+    hashes, rows = text.words(pa.array([many, "a b"]))
+    votes = np.zeros(256, dtype=int)
+    for w in range(4):
+        bits = simhash.mix(np.unique(hashes[: rows[1]]) + np.uint64(w + 1))
+        votes[64 * w : 64 * w + 64] = [(bits >> np.uint64(j) & np.uint64(1)).sum() for j in range(64)]
+    got = simhash.sketch(hashes, rows)[0]
+    # a byte's first vote is its highest bit
+    assert [int(got[j >> 6]) >> ((j & 63) ^ 7) & 1 for j in range(256)] == (votes * 2 > 70_000).astype(int).tolist()
+
+
+def test_simhash_compares_an_unsplittable_bucket(monkeypatch):
+    """Equal in all coordinates that are sampled, in memory that the pairs don't fill."""
+    monkeypatch.setattr(simhash, "_PAIRS", 1000)
+    coordinates = simhash._coordinates(1)
+    used = 16 + 4 * sum(simhash._OVER)
+    bits = np.zeros((300, 4), dtype=np.uint64)
+    for k, c in enumerate(coordinates[0, used:][:300]):
+        bits[1 + k % 299, c >> 6] ^= np.uint64(1) << np.uint64(c & 63)
+    pairs = simhash.bucket_pairs(np.zeros(300, dtype=np.int64), bits, 44, 10, coordinates, 16)
+    assert (simhash._stars(300, pairs) == 0).all()
+
+
+def test_simhash_plan_holds_recall():
+    for n in (10, 10**6, 10**9):
+        tables, sampled = simhash.plan(n)
+        chance = math.prod((256 - 44 - i) / (256 - i) for i in range(sampled))
+        assert 1 - (1 - chance) ** tables >= 0.9 and n / 2**sampled <= simhash.PER_BUCKET
+
+
+# the pipeline
+
+
 def test_pipeline_on_odd_rows(spark, docs):
     import corpus_pipeline as pipeline
 
     assert [n for n, _ in pipeline.STAGES] == ["language", "near_duplicates", "pseudonyms", "mixture", "tokens"]
-    now = docs.drop("copy", "key")
+    now = docs.withColumns({"predicted": F.lit("p"), "rate": F.lit(1), "stays": F.lit(1), "nth": F.lit(2)})
+    empty = now.filter("false")
     for _, stage in pipeline.STAGES[:-1]:
         after = frames.written(stage(spark, now, ""))
         assert after.columns == now.columns
+        assert not after.filter("copy != 'x' or key != 7 or predicted != 'p' or rate != 1 or nth != 2").count()
         now = after
     assert all(r.exact for r in pipeline.STAGES[-1][1](spark, now, "").collect())
-    empty = docs.filter("false").drop("copy", "key")
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    """run() against every stage by its definition, one after the other."""
+    import corpus_pipeline as pipeline
+
+    tokenizers = pytest.importorskip("tokenizers")
+    junk = random.Random(3)
+    rows = [(k, mixed(k, EN if k % 3 else DE, 40 + k) + f" call (212) 555-01{k:02d}", "en" if k % 3 else "de", f"s{k % 4}") for k in range(60)]
+    rows += [(100 + k, rows[k][1], rows[k][2], "s1") for k in range(10)] + [(200 + k, rows[k][1] + "!", rows[k][2], None) for k in range(20, 30)]
+    rows += [(300 + k, "".join(junk.choice("qxzjkvw") for _ in range(200)), None, "s2") for k in range(5)] + [(400, "", "en", "s0"), (401, None, "en", "s0")]
+    rows = [(*r, len(r[1] or "")) for r in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, tuple(r.ids)) for r in pipeline.run(spark, str(tmp_path)).collect())
+    # language: fewest phrases of the sample's text, too many go
+    model = language.Model(language.labelled(spark.read.parquet(f"{tmp_path}/documents.parquet")))
+    assert model.languages == ["de", "en"]
+    kept = []
+    for r in rows:
+        counts, sizes = model.counts(pa.array([r[1]]))
+        if sizes[0] and counts[0][(counts[0] * model.weights).argmin()] - 1 <= language.REJECT * sizes[0]:
+            kept.append(r)
+    assert {r[0] for r in rows} - {r[0] for r in kept} == {*range(300, 305), 400, 401}
+    # near copies: all pairs of fingerprints
+    bits = simhash.sketch(*text.words(pa.array([r[1] for r in kept])))
+    near = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2) <= simhash.RADIUS
+    label = np.arange(len(kept))
+    while True:
+        after = np.array([label[near[k]].min() for k in range(len(kept))])
+        if (after == label).all():
+            break
+        label = after
+    ids = np.array([r[0] for r in kept])
+    kept = [r for k, r in enumerate(kept) if r[0] == ids[label == label[k]].min()]
+    # pseudonyms, mixture, ids of the library
+    moved = [(r[0], pseudonyms.pseudonymise_text(r[1], KEY), r[3], r[4]) for r in kept]
+    copies = by_hand([(r[0], r[2], r[3], r[1]) for r in moved])
+    t = tokenizers.Tokenizer.from_file(bpe.VOCABULARY)
+    want = Counter({(r[0], tuple(t.encode(r[1], add_special_tokens=False).ids)): copies[r[0]] for r in moved if copies[r[0]]})
+    assert got == want
+
+
+def test_written_tables_can_be_cleared(spark):
+    table = frames.written(spark.range(5).toDF("x"))
+    path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert Path(path).exists()
+    frames.clear(spark)
+    assert not Path(path).exists()
