@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 IDENTIFIER = r"[A-Za-z]*\p{Nd}+(?:[./\-]\p{Nd}+)*[A-Za-z]*"
-CAPTION = r"(?im)^[ \t]*(figure|fig|table|chart|hình|bảng|biểu đồ|sơ đồ)[ \t]+([0-9]+(?:\.[0-9]+)*)[ \t]*[:.\-–—][ \t]*(\S.*)$"
-FOOTNOTE = r"(?m)^[ \t]*(\([0-9]+\)|\(\*\)|\[[0-9]+\]|\*{1,3})[ \t]+(\S.{4,199})$"
+CAPTION = r"(?imud)^(Hình|Bảng|Biểu|Sơ đồ|Figure|Table|Chart|Diagram)\s+(\p{Nd}+(?:\.\p{Nd}+)*)\s*[:.\-–—]\s*(.+)$"
+FOOTNOTE = r"(?md)^(\(\p{Nd}{1,3}\)|\(\*+\)|\[\p{Nd}{1,3}\]|\*{1,3})\s+(.{5,200})$"
 ELLIPSIS = r"(?i)<(t[dh])>\s*\.{3,}\s*</\1>"
 RULE = "\n\n---\n\n"
 
@@ -33,6 +33,7 @@ def entity_key(name: Column) -> Column:
 def captions(text: Column) -> Column:
     """Array of (kind, number, title) of caption lines."""
     parts = [F.regexp_extract_all(text, F.lit(CAPTION), F.lit(k)) for k in (1, 2, 3)]
+    parts[2] = F.transform(parts[2], lambda x: F.trim(x))
     return F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("kind", "number", "title"))])
 
 
@@ -43,6 +44,7 @@ def tag_captions(text: Column) -> Column:
 def footnotes(text: Column) -> Column:
     """Array of (marker, note) of footnote lines."""
     parts = [F.regexp_extract_all(text, F.lit(FOOTNOTE), F.lit(k)) for k in (1, 2)]
+    parts[1] = F.transform(parts[1], lambda x: F.trim(x))
     return F.arrays_zip(parts[0].alias("marker"), parts[1].alias("note"))
 
 
@@ -50,6 +52,17 @@ def tag_footnotes(text: Column) -> Column:
     return F.regexp_replace(text, FOOTNOTE, "<!-- FOOTNOTE: $1 -->\n$0")
 
 
+def tag_elements(text: Column) -> Column:
+    """Captions, then footnotes, each under a comment that names it."""
+    return tag_footnotes(tag_captions(text))
+
+
+def answer_blocks(reply: Column) -> Column:
+    """Array of (node_id, body) of a batched reply's ``BEGIN id=…`` to ``END`` blocks; END stands on a line of its own."""
+    pattern = F.lit(r"(?msd)^\s*BEGIN id=(\S+)[^\n]*\n(.*?)^\s*END\s*$")
+    return F.arrays_zip(F.regexp_extract_all(reply, pattern, F.lit(1)).alias("node_id"), F.regexp_extract_all(reply, pattern, F.lit(2)).alias("body"))
+
+
 def ellipsis_cells(markdown: Column) -> Column:
     """How many table cells hold nothing but dots."""
     return F.size(F.regexp_extract_all(markdown, F.lit(ELLIPSIS), F.lit(0)))

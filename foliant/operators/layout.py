@@ -1,6 +1,7 @@
-"""Rows and columns from the places of text items on a page.
+"""Rows and columns from the places of text items on a page, and HTML from them.
 
-items: (page, top, left, text), more columns as they come.
+items: (page, top, left, text), more columns as they come; for HTML also height and
+bold.
 """
 
 from __future__ import annotations
@@ -44,3 +45,98 @@ def table_pages(items: DataFrame) -> DataFrame:
     share = used.groupBy("page").agg((F.sum((F.col("used") >= 3).cast("int")) / F.count("*")).alias("share"))
     count = columns(items).groupBy("page").agg(F.count("*").alias("n"))
     return share.join(count, "page").select("page", ((F.col("n") >= 4) & (F.col("share") > 0.4)).alias("is_table"))
+
+
+_XML = "struct<page:array<struct<_number:int,_width:int,_height:int,text:array<struct<_top:int,_left:int,_width:int,_height:int,_VALUE:string,b:array<string>>>>>>"
+
+
+def text_items(documents: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """(doc_id, page, top, left, width, height, text, bold) of positional XML, a row per item with a text.
+
+    documents: (doc_id, xml), the XML holding pages of ``text`` elements with their
+    places; an item without a height has 12. Bold ones hold their text in ``b``.
+    """
+    read = F.from_xml(F.col(xml_col), _XML, {"rowTag": "pdf2xml", "mode": "PERMISSIVE"})
+    pages = documents.select("doc_id", F.explode(read["page"]).alias("p")).select("doc_id", F.col("p._number").alias("page"), F.explode("p.text").alias("t"))
+    bold = F.coalesce(F.size("t.b") > 0, F.lit(False))
+    text = F.trim(F.concat(F.coalesce(F.col("t._VALUE"), F.lit("")), F.coalesce(F.array_join("t.b", ""), F.lit(""))))
+    number = lambda c, d: F.coalesce(F.col(f"t.{c}"), F.lit(d))
+    return pages.select("doc_id", "page", number("_top", 0).alias("top"), number("_left", 0).alias("left"), number("_width", 0).alias("width"), number("_height", 12).alias("height"), text.alias("text"), bold.alias("bold")).filter("text <> ''")
+
+
+def _in_order(*names: str) -> F.Column:
+    return F.array_sort(F.collect_list(F.struct("left", "width", "height", "text", *names)))
+
+
+def table_html(items: DataFrame) -> DataFrame:
+    """(page, html): a page's rows and columns as a table.
+
+    A row without a first column, and with no more cells than half the columns or
+    two, goes on the row before it. Bold cells of the first column are headers.
+    """
+    marked = F.when(F.col("bold"), F.concat(F.lit("<b>"), F.col("text"), F.lit("</b>"))).otherwise(F.col("text"))
+    cells = placed(items).withColumn("mark", marked).groupBy("page", "row_top", "col_no").agg(_in_order("mark").alias("parts"))
+    width = columns(items).groupBy("page").agg(F.count("*").cast("int").alias("n"))
+    rows_ = cells.groupBy("page", "row_top").agg(F.count("*").alias("used"), F.min("col_no").alias("first")).join(width, "page")
+    order = Window.partitionBy("page").orderBy("row_top")
+    goes_on = (F.col("first") > 0) & (F.col("used") <= F.greatest(F.lit(2), F.floor(F.col("n") / 2))) & F.lag("row_top").over(order).isNotNull()
+    grouped = rows_.withColumn("new", (~goes_on).cast("int")).withColumn("row", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("page", "row_top", "row")
+    joined = cells.join(grouped, ["page", "row_top"]).groupBy("page", "row", "col_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_top", "parts"))), lambda x: x["parts"]["mark"])).alias("marks"))
+    cell = F.array_join("marks", " ")
+    head = (F.col("col_no") == 0) & F.exists("marks", lambda m: F.contains(m, F.lit("<b>")))
+    tag = F.when(head, "th").otherwise("td")
+    line = F.concat(F.lit("    <"), tag, F.lit(">"), cell, F.lit("</"), tag, F.lit(">"))
+    per = joined.groupBy("page", "row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col_no").cast("int"), line.alias("l")))).alias("m")).join(width, "page")
+    dense = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.coalesce(F.try_element_at("m", c), F.lit("    <td></td>")))
+    tr = F.concat(F.lit("  <tr>\n"), F.array_join(dense, "\n"), F.lit("\n  </tr>"))
+    whole = per.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("row", tr.alias("tr")))).alias("rs"))
+    return whole.select("page", F.concat(F.lit("<table>\n"), F.array_join("rs.tr", "\n"), F.lit("\n</table>")).alias("html"))
+
+
+def text_html(items: DataFrame) -> DataFrame:
+    """(page, html): a page's rows as paragraphs and headings.
+
+    A row that begins bold is a heading, of the higher kind if it is taller than the
+    page's median item, the upper one of two.
+    """
+    heights = F.array_sort(F.collect_list("height"))
+    median = items.groupBy("page").agg(F.element_at(heights, F.floor(F.size(heights) / 2).cast("int") + 1).alias("median"))
+    marked = F.when(F.col("bold"), F.concat(F.lit("<strong>"), F.col("text"), F.lit("</strong>"))).otherwise(F.col("text"))
+    lines = rows(items).withColumn("mark", marked).groupBy("page", "row_top").agg(_in_order("bold", "mark").alias("parts")).join(median, "page")
+    one = F.col("parts")[0]
+    tag = F.when(one["bold"] & (one["height"] > F.col("median")), "h2").when(one["bold"], "h3").otherwise("p")
+    line = F.concat(F.lit("<"), tag, F.lit(">"), F.array_join("parts.mark", " "), F.lit("</"), tag, F.lit(">"))
+    whole = lines.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("row_top", line.alias("line")))).alias("ls"))
+    return whole.select("page", F.array_join("ls.line", "\n").alias("html"))
+
+
+def page_html(items: DataFrame) -> DataFrame:
+    """(page, page_type, html): each page with an item as a section, a table or text."""
+    kinds = table_pages(items)
+    both = kinds.filter("is_table").join(table_html(items), "page").unionByName(kinds.filter("not is_table").join(text_html(items), "page"))
+    kind, page = F.when(F.col("is_table"), "table").otherwise("text"), F.col("page").cast("string")
+    html = F.concat(F.lit('<section id="page-'), page, F.lit('" data-page="'), page, F.lit('" data-type="'), kind, F.lit('">\n'), F.col("html"), F.lit("\n</section>"))
+    return both.select("page", kind.alias("page_type"), html.alias("html"))
+
+
+def crops(regions: DataFrame, dpi: int = 150) -> DataFrame:
+    """Regions (page, left, top, right, bottom, in points) in pixels at a resolution; what leaves
+    no area is dropped."""
+    scale = lambda c, f: f(F.col(c) * F.lit(dpi / 72.0)).cast("int")
+    out = regions.withColumns({"x0": scale("left", F.floor), "y0": scale("top", F.floor), "x1": scale("right", F.ceil), "y1": scale("bottom", F.ceil)})
+    return out.filter("x1 > x0 and y1 > y0")
+
+
+def zoom_regions(pages: DataFrame) -> DataFrame:
+    """(page, region, left, top, right, bottom): the quarters and the centre of pages (page, width, height)."""
+    w, h = F.col("width"), F.col("height")
+    places = {"top_left": (0.0, 0.0), "top_right": (0.5, 0.0), "bottom_left": (0.0, 0.5), "bottom_right": (0.5, 0.5), "center": (0.25, 0.25)}
+    parts = [F.struct(F.lit(n).alias("region"), (w * x).alias("left"), (h * y).alias("top"), (w * (x + 0.5)).alias("right"), (h * (y + 0.5)).alias("bottom")) for n, (x, y) in places.items()]
+    return pages.select("page", F.explode(F.array(*parts)).alias("r")).select("page", "r.*")
+
+
+def grid_places(pages: DataFrame, columns: int = 3, most: int = 10, width: int = 1000) -> DataFrame:
+    """(page, row, column, x, cell_width): where the first pages stand in an overview of them."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) - 1
+    cell = width // columns
+    return pages.withColumn("nth", nth).filter(F.col("nth") < most).select("doc_id", "page", F.floor(F.col("nth") / columns).cast("int").alias("row"), (F.col("nth") % columns).alias("column"), ((F.col("nth") % columns) * cell).alias("x"), F.lit(cell).alias("cell_width"))

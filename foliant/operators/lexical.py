@@ -1,13 +1,14 @@
 """BM25 and entropy-weighted (BMX) ranking of pages, many documents and queries at once.
 
-Statistics are per document, so every key starts with ``doc_id``. Postings are
-grouped once; scores are one join of query terms with postings and a grouped sum,
-which prunes postings to the terms that occur in queries before anything else.
+Statistics are per document, so every key starts with ``doc_id``. An index holds
+the postings, each with its page's length and its term's statistics, and a row per
+document; it is made once, and written where it is to be kept. Scores are one join
+of query terms with postings and a grouped sum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
@@ -45,15 +46,62 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return asked.groupBy("query_id", "term", "asked").agg(F.count("*").alias("times"))
 
 
-def _matches(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Postings of the query terms with all statistics that both scores need."""
-    terms = query_terms(queries)
-    posted = postings(pages)
-    wanted = posted.join(terms.select("term").distinct(), "term", "left_semi")
-    stats = corpus_stats(pages)
-    known = wanted.join(term_stats(wanted), ["doc_id", "term"]).join(stats, "doc_id").join(page_lengths(pages), ["doc_id", "page_num"])
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    return known.withColumn("idf", idf).join(terms, "term")
+class Index:
+    """What scores need: ``terms`` (doc_id, page_num, term, tf, len, df, entropy) and
+    ``docs`` (doc_id, n, avg_len, mean_entropy).
+
+    ``save`` writes it, the postings sorted by term, so that a query's terms read few
+    row groups; ``load`` reads it back.
+    """
+
+    def __init__(self, terms: DataFrame, docs: DataFrame) -> None:
+        self.terms, self.docs = terms, docs
+
+    @classmethod
+    def build(cls, pages: DataFrame) -> Index:
+        """pages: (doc_id, page_num, text). Texts are cut into words once."""
+        words = pages.select("doc_id", "page_num", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("ts"))
+        each = words.select("doc_id", "page_num", F.size("ts").alias("len"), F.explode("ts").alias("term"))
+        posted = each.groupBy("doc_id", "page_num", "term", "len").agg(F.count("*").alias("tf"))
+        stats = term_stats(posted)
+        sizes = words.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avg_len"))
+        docs = sizes.join(stats.groupBy("doc_id").agg(F.avg("entropy").alias("mean_entropy")), "doc_id", "left")
+        return cls(posted.join(stats, ["doc_id", "term"]), docs)
+
+    def save(self, base: str, mode: str = "errorifexists") -> None:
+        self.terms.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{base}/terms")
+        self.docs.write.mode(mode).parquet(f"{base}/docs")
+
+    @classmethod
+    def load(cls, spark: SparkSession, base: str) -> Index:
+        return cls(spark.read.parquet(f"{base}/terms"), spark.read.parquet(f"{base}/docs"))
+
+    def matches(self, queries: DataFrame) -> DataFrame:
+        """Postings of the query terms with all that both scores need."""
+        terms = query_terms(queries)
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+        return self.terms.join(terms, "term").join(self.docs, "doc_id").withColumn("idf", idf)
+
+    def bm25(self, queries: DataFrame, top_k: int | None = 5, k1: float = K1, b: float = B) -> DataFrame:
+        return top_pages(self.scores(queries, k1, b).filter("bm25 > 0").select("query_id", "doc_id", "page_num", F.col("bm25").alias("score")), top_k)
+
+    def bmx(self, queries: DataFrame, top_k: int | None = 5) -> DataFrame:
+        return top_pages(self.scores(queries).filter("bmx > 0").select("query_id", "doc_id", "page_num", F.col("bmx").alias("score")), top_k)
+
+    def scores(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, doc_id, page_num, bm25, bmx) of every page with a word of the query.
+
+        A document's mean entropy is over all its terms, asked for or not.
+        """
+        tf, norm = F.col("tf"), 1.0 - b + b * F.col("len") / F.col("avg_len")
+        alpha = F.least(F.greatest(F.col("avg_len") / 100.0, F.lit(0.5)), F.lit(1.5))
+        beta = 1.0 / F.log(F.col("n") + 1.0)
+        plain = F.col("times") * F.col("idf") * tf * (k1 + 1.0) / (tf + k1 * norm)
+        lexical = F.col("times") * F.col("idf") * tf * (alpha + 1.0) / (tf + alpha * F.col("len") / F.col("avg_len") + alpha * F.col("mean_entropy"))
+        # the share of the query that a page matches is a sum over the same group
+        bmx_score = F.sum("lexical") + F.sum("times") / F.max("asked") * F.sum("weight")
+        found = self.matches(queries).withColumns({"plain": plain, "lexical": lexical, "weight": F.col("times") * F.col("entropy") * beta})
+        return found.groupBy("query_id", "doc_id", "page_num").agg(F.round(F.sum("plain"), 6).alias("bm25"), F.round(bmx_score, 6).alias("bmx"))
 
 
 def top_pages(scored: DataFrame, top_k: int | None) -> DataFrame:
@@ -66,27 +114,12 @@ def top_pages(scored: DataFrame, top_k: int | None) -> DataFrame:
 
 def bm25(pages: DataFrame, queries: DataFrame, top_k: int | None = 5, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, page_num, score); pages: (doc_id, page_num, text)."""
-    tf, norm = F.col("tf"), 1.0 - b + b * F.col("len") / F.col("avg_len")
-    part = F.col("times") * F.col("idf") * tf * (k1 + 1.0) / (tf + k1 * norm)
-    scored = _matches(pages, queries).groupBy("query_id", "doc_id", "page_num").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_pages(scored.filter("score > 0"), top_k)
+    return Index.build(pages).bm25(queries, top_k, k1, b)
 
 
 def bmx(pages: DataFrame, queries: DataFrame, top_k: int | None = 5) -> DataFrame:
-    """Entropy-weighted ranking; the result is like bm25's.
-
-    A document's mean entropy is over all its terms, asked for or not.
-    """
-    mean = term_stats(postings(pages)).groupBy("doc_id").agg(F.avg("entropy").alias("mean_entropy"))
-    alpha = F.least(F.greatest(F.col("avg_len") / 100.0, F.lit(0.5)), F.lit(1.5))
-    beta = 1.0 / F.log(F.col("n") + 1.0)
-    tf = F.col("tf")
-    lexical = F.col("times") * F.col("idf") * tf * (alpha + 1.0) / (tf + alpha * F.col("len") / F.col("avg_len") + alpha * F.col("mean_entropy"))
-    matched = _matches(pages, queries).join(mean, "doc_id").withColumns({"lexical": lexical, "weight": F.col("times") * F.col("entropy") * beta})
-    # the share of the query that a page matches is a sum over the same group
-    score = F.sum("lexical") + F.sum("times") / F.max("asked") * F.sum("weight")
-    scored = matched.groupBy("query_id", "doc_id", "page_num").agg(F.round(score, 6).alias("score"))
-    return top_pages(scored.filter("score > 0"), top_k)
+    """Entropy-weighted ranking; the result is like bm25's."""
+    return Index.build(pages).bmx(queries, top_k)
 
 
 def multi_query(scored: DataFrame, top_k: int | None = 5) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fx
-from foliant.operators import corpus, graph, hits, layout, lexical, tables, tree
+from foliant.operators import answer, channels, corpus, dom, graph, hits, layout, lexical, normalise, tables, tree
 from foliant.plans import fixtures as fix
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 _PG = "pg AS (SELECT source AS doc_id, doc_id + 1 AS page_num, text FROM documents)"
-_Q = f"q AS (SELECT item_id AS query_id, array_to_string(list_slice({_TOK.format('text')}, 1, 5), ' ') AS query FROM benchmark)"
+_Q = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _INDEX = f"""{_PG}, {_Q},
 post AS (SELECT doc_id, page_num, term, count(*) AS tf FROM (SELECT doc_id, page_num, unnest({_TOK.format('text')}) AS term FROM pg) GROUP BY ALL),
 size AS (SELECT doc_id, page_num, coalesce(len({_TOK.format('text')}), 0) AS n_words FROM pg),
@@ -78,10 +78,12 @@ nb AS (SELECT DISTINCT query_id, doc_id, page_num + x.d AS page_num FROM f, (VAL
 SELECT *, 'ranked' AS kind FROM f UNION ALL SELECT query_id, doc_id, page_num, 0.1 AS score, 'neighbour' AS kind FROM nb SEMI JOIN pg USING (doc_id, page_num) ANTI JOIN f USING (query_id, doc_id, page_num)""")
 def r1_hybrid(spark: SparkSession, d: str) -> DataFrame:
     pages, queries = fix.pages(spark, d), fix.queries(spark, d)
-    own = lexical.bmx(pages, queries, None)
+    scored = lexical.Index.build(pages).scores(queries)
+    own = scored.filter("bmx > 0").select("query_id", "doc_id", "page_num", F.col("bmx").alias("score"))
+    plain = scored.filter("bm25 > 0").select("query_id", "doc_id", "page_num", F.col("bm25").alias("score"))
     first = lexical.top_pages(own, 15).select("query_id", "doc_id", "page_num", F.lit("bmx_multiquery").alias("channel"), (2.0 * F.col("score")).alias("score"), "page_num")
     first = first.toDF("query_id", "doc_id", "page_num", "channel", "score", "pos")
-    second = lexical.bm25(pages, queries, 60).select("query_id", "doc_id", "page_num", F.lit("bm25").alias("channel"), "score", F.col("page_num").alias("pos"))
+    second = lexical.top_pages(plain, 60).select("query_id", "doc_id", "page_num", F.lit("bm25").alias("channel"), "score", F.col("page_num").alias("pos"))
     return hits.hybrid(first.unionByName(second), own, pages)
 
 
@@ -135,6 +137,46 @@ def t34_context(spark: SparkSession, d: str) -> DataFrame:
     return hits.context(_hits(spark, d))
 
 
+@query(f"""WITH {_HITS}, l AS (SELECT DISTINCT ON (query_id, page_num) query_id, page_num, text FROM h ORDER BY query_id, page_num, length(text) DESC, pos), c AS (SELECT query_id, page_num, count(DISTINCT channel)::INT AS n_channels FROM h GROUP BY 1, 2),
+s AS (SELECT query_id, page_num, channel, min(pos) AS pos FROM h GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY pos) AS rk FROM s), k AS (SELECT query_id, count(DISTINCT channel) AS n FROM h GROUP BY 1),
+f AS (SELECT query_id, page_num, round(sum(1.0::DOUBLE / (60 + rk)) + (any_value(n) - count(*)) / 10060.0::DOUBLE, 9) AS score, min(pos) AS pos FROM r JOIN k USING (query_id) GROUP BY 1, 2)
+SELECT f.query_id, f.page_num, score, text, n_channels FROM f JOIN l USING (query_id, page_num) JOIN c USING (query_id, page_num) QUALIFY row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, f.pos) <= 15""")
+def r4_rrf_hits(spark: SparkSession, d: str) -> DataFrame:
+    return hits.rrf_hits(_hits(spark, d)).select("query_id", "page_num", "score", "text", F.size("channel_scores").alias("n_channels"))
+
+
+@query(f"WITH {_HITS}, m AS (SELECT query_id, page_num, channel, arg_max(score, pos) AS last FROM h GROUP BY 1, 2, 3) SELECT query_id, page_num, string_agg(channel || '=' || last, ' ' ORDER BY channel) AS channel_scores FROM m GROUP BY 1, 2")
+def a15_channel_scores(spark: SparkSession, d: str) -> DataFrame:
+    each = F.transform(F.array_sort(F.map_entries("channel_scores")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return hits.accumulate(_hits(spark, d)).select("query_id", "page_num", F.array_join(each, " ").alias("channel_scores"))
+
+
+@query(f"""WITH {_HITS}, c AS (SELECT query_id, string_agg('[Page ' || page_num || ']' || chr(10) || trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM h GROUP BY 1)
+SELECT query_id, '=== CONTEXT ===' || chr(10) || context || chr(10) || '=== END ===' || chr(10) || chr(10) || 'Question: what of ' || query_id || '?' || chr(10) || 'Answer:' AS prompt, length(context)::INT AS context_chars FROM c""")
+def y1_prompts(spark: SparkSession, d: str) -> DataFrame:
+    found = _hits(spark, d)
+    asked = found.select("query_id").distinct().withColumn("query", F.concat(F.lit("what of "), F.col("query_id").cast("string"), F.lit("?")))
+    return answer.prompts(found, asked, most=10_000_000).drop("query")
+
+
+@query(f"""WITH {_PG}, m AS (SELECT doc_id, count(*) AS total_pages, arg_min(substr(text, 1, 400), page_num) AS summary FROM pg GROUP BY 1), l AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS ord FROM m)
+SELECT string_agg('- id=' || doc_id || ' title="' || doc_id || '"' || chr(10) || '  summary: ' || substr(coalesce(summary, ''), 1, 300) || chr(10) || '  entities: ' || chr(10) || '  pages: ' || total_pages, chr(10) ORDER BY ord) AS text FROM l""")
+def t35_documents(spark: SparkSession, d: str) -> DataFrame:
+    metas = corpus.doc_meta(fix.pages(spark, d))
+    named = metas.withColumns({"ord": F.row_number().over(Window.orderBy("doc_id")), "name": F.col("doc_id"), "title": F.lit(""), "top_entities": F.lit(None).cast("array<string>")})
+    return answer.document_list(named, 1_000_000)
+
+
+@query("""WITH a AS (SELECT c_nationkey AS query_id, c_custkey AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, c_name AS answer FROM customer QUALIFY place < 3)
+SELECT n_nationkey AS query_id, CASE WHEN count(doc_id) = 0 THEN 'No document fits the question.' WHEN count(doc_id) = 1 THEN any_value(answer) ELSE string_agg('## From document ' || doc_id || chr(10) || answer, chr(10) || chr(10) ORDER BY place) END AS answer, count(doc_id)::INT AS n_picked
+FROM nation LEFT JOIN a ON n_nationkey = query_id GROUP BY 1""")
+def y4_combined(spark: SparkSession, d: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    answers = fix.table(spark, d, "customer").withColumn("place", place).filter("place < 3").select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("doc_id"), "place", F.col("c_name").alias("answer"), F.lit(None).cast("string").alias("error"))
+    asked = fix.table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"))
+    return answer.combined(answers, asked).select("query_id", "answer", F.size("picked").alias("n_picked"))
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 16 AND role IN ('user', 'assistant')")
 def y1_history(spark: SparkSession, d: str) -> DataFrame:
     return hits.history(fix.table(spark, d, "conversations")).select("conv_id", "turn", "role")
@@ -218,14 +260,89 @@ def t21_cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_ROWS} SELECT l_orderkey AS page_num, '| line | part | flag |' || chr(10) || '| --- | --- | --- |' || string_agg(CASE WHEN l_linenumber > 9999999 THEN '' WHEN length(l_partkey::VARCHAR) <= 2 THEN '' ELSE chr(10) || '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' |' END, '' ORDER BY row_no) AS markdown FROM r GROUP BY 1""")
 def t15_render(spark: SparkSession, d: str) -> DataFrame:
-    return tables.rendered(tables.tables(tables.cells(fix.order_tables(spark, d)))).select("page_num", "markdown")
+    return tables.rendered(tables.parsed(fix.order_tables(spark, d))).select("page_num", "markdown")
+
+
+_SPLIT = """p AS (SELECT l_orderkey AS o, l_orderkey // 64 AS doc_id, (l_orderkey // 5) % 2 AS h, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+g AS (SELECT *, o - row_number() OVER (PARTITION BY doc_id, h ORDER BY o) AS run FROM p),
+m AS (SELECT doc_id, min(o) AS page_num, max(o) AS last_page, count(*) AS n_pages, sum(n) AS n_rows, any_value(h) AS h FROM g GROUP BY doc_id, h, run)"""
 
 
-@query("""WITH p AS (SELECT l_orderkey AS o, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT *, o - row_number() OVER (ORDER BY o) AS run FROM p)
-SELECT min(o) AS page_num, count(*)::INT AS n_pages, sum(n)::INT AS n_rows FROM g GROUP BY run""")
+@query(f"WITH {_SPLIT} SELECT doc_id, page_num, last_page, n_pages::INT AS n_pages, n_rows::INT AS n_rows, CASE WHEN h = 0 THEN 'flag' ELSE 'status' END AS last_header FROM m")
 def m5_stitch(spark: SparkSession, d: str) -> DataFrame:
-    pages = fix.order_tables(spark, d).withColumn("doc_id", F.lit("all"))
-    return tables.stitched(tables.tables(tables.cells(pages))).select("page_num", F.size("pages").alias("n_pages"), F.size("rows").alias("n_rows"))
+    merged = tables.stitched(tables.parsed(fix.split_tables(spark, d)))
+    return merged.select("doc_id", "page_num", F.element_at("pages", -1).alias("last_page"), F.size("pages").alias("n_pages"), F.size("rows").alias("n_rows"), F.element_at("headers", -1).alias("last_header"))
+
+
+@query(f"WITH {_SPLIT} SELECT doc_id, count(*) AS n_tables, sum((n_pages > 1)::INT)::BIGINT AS n_spans, string_agg(CASE WHEN n_pages > 1 THEN page_num || '-' || last_page || ':' || n_rows END, ' ' ORDER BY page_num) AS spans FROM m GROUP BY 1")
+def m6_report(spark: SparkSession, d: str) -> DataFrame:
+    told = tables.stitch_report(tables.stitched(tables.parsed(fix.split_tables(spark, d))))
+    one = F.transform("spans", lambda x: F.concat(x["pages"][0].cast("string"), F.lit("-"), F.element_at(x["pages"], -1).cast("string"), F.lit(":"), x["n_rows"].cast("string")))
+    return told.select("doc_id", "n_tables", "n_spans", F.when(F.size("spans") > 0, F.array_join(one, " ")).alias("spans"))
+
+
+@query("SELECT n_regionkey AS page_num, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS row_no, r_name AS region, n_name AS nation, 'places > region|places > nation' AS headers FROM nation JOIN region ON n_regionkey = r_regionkey")
+def t21_spans(spark: SparkSession, d: str) -> DataFrame:
+    found = tables.parsed(fix.region_tables(spark, d)).select("page_num", F.array_join("headers", "|").alias("headers"), F.posexplode("rows").alias("row_no", "r"))
+    return found.select("page_num", "row_no", F.col("r")[0].alias("region"), F.col("r")[1].alias("nation"), "headers")
+
+
+@query("""SELECT p_partkey AS page_num, 'Columns: key, name, brand, type, col_5, size, price, col_5' || chr(10) || chr(10) || '**Row 1:**' || chr(10) || '- key: ' || p_partkey || chr(10) || '- name: ' || p_name || chr(10) || '- brand: ' || p_brand || chr(10) || '- type: ' || p_type
+|| CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '- col_5: x' ELSE '' END || chr(10) || '- size: ' || p_size || chr(10) || '- price: ' || floor(p_retailprice)::BIGINT || chr(10) || '- col_5: long note' AS markdown FROM part""")
+def t16_wide(spark: SparkSession, d: str) -> DataFrame:
+    return tables.rendered(tables.parsed(fix.wide_tables(spark, d))).select("page_num", "markdown")
+
+
+@query(f"""WITH {_ROWS} SELECT l_orderkey AS page_num, 'before | line | part | flag |' || chr(10) || '| --- | --- | --- |' || string_agg(CASE WHEN length(l_partkey::VARCHAR) <= 2 THEN '' ELSE chr(10) || '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' |' END, '' ORDER BY row_no) || ' after' AS text FROM r GROUP BY 1""")
+def t18_replaced(spark: SparkSession, d: str) -> DataFrame:
+    return tables.replaced(fix.order_tables(spark, d)).select("page_num", "text")
+
+
+_KIND = "['Table', 'Hình', 'BẢNG', 'Diagram', 'Biểu', 'sơ đồ'][p_partkey % 6 + 1]"
+_MARK = "['(7)', '(**)', '[12]', '***'][p_partkey % 4 + 1]"
+
+
+@query(f"SELECT p_partkey AS page_num, {_KIND} || ' ' || p_size || '.1' AS caption, p_name AS title, {_MARK} AS marker, 'see ' || p_name AS note FROM part")
+def t6_elements(spark: SparkSession, d: str) -> DataFrame:
+    captions, footnotes = normalise.elements(fix.tagged(spark, d))
+    named = captions.select("page_num", F.concat("kind", F.lit(" "), "number").alias("caption"), "title")
+    return named.join(footnotes.select("page_num", "marker", "note"), "page_num")
+
+
+@query(f"""SELECT p_partkey AS page_num, (p_partkey % 3 = 0)::INT AS affected_cells, p_partkey % 3 = 0 AS has_ellipsis, p_partkey % 6 = 0 AS fallback_appended,
+'Intro' || chr(10) || '<!-- CAPTION: ' || {_KIND} || ' ' || p_size || '.1 -->' || chr(10) || {_KIND} || ' ' || p_size || '.1 - ' || p_name || chr(10) || '<!-- FOOTNOTE: ' || {_MARK} || ' -->' || chr(10) || {_MARK} || ' see ' || p_name || chr(10) || '(1234) no note' || chr(10) || '|   |   |' || chr(10) || '| --- | --- |' || chr(10) || '| a | ' || CASE WHEN p_partkey % 3 = 0 THEN '...' ELSE 'b' END || ' |'
+|| CASE WHEN p_partkey % 3 <> 0 THEN '' WHEN p_partkey % 2 = 0 THEN chr(10) || chr(10) || '<!-- 1 table cells were elided on page ' || p_partkey || '; its text layer follows. -->' || chr(10) || chr(10) || trim(repeat('layer ', 12)) || chr(10)
+ELSE chr(10) || chr(10) || '<!-- 1 table cells were elided on page ' || p_partkey || '; it has no text layer. -->' || chr(10) END AS text FROM part""")
+def t9_normalised(spark: SparkSession, d: str) -> DataFrame:
+    return normalise.normalised(fix.tagged(spark, d)).drop("doc_id")
+
+
+_CELLS = f"""{_ROWS}, c AS (SELECT l_orderkey AS doc_id, row_no, k, [l_linenumber::VARCHAR, l_partkey::VARCHAR, l_returnflag][k + 1] AS text FROM r, range(0, 3) AS x(k))"""
+
+
+def _dom(spark: SparkSession, d: str) -> DataFrame:
+    return dom.nodes(fix.order_tables(spark, d).select(F.col("page_num").alias("doc_id"), "text"), "text")
+
+
+@query(f"WITH {_CELLS} SELECT doc_id, 'Table > Row ' || (row_no + 2) || ' > Cell ' || (k + 1) AS breadcrumb, text FROM c")
+def d3_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
+    found = _dom(spark, d)
+    cells = dom.searchable(found).filter("tag = 'td'").select("doc_id", "node_id", "text")
+    return dom.breadcrumbs(found).join(cells, ["doc_id", "node_id"]).select("doc_id", "breadcrumb", "text")
+
+
+@query(f"WITH {_CELLS}, t AS (SELECT doc_id, row_no, string_agg(text, ' ' ORDER BY k) AS subtree_text FROM c GROUP BY 1, 2) SELECT doc_id, 'tr' AS tag, subtree_text FROM t UNION ALL SELECT doc_id, 'table', 'line part flag ' || string_agg(subtree_text, ' ' ORDER BY row_no) FROM t GROUP BY 1 UNION ALL SELECT DISTINCT doc_id, 'tr', 'line part flag' FROM t")
+def d4_subtree_texts(spark: SparkSession, d: str) -> DataFrame:
+    found = _dom(spark, d)
+    return dom.subtree_texts(found).join(found.filter("tag in ('tr', 'table')").select("doc_id", "node_id", "tag"), ["doc_id", "node_id"]).select("doc_id", "tag", "subtree_text")
+
+
+@query(f"WITH {_CELLS} SELECT doc_id, row_no + 1 AS row_no, k::INT AS nth, k::INT AS n_before, (2 - k)::INT AS n_after FROM c")
+def d5_siblings(spark: SparkSession, d: str) -> DataFrame:
+    found = _dom(spark, d)
+    rows = found.filter("tag = 'tr'").select("doc_id", F.col("node_id").alias("parent_id"), F.col("nth").cast("long").alias("row_no"))
+    cells = dom.siblings(found, 3).filter("tag = 'td'").select("doc_id", "parent_id", "nth", F.size("preceding").alias("n_before"), F.size("following").alias("n_after"))
+    return cells.join(rows, ["doc_id", "parent_id"]).select("doc_id", "row_no", "nth", "n_before", "n_after")
 
 
 _ITEMS = "i AS (SELECT l_orderkey AS page, l_linenumber AS line, k, l_linenumber * 20 + (l_partkey + k) % 6 AS top, k * 100 + l_suppkey % 7 AS lft FROM lineitem, range(0, 4) AS c(k))"
@@ -246,6 +363,21 @@ def l4_table_pages(spark: SparkSession, d: str) -> DataFrame:
     return layout.table_pages(fix.items(spark, d))
 
 
+@query(f"""WITH {_ROWS}, x AS (SELECT l_orderkey AS page, l_linenumber AS n, [l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_returnflag][k + 1] AS text, k, k * 100 + l_suppkey % 7 AS lft FROM lineitem, range(0, 4) AS c(k)),
+c AS (SELECT page, n, k, string_agg(text, ' ' ORDER BY lft, text) AS text FROM x GROUP BY 1, 2, 3),
+t AS (SELECT page, n, '  <tr>' || chr(10) || string_agg('    <td>' || text || '</td>', chr(10) ORDER BY k) || chr(10) || '  </tr>' AS tr FROM c GROUP BY 1, 2)
+SELECT page, 'table' AS page_type, '<section id="page-' || page || '" data-page="' || page || '" data-type="table">' || chr(10) || '<table>' || chr(10) || string_agg(tr, chr(10) ORDER BY n) || chr(10) || '</table>' || chr(10) || '</section>' AS html FROM t GROUP BY 1""")
+def l7_page_html(spark: SparkSession, d: str) -> DataFrame:
+    return layout.page_html(fix.items(spark, d).withColumns({"width": F.lit(10), "height": F.lit(12), "bold": F.lit(False)}))
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, count(*) OVER (PARTITION BY l_orderkey) AS lines, l_partkey, l_returnflag FROM lineitem),
+t AS (SELECT *, CASE WHEN n = 1 AND lines > 2 THEN 'h2' WHEN n <= 2 THEN CASE WHEN n = 1 AND lines <= 2 THEN 'h3' ELSE 'h3' END ELSE 'p' END AS tag, CASE WHEN n <= 2 THEN '<strong>' ELSE '' END AS a, CASE WHEN n <= 2 THEN '</strong>' ELSE '' END AS b FROM r)
+SELECT page, string_agg('<' || tag || '>' || a || l_partkey || b || ' ' || a || l_returnflag || b || '</' || tag || '>', chr(10) ORDER BY n) AS html FROM t GROUP BY 1""")
+def l6_text_html(spark: SparkSession, d: str) -> DataFrame:
+    return layout.text_html(fix.styled(spark, d))
+
+
 _HEADS = """h AS (SELECT n_regionkey AS doc_id, n_nationkey + 1 AS page_num, 0 AS line_no, 2 AS level, n_name AS title FROM nation
 UNION ALL SELECT n_regionkey, n_nationkey + 1, 2 * row_number() OVER (PARTITION BY n_nationkey ORDER BY s_name) - 1, 3, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, line_no) AS ord FROM h)"""
@@ -279,6 +411,69 @@ def n9_orphans(spark: SparkSession, d: str) -> DataFrame:
     return tree.orphan_ranges(tree.headings(fix.headed(spark, d)), _totals(spark, d))
 
 
+@query(f"WITH {_HEADS} SELECT doc_id, lpad(ord::VARCHAR, 4, '0') AS node_id, title, level::INT AS level, page_num::BIGINT AS page_start, page_num::BIGINT AS page_end FROM o")
+def n15_tree(spark: SparkSession, d: str) -> DataFrame:
+    nodes = tree.build_tree(fix.headed(spark, d), _totals(spark, d))
+    return nodes.select("doc_id", "node_id", "title", "level", "page_start", "page_end")
+
+
+@query(f"WITH {_HEADS} SELECT doc_id, string_agg(CASE WHEN level = 3 THEN '  ' ELSE '' END || '- [' || lpad(ord::VARCHAR, 4, '0') || '] ' || title || ' (p.' || page_num || ')', chr(10) ORDER BY ord) AS outline FROM o GROUP BY 1")
+def t31_outline(spark: SparkSession, d: str) -> DataFrame:
+    return tree.outline(tree.build_tree(fix.headed(spark, d), _totals(spark, d)))
+
+
+_SPARSE = """p AS (SELECT p_partkey % 3 AS doc_id, p_partkey // 3 + 1 AS page, p_partkey AS k, p_name || ' of page' AS body, (p_partkey // 3 + 1) % 20 = 3 AS head FROM part),
+t AS (SELECT doc_id, max(page) AS total FROM p GROUP BY 1),
+s AS (SELECT doc_id, page, 'Part ' || k AS title, lead(page) OVER (PARTITION BY doc_id ORDER BY page) AS following FROM p WHERE head),
+w AS (SELECT s.doc_id, page, title, coalesce(following - 1, total) AS last FROM s JOIN t USING (doc_id))"""
+
+
+@query(f"""WITH {_SPARSE} SELECT doc_id, title, 1 AS level, page AS page_start, last AS page_end FROM w
+UNION ALL SELECT w.doc_id, CASE WHEN p.head THEN 'Part ' || k ELSE body END, 2, p.page, p.page FROM w JOIN p ON p.doc_id = w.doc_id AND p.page BETWEEN w.page AND w.last WHERE w.last > w.page
+UNION ALL SELECT doc_id, 'Preamble', 1, 1, min(page) - 1 FROM s GROUP BY 1 HAVING min(page) > 1""")
+def n3_sections(spark: SparkSession, d: str) -> DataFrame:
+    pages = fix.sparse(spark, d).withColumn("page_num", F.col("page_num").cast("long"))
+    totals = pages.groupBy("doc_id").agg(F.max("page_num").cast("int").alias("total_pages"))
+    found = tree.sections_text(pages, remove_running=False)
+    return tree.section_tree(found, pages, totals).select("doc_id", "title", F.col("level").cast("int").alias("level"), "page_start", "page_end")
+
+
+@query("SELECT p_partkey % 3 AS doc_id, p_partkey // 3 + 1 AS page_start, (row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey))::INT AS ord, CASE WHEN (p_partkey // 3 + 1) % 20 = 3 THEN 'Part ' || p_partkey ELSE p_name || ' of page' END AS title FROM part")
+def n5_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = fix.sparse(spark, d).withColumn("page_num", F.col("page_num").cast("long"))
+    return tree.page_tree(tree.sections_text(pages, remove_running=False).filter("false"), pages).select("doc_id", "page_start", "ord", "title")
+
+
+_NODES = "n AS (SELECT p_partkey AS ord, p_brand || ' ' || p_name AS title, p_partkey * 2 AS a, p_partkey * 2 + p_partkey % 3 AS b FROM part)"
+
+
+@query(f"""WITH {_NODES}, q AS (SELECT DISTINCT p_size AS query_id FROM part), h AS (SELECT query_id, unnest(range(a, b + 1)) AS page_num, 25.0::DOUBLE / sqrt((b - a + 1)::DOUBLE) AS s FROM n JOIN q ON contains(title, query_id::VARCHAR) AND query_id >= 10),
+g AS (SELECT query_id, page_num, round(max(s), 6) AS score FROM h GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_num) AS pos FROM g QUALIFY pos <= 60""")
+def c3_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    asked = fix.table(spark, d, "part").select(F.col("p_size").alias("query_id")).distinct().withColumn("query", F.concat(F.lit("What is no. "), F.col("query_id").cast("string"), F.lit("?")))
+    return channels.identifier_boost(fix.part_nodes(spark, d), asked).select("query_id", "page_num", "score", "pos")
+
+
+@query(f"""WITH {_NODES}, p AS (SELECT p_size AS query_id, p_partkey AS ord, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS nth FROM part),
+h AS (SELECT query_id, nth, unnest(range(a, b + 1)) AS page_num FROM p JOIN n USING (ord)), g AS (SELECT query_id, page_num, min(nth) AS nth FROM h GROUP BY 1, 2)
+SELECT query_id, page_num, 20.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY nth, page_num) AS pos FROM g QUALIFY pos <= 60""")
+def c5_picked_nodes(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.lpad(k.cast("string"), 9, "0"))
+    replies = fix.table(spark, d, "part").groupBy(F.col("p_size").alias("query_id")).agg(F.concat(F.lit("These: "), F.to_json(ids)).alias("reply")).withColumn("doc_id", F.lit("d"))
+    return channels.llm_tree_nav(replies, fix.part_nodes(spark, d)).select("query_id", "page_num", "score", "pos")
+
+
+_EXPANDED = f"""{_INDEX}, e AS (SELECT query_id, doc_id, page_num, sum(s) AS score FROM (SELECT query_id, doc_id, page_num, 2.0 * score AS s FROM (SELECT * FROM bx WHERE score > 0 {_TOP.format(15)}) UNION ALL SELECT query_id, doc_id, page_num, 0.4 * score FROM (SELECT * FROM bx WHERE score > 0 {_TOP.format(8)})) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_EXPANDED} SELECT query_id, doc_id, page_num, round(score, 6) AS score FROM e {_TOP.format(60)}")
+def c1_multiquery(spark: SparkSession, d: str) -> DataFrame:
+    queries = fix.queries(spark, d)
+    replies = queries.select("query_id", F.concat(F.lit('1. "'), F.regexp_replace("query", r"\s+", " "), F.lit('"')).alias("reply"))
+    return channels.bmx_multiquery(lexical.Index.build(fix.pages(spark, d)), queries, replies).select("query_id", "doc_id", "page_num", "score")
+
+
 @query("SELECT n_regionkey AS doc_id, lower(n_name) AS key, string_agg('home of ' || s_name, '' ORDER BY s_suppkey)[1:0] || min_by('home of ' || s_name, (-length(s_name), s_suppkey)) AS description, count(*)::INT AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2 UNION ALL SELECT n_regionkey, lower(s_name), 'a supplier', count(*)::INT FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2")
 def a13_entities(spark: SparkSession, d: str) -> DataFrame:
     found, _ = graph.parse_lines(fix.replies(spark, d))
@@ -308,6 +503,51 @@ def g9_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.simple_paths(fix.edges(spark, d), pairs).select("src", "dst", F.array_join("path", ">").alias("path"))
 
 
+def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    entities, relations = graph.parse_lines(fix.replies(spark, d))
+    return graph.merge_entities(entities), graph.merge_relations(relations)
+
+
+@query("""WITH j AS (SELECT n_regionkey AS doc_id, lower(n_name) AS n, lower(s_name) AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey), q AS (SELECT DISTINCT doc_id, n FROM j),
+w AS (SELECT q.n AS query_id, j.doc_id, j.s AS entity, 'Organization' AS entity_type, 'part_of' AS edge_keywords, 1 AS distance, q.n AS via FROM q JOIN j USING (doc_id, n))
+SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY distance, entity)::INT AS place FROM w QUALIFY place <= 30""")
+def g8_annotated(spark: SparkSession, d: str) -> DataFrame:
+    entities, relations = _merged(spark, d)
+    names = entities.filter("entity_type = 'Place'").select(F.col("key").alias("query_id"), "doc_id", F.upper("key").alias("name"))
+    return graph.annotated_neighbours(entities, relations, names).drop("edge_description")
+
+
+@query("""WITH e AS (SELECT DISTINCT n_regionkey AS doc_id, lower(s_name) AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT DISTINCT n_regionkey, lower(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT key AS query_id, doc_id, key FROM e""")
+def g6_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    entities, _ = _merged(spark, d)
+    return graph.fuzzy_match(entities, entities.select(F.col("key").alias("query_id"), "doc_id", F.concat(F.lit(" "), F.upper("key"), F.lit(" ")).alias("name")))
+
+
+@query("""WITH j AS (SELECT n_regionkey AS doc_id, lower(n_name) AS n, lpad(s_suppkey::VARCHAR, 9, '0') AS node_id FROM supplier JOIN nation ON s_nationkey = n_nationkey), s AS (SELECT doc_id, n, min(node_id) AS node_id FROM j GROUP BY 1, 2)
+SELECT s.node_id AS query_id, j.doc_id, j.node_id, 1 AS distance FROM s JOIN j USING (doc_id, n)""")
+def g5_expand(spark: SparkSession, d: str) -> DataFrame:
+    entities, relations = _merged(spark, d)
+    seeds = entities.filter("entity_type = 'Place'").select(F.col("source_node_ids")[0].alias("query_id"), "doc_id", F.col("source_node_ids")[0].alias("node_id"))
+    found = graph.expand(entities, relations, seeds, 1)
+    return found.select("query_id", "doc_id", "node_id", "distance")
+
+
+@query("""WITH e AS (SELECT DISTINCT n_regionkey AS doc_id, lower(n_name) AS key FROM nation)
+SELECT doc_id, key, key AS canonical FROM e UNION ALL SELECT doc_id, key || ' inc', key FROM e UNION ALL SELECT doc_id, key || '  corp.', key FROM e""")
+def g2_resolved(spark: SparkSession, d: str) -> DataFrame:
+    names = fix.table(spark, d, "nation").select(F.col("n_regionkey").alias("doc_id"), F.explode(F.array(F.lower("n_name"), F.concat(F.lower("n_name"), F.lit(" inc")), F.concat(F.lower("n_name"), F.lit("  corp.")))).alias("key"))
+    return graph.resolved(names, distance=0)
+
+
+@query("""SELECT c_custkey AS query_id, lower(n_name) AS key FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def g7_entities(spark: SparkSession, d: str) -> DataFrame:
+    nation = fix.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("doc_id"), F.lower("n_name").alias("key"), F.lit("Place").alias("entity_type"), F.lit("").alias("description"), F.length("n_name").alias("n"))
+    asked = fix.table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("query_id"), "doc_id", F.concat(F.lit("about "), "key", F.lit(" and more")).alias("query"), F.col("key").alias("own"))
+    found = graph.find_entities(nation.select("doc_id", "key", "entity_type", "description"), asked).join(asked.select("query_id", "own"), "query_id")
+    return found.filter("length(key) = length(own)").select("query_id", "key")
+
+
 @query("SELECT c_custkey AS query_id, n_regionkey AS doc_id, lower(n_name) AS key FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def g4_seeds(spark: SparkSession, d: str) -> DataFrame:
     nation = fix.table(spark, d, "nation")
