@@ -4,18 +4,24 @@ A rolling hash over the last ``SPAN`` ids cuts each document's stream where it
 has ``CUT_BITS`` zero bits, so the same passage is cut alike wherever it stands.
 A chunk's address is the BLAKE2b hash of its ids' bytes; each distinct chunk is
 stored once. A document's recipe lists its chunks' addresses in order, and its
-root is the Merkle root over them; documents are gathered in parts, each with a
-root over its documents' roots, and the manifest has one root over all parts.
+root is the Merkle root over them. The manifest goes on from there: documents are
+spread over parts by their keys, each part has the Merkle root over its documents'
+roots, and above them each node has the Merkle root over up to ``FAN`` nodes, so no
+task holds more than a node's children.
 
 Ids are made and cut in one map over the documents, which leaves out chunks that
 the same task has stored already. Then there is one shuffle of chunks by address.
 Verification reads back what was stored: each chunk is hashed again, each root is
-made again from its recipe, and recipes meet the addresses that are sound.
+made again, and each stream is put together again from its chunks. For that a
+digest of the whole stream, a polynomial in two prime fields, was stored before it
+was cut; the chunks' own digests and lengths compose to it in the recipe's order
+exactly if they are the stream, so no ids move.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.bpe import VOCABULARY, vocabulary
-from foliant.llm.frames import col, removed, shared_dir
+from foliant.llm.frames import col, delete, shared_dir, write
 from foliant.llm.text import mix, slices
 
 #: Chunks end where the hash of the last SPAN ids has CUT_BITS zero bits, and no
 #: such place is among the LEAST before it; MOST ids at the latest.
 SPAN, CUT_BITS, LEAST, MOST = 16, 9, 64, 8192
-PART = 65_536
-_KNOWN = 500_000
+#: Documents of a part, and children of a node above the parts.
+PART, FAN = 4096, 4096
+_KNOWN = 200_000
+_PRIMES = np.array([2147483647, 2147483629], dtype=np.uint64)
+_RADIX = np.array([1103515245, 1664525001], dtype=np.uint64)
 _BASE = 0xA0761D6478BD642F
 _gear: np.ndarray | None = None
 
@@ -86,19 +95,56 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _powers(n: int) -> np.ndarray:
+    """2 x n powers of the radices in their fields, by doubling."""
+    out = np.ones((2, n), dtype=np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        step = np.array([[pow(int(r), done, int(p))] for r, p in zip(_RADIX, _PRIMES)], dtype=np.uint64)
+        out[:, done : done + more] = out[:, :more] * step % _PRIMES[:, None]
+        done += more
+    return out
+
+
+def digests(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One number per stream in a row: the sums of (id + 1) r^place in both fields."""
+    sizes = np.diff(ends)
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
+    powers = _powers(int(sizes.max()) if len(sizes) else 0)
+    out = np.zeros((2, len(sizes)), dtype=np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        for k in range(2):
+            terms = (ids.astype(np.uint64) + np.uint64(1)) * powers[k, place] % _PRIMES[k]
+            out[k, some] = np.add.reduceat(terms, ends[:-1][some]) % _PRIMES[k]
+    return (out[0] << np.uint64(31) | out[1]).astype(np.int64)
+
+
+def composed(parts: np.ndarray, sizes: np.ndarray) -> int:
+    """The digest of a stream from those of its chunks and their lengths, in order."""
+    out = []
+    before = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+    both = parts.astype(np.uint64)
+    for p, r, d in zip(_PRIMES, _RADIX, (both >> np.uint64(31), both & np.uint64(0x7FFFFFFF))):
+        out.append(sum(int(x) * pow(int(r), int(n), int(p)) for x, n in zip(d, before)) % int(p))
+    return out[0] << 31 | out[1]
+
+
 def _recipes(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     bpe = vocabulary(path)
     width = np.uint16 if len(bpe.rank_of_id) <= 65536 else np.uint32
     known: set[bytes] = set()
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             texts = part.column(1)
             none = texts.is_null().to_numpy(zero_copy_only=False)
             ids, ends = bpe.encode(texts)
             stops = cut(ids, ends)
             data = ids.astype(width).tobytes()
             item = np.dtype(width).itemsize
-            pieces = [data[a * item : b * item] for a, b in zip(np.concatenate([[0], stops[:-1]]).tolist(), stops.tolist())]
+            edges = (np.concatenate([[0], stops]) * item).tolist()
+            pieces = [data[a:b] for a, b in zip(edges[:-1], edges[1:])]
             addresses = [address(p) for p in pieces]
             edges = np.searchsorted(stops, ends, side="right")
             new: list[bytes | None] = []
@@ -107,68 +153,101 @@ def _recipes(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) ->
                 known.add(a)
             if len(known) > _KNOWN:
                 known.clear()
-            roots = [merkle(addresses[low:high]) for low, high in zip(edges[:-1], edges[1:])]
+            low = edges.tolist()
+            roots = [merkle(addresses[a:b]) for a, b in zip(low[:-1], low[1:])]
             offsets = pa.array(edges.astype(np.int32))
             recipe = pa.ListArray.from_arrays(offsets, pa.array(addresses, pa.binary()), mask=pa.array(none))
             chunks = pa.ListArray.from_arrays(offsets, pa.array(new, pa.binary()), mask=pa.array(none))
-            counts = pa.array(np.diff(ends), mask=none)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), counts, recipe, chunks, pa.array(roots, pa.binary(), mask=none)], names=names)
+            counts, whole = pa.array(np.diff(ends), mask=none), pa.array(digests(ids, ends), mask=none)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), counts, whole, recipe, chunks, pa.array(roots, pa.binary(), mask=none)], names=names)
 
 
-def save(docs: DataFrame, base: str, path: str = VOCABULARY, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> None:
+def save(docs: DataFrame, base: str, path: str = VOCABULARY, part: int = PART, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write a store below ``base``: tables chunks, recipes and manifest.
 
-    chunks (address, n_bytes, ids) has each distinct chunk once; recipes (doc_id,
-    key, n_tokens, recipe, root, part) a row per row of docs; manifest (part,
-    documents, root) a row per part, and one of part -1 over all parts. A null
-    text has a null recipe and root; an empty one an empty recipe and the root of
-    nothing. Repeated rows repeat recipes only. A null id stays null; other
-    columns are ignored; an empty table makes empty tables but for the last root.
+    chunks (address, ids) has each distinct chunk once; recipes (doc_id, key, key2,
+    n_tokens, digest, recipe, root, part) a row per row of docs; manifest (level,
+    idx, documents, root) a row per part at level 0 and per node above, one at the
+    top. A null text has a null recipe and root and counts as a document whose root
+    is that of nothing; an empty one has an empty recipe and the root of nothing.
+    Repeated rows repeat recipes only, and count in a part's leaf. A null id stays
+    null; other columns are ignored; an empty table makes empty tables. Long texts
+    make long recipes, one chunk of at most ``MOST`` ids each.
     """
     spark = docs.sparkSession
-    key = F.xxhash64(col(id_col), col(text_col))
-    narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), key.alias("key"))
-    kinds = T.StructType([narrow.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("recipe", T.ArrayType(T.BinaryType())), T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType())])
+    narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(id_col), col(text_col)).alias("key"), F.hash(col(id_col), col(text_col)).alias("key2"))
+    kinds = T.StructType([narrow.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("key2", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("recipe", T.ArrayType(T.BinaryType())), T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType())])
     names = kinds.fieldNames()
     raw = f"{base}/raw"
-    narrow.mapInArrow(lambda batches: _recipes(batches, path, names), kinds).write.option("compression", "zstd").parquet(raw)
+    write(narrow.mapInArrow(lambda batches: _recipes(batches, path, names), kinds), raw, "zstd")
     made = spark.read.schema(kinds).parquet(raw)
     pairs = made.select(F.explode(F.arrays_zip("recipe", "chunks")).alias("c")).select(F.col("c.recipe").alias("address"), F.col("c.chunks").alias("ids")).filter("ids is not null")
-    pairs.repartition("address").dropDuplicates(["address"]).select("address", F.octet_length("ids").alias("n_bytes"), "ids").write.option("compression", "zstd").parquet(f"{base}/chunks")
-    parts = max(1, -(-made.count() // part))
-    recipes = made.select("doc_id", "key", "n_tokens", "recipe", "root", F.pmod("key", F.lit(parts)).alias("part"))
-    recipes.write.option("compression", "zstd").parquet(f"{base}/recipes")
-    stored = spark.read.parquet(f"{base}/recipes")
-    manifest_of(stored).write.parquet(f"{base}/manifest")
-    removed(spark, made)
+    write(pairs.repartition("address").dropDuplicates(["address"]), f"{base}/chunks", "zstd")
+    parts = max(1, math.ceil(made.count() / part))
+    recipes = made.select("doc_id", "key", "key2", "n_tokens", "digest", "recipe", "root", F.pmod(F.xxhash64("key", "key2"), F.lit(parts)).alias("part"))
+    write(recipes, f"{base}/recipes", "zstd")
+    delete(spark, raw)
+    levels = 0
+    while parts > 1:
+        parts, levels = math.ceil(parts / fan), levels + 1
+    write(manifest_of(spark.read.parquet(f"{base}/recipes"), levels, fan), f"{base}/manifest")
+
+
+def _joined(groups: DataFrame) -> DataFrame:
+    """(idx, documents, root) from (idx, documents, leaves): Merkle roots over sorted leaves."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = [merkle([bytes(x) for x in leaves]) for leaves in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roots, pa.binary())], names=["idx", "documents", "root"])
 
-def _digest(values: str, prefix: str) -> F.Column:
-    return F.unhex(F.sha2(F.concat(F.lit(prefix), F.array_join(F.array_sort(F.collect_list(F.hex(values))), "")).cast("binary"), 256))
+    return groups.mapInArrow(rows, "idx long, documents long, root binary")
 
 
-def manifest_of(recipes: DataFrame) -> DataFrame:
-    """(part, documents, root): parts, and part -1 over all."""
-    parts = recipes.groupBy("part").agg(F.count("*").alias("documents"), _digest("root", "part").alias("root"))
-    tagged = F.concat(F.encode(F.col("part").cast("string"), "utf-8"), F.lit(b":"), F.col("root"))
-    whole = parts.select("documents", tagged.alias("root")).agg(F.lit(-1).cast("long").alias("part"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), _digest("root", "all").alias("root"))
-    return parts.select(F.col("part").cast("long").alias("part"), "documents", "root").unionByName(whole)
+def manifest_of(recipes: DataFrame, levels: int, fan: int = FAN) -> DataFrame:
+    """(level, idx, documents, root): parts at level 0, up to one node at the top."""
+    none = F.coalesce("root", F.lit(merkle([])))
+    # copies of a row are one leaf with their number
+    rows = recipes.groupBy("part", "key", "key2", none.alias("root")).agg(F.count("*").alias("n"))
+    leaf = F.concat(F.unhex(F.lpad(F.hex("key"), 16, "0")), F.unhex(F.lpad(F.hex("key2"), 16, "0")), F.unhex(F.lpad(F.hex("n"), 16, "0")), F.col("root"))
+    now = _joined(rows.groupBy(F.col("part").alias("idx")).agg(F.sum("n").alias("documents"), F.array_sort(F.collect_list(leaf)).alias("leaves")))
+    out = now.withColumn("level", F.lit(0))
+    for level in range(1, levels + 1):
+        leaf = F.concat(F.unhex(F.lpad(F.hex("idx"), 16, "0")), F.col("root"))
+        now = _joined(now.groupBy(F.floor(F.col("idx") / fan).alias("idx")).agg(F.sum("documents").alias("documents"), F.array_sort(F.collect_list(leaf)).alias("leaves")))
+        out = out.unionByName(now.withColumn("level", F.lit(level)))
+    return out.select("level", "idx", "documents", "root")
 
 
-def verify(spark: SparkSession, base: str) -> DataFrame:
+def verify(spark: SparkSession, base: str, path: str = VOCABULARY, fan: int = FAN) -> DataFrame:
     """(doc_id, n_tokens, n_chunks, part, root, verified) from what is stored.
 
     ``verified`` says that every chunk of the recipe is there and hashes to its
-    address, that the recipe gives the root, and that part and whole have the
-    roots of the manifest. It is null with a null recipe.
+    address, that the chunks in order are the stream of which the digest and the
+    length were stored, that the recipe gives the root, and that the document's
+    part and all nodes above have the roots of the manifest. It is null with a
+    null recipe. A part that fails is told from the others, a damaged node above
+    concerns all below it.
     """
     recipes, chunks, manifest = (spark.read.parquet(f"{base}/{name}") for name in ("recipes", "chunks", "manifest"))
+    width = np.uint16 if len(vocabulary(path).rank_of_id) <= 65536 else np.uint32
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sound = [a for a, d in zip(named, data) if a == address(d)]
-            yield pa.RecordBatch.from_arrays([pa.array(sound, pa.binary())], names=["address"])
+            sound = [k for k, (a, d) in enumerate(zip(named, data)) if a == address(d)]
+            sizes = np.array([len(data[k]) // np.dtype(width).itemsize for k in sound], dtype=np.int64)
+            ids = np.frombuffer(b"".join(data[k] for k in sound), dtype=width)
+            found = digests(ids, np.concatenate([[0], np.cumsum(sizes)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sound, pa.int64())), pa.array(sizes), pa.array(found)], names=["address", "n", "part_digest"])
+
+    def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for n, digest, found in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                whole = all(x["n"] is not None for x in found)
+                held.append(whole and sum(x["n"] for x in found) == n and composed(np.array([x["part_digest"] for x in found], dtype=np.int64), np.array([x["n"] for x in found], dtype=np.int64)) == digest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.bool_())], names=["key", "key2", "rebuilt"])
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,25 +255,31 @@ def verify(spark: SparkSession, base: str) -> DataFrame:
             same = [None if r is None else merkle(r) == x for r, x in zip(recipe, root)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.bool_())], names=[*batch.schema.names, "same"])
 
-    sound = chunks.select("address", "ids").mapInArrow(again, "address binary")
-    checked = recipes.mapInArrow(rooted, T.StructType([*recipes.schema.fields, T.StructField("same", T.BooleanType())]))
-    wanted = recipes.select("doc_id", "key", F.explode("recipe").alias("address")).distinct()
-    missing = wanted.join(sound, "address", "left_anti").select("key").distinct().withColumn("missing", F.lit(True))
-    now = manifest_of(recipes).alias("now").join(manifest.alias("then"), "part")
-    held = now.select("part", (F.col("now.root") == F.col("then.root")).alias("held"))
-    whole = held.filter("part = -1").select(F.col("held").alias("whole"))
-    joined = checked.join(missing, "key", "left").join(held, "part", "left").crossJoin(F.broadcast(whole))
-    fine = F.col("same") & F.col("missing").isNull() & F.coalesce("held", F.lit(False)) & F.col("whole")
-    return joined.select("doc_id", "n_tokens", F.when(F.col("recipe").isNotNull(), F.size("recipe")).alias("n_chunks"), "part", F.lower(F.hex("root")).alias("root"), F.when(F.col("same").isNotNull(), fine).alias("verified"))
+    sound = chunks.select("address", "ids").mapInArrow(again, "address binary, n long, part_digest long")
+    once = recipes.filter("size(recipe) > 0").dropDuplicates(["key", "key2"]).select("key", "key2", "n_tokens", "digest", F.posexplode("recipe").alias("pos", "address"))
+    placed = once.join(sound, "address", "left").groupBy("key", "key2", "n_tokens", "digest").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "part_digest"))).alias("found"))
+    streams = placed.mapInArrow(rebuilt, "key long, key2 int, rebuilt boolean")
+    checked = recipes.mapInArrow(rooted, T.StructType([*recipes.schema.fields, T.StructField("same", T.BooleanType())])).select("doc_id", "key", "key2", "n_tokens", "recipe", "root", "part", "same")
+    levels = manifest.agg(F.max("level")).first()[0] or 0
+    now = manifest_of(recipes, levels, fan).alias("now").join(manifest.alias("then"), ["level", "idx"], "left")
+    held = now.select("level", "idx", F.coalesce(F.col("now.root") == F.col("then.root"), F.lit(False)).alias("held"))
+    fine = held.filter("level = 0").select("idx", "held", F.col("idx").alias("part"))
+    above = held.filter("level > 0").select("level", F.col("idx").alias("up"), F.col("held").alias("up_held"))
+    for level in range(1, levels + 1):
+        step = above.filter(F.col("level") == level).select("up", "up_held")
+        fine = fine.withColumn("up", F.floor(F.col("idx") / fan)).join(step, "up", "left").select(F.col("up").alias("idx"), (F.col("held") & F.coalesce("up_held", F.lit(False))).alias("held"), "part")
+    joined = checked.join(streams, ["key", "key2"], "left").join(fine.select("part", "held"), "part", "left")
+    sure = F.col("same") & (F.coalesce("rebuilt", F.lit(False)) | ((F.size("recipe") == 0) & (F.col("n_tokens") == 0))) & F.coalesce("held", F.lit(False))
+    return joined.select("doc_id", "n_tokens", F.when(F.col("recipe").isNotNull(), F.size("recipe")).alias("n_chunks"), "part", F.lower(F.hex("root")).alias("root"), F.when(F.col("same").isNotNull(), sure).alias("verified"))
 
 
 def restore(spark: SparkSession, base: str, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids): the streams of a store, a row per recipe; null stays null."""
     recipes, chunks = spark.read.parquet(f"{base}/recipes"), spark.read.parquet(f"{base}/chunks")
     width = np.uint16 if len(vocabulary(path).rank_of_id) <= 65536 else np.uint32
-    keyed = recipes.dropDuplicates(["key"])
-    placed = keyed.select("key", F.posexplode("recipe").alias("pos", "address")).join(chunks.select("address", "ids"), "address")
-    grouped = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("all")).select("key", F.col("all.ids").alias("pieces"))
+    keyed = recipes.dropDuplicates(["key", "key2"])
+    placed = keyed.select("key", "key2", F.posexplode("recipe").alias("pos", "address")).join(chunks.select("address", "ids"), "address")
+    grouped = placed.groupBy("key", "key2").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("all")).select("key", "key2", F.col("all.ids").alias("pieces"))
     kind = recipes.schema["doc_id"]
     out = T.StructType([kind, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -203,11 +288,11 @@ def restore(spark: SparkSession, base: str, path: str = VOCABULARY) -> DataFrame
             ids = [None if n is None else np.frombuffer(b"".join(p or []), dtype=width).astype(np.int32) for n, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return recipes.join(grouped, "key", "left").select("doc_id", "n_tokens", "pieces").mapInArrow(glued, out)
+    return recipes.join(grouped, ["key", "key2"], "left").select("doc_id", "n_tokens", "pieces").mapInArrow(glued, out)
 
 
 def store_and_verify(docs: DataFrame, **how: object) -> DataFrame:
     """A store of docs in the shared folder, and what verify() finds in it."""
     base = shared_dir(docs.sparkSession)
     save(docs, base, **how)
-    return verify(docs.sparkSession, base)
+    return verify(docs.sparkSession, base, **{k: v for k, v in how.items() if k in ("path", "fan")})
