@@ -16,6 +16,11 @@ ELLIPSIS = r"(?i)<(t[dh])>\s*\.{3,}\s*</\1>"
 RULE = "\n\n---\n\n"
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space at either end, line breaks too."""
+    return F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from foliant.functions.text import page_title, tokens
+from foliant.functions.text import page_title, strip, tokens
 from foliant.operators.shared import written
 
 
@@ -126,14 +126,14 @@ def sections_text(pages: DataFrame, remove_running: bool = True) -> DataFrame:
     following = F.lead("line_no").over(Window.partitionBy("doc_id", "page_num").orderBy("line_no"))
     lines = pages.select("doc_id", "page_num", F.split("text", "\n").alias("lines"))
     upto = F.coalesce(F.col("next_line"), F.size("lines")) - F.col("line_no") - 1
-    body = F.trim(F.array_join(F.slice("lines", F.col("line_no") + 2, F.greatest(upto, F.lit(0))), "\n"))
+    body = strip(F.array_join(F.slice("lines", F.col("line_no") + 2, F.greatest(upto, F.lit(0))), "\n"))
     return found.withColumn("next_line", following).join(lines, ["doc_id", "page_num"]).select("doc_id", "ord", "level", "title", "page_num", "line_no", F.when(body != "", body).alias("text"))
 
 
 def _range_text(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows (doc_id, ord, page_start, page_end) with ``range_text``: their pages' texts in order."""
     each = ranges.select("doc_id", "ord", F.explode(F.sequence("page_start", "page_end")).alias("page_num"))
-    texts = each.join(pages.select("doc_id", F.col("page_num"), F.trim("text").alias("t")), ["doc_id", "page_num"]).filter("t <> ''")
+    texts = each.join(pages.select("doc_id", F.col("page_num"), strip("text").alias("t")), ["doc_id", "page_num"]).filter("t <> ''")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "t"))), lambda x: x["t"]), "\n\n")
     return ranges.join(texts.groupBy("doc_id", "ord").agg(joined.alias("range_text")), ["doc_id", "ord"], "left")
 
@@ -144,7 +144,7 @@ _NODE = ["doc_id", "ord", "depth", "level", "title", "text", "page_start", "page
 def _titled(headings_of: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_num, title, text) of pages with a text, titled by their first heading or line."""
     names = headings_of.groupBy("doc_id", "page_num").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]).alias("names"))
-    some = pages.select("doc_id", "page_num", F.trim("text").alias("text")).filter("text <> ''").join(names, ["doc_id", "page_num"], "left")
+    some = pages.select("doc_id", "page_num", strip("text").alias("text")).filter("text <> ''").join(names, ["doc_id", "page_num"], "left")
     return some.select("doc_id", "page_num", page_title(F.coalesce("names", F.array().cast("array<string>")), F.col("text"), F.col("page_num")).alias("title"), "text")
 
 
@@ -241,8 +241,8 @@ def split_leaves(nodes: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
 def heading_parts(title: F.Column, text: F.Column) -> F.Column:
     """Array of (title, text): a text cut at its own headings; what precedes the first keeps the title."""
     pieces = F.split(F.concat(F.lit("\n"), text), r"\n(?=#{1,6}[ \t]+\S)")
-    head = F.trim(pieces[0])
-    cut = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(F.trim(F.regexp_replace(F.substring_index(p, "\n", 1), r"^#{1,6}[ \t]+", "")).alias("title"), F.trim(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 1, F.length(p))).alias("text")))
+    head = strip(pieces[0])
+    cut = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(strip(F.regexp_replace(F.substring_index(p, "\n", 1), r"^#{1,6}[ \t]+", "")).alias("title"), strip(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 1, F.length(p))).alias("text")))
     whole = F.concat(F.array(F.struct(title.alias("title"), head.alias("text"))), cut)
     return F.when(F.size(pieces) > 2, F.filter(whole, lambda p: p["text"] != ""))
 
@@ -252,11 +252,11 @@ def title_parts(titles: F.Column, text: F.Column, title: F.Column) -> F.Column:
     with fewer than two found its paragraphs are shared out among them evenly."""
     low = F.lower(text)
     at = F.array_sort(F.filter(F.transform(titles, lambda t: F.struct(F.instr(low, F.substring(F.lower(t), 1, 30)).alias("at"), t.alias("title"))), lambda x: x["at"] > 0))
-    cut = F.transform(at, lambda x, i: F.struct(x["title"].alias("title"), F.trim(F.substring(text, x["at"], F.coalesce(F.get(at, i + 1)["at"], F.length(text) + 1) - x["at"])).alias("text")))
+    cut = F.transform(at, lambda x, i: F.struct(x["title"].alias("title"), strip(F.substring(text, x["at"], F.coalesce(F.get(at, i + 1)["at"], F.length(text) + 1) - x["at"])).alias("text")))
     paragraphs = F.split(text, "\n\n")
     count = F.least(F.size(titles), F.greatest(F.lit(2), F.floor(F.size(paragraphs) / 3).cast("int")))
     step = F.greatest(F.lit(1), F.floor(F.size(paragraphs) / count).cast("int"))
-    even = F.transform(F.sequence(F.lit(0), F.floor((F.size(paragraphs) - 1) / step).cast("int")), lambda k: F.struct(F.coalesce(F.get(titles, F.least(k, F.size(titles) - 1)), title).alias("title"), F.trim(F.array_join(F.slice(paragraphs, k * step + 1, step), "\n\n")).alias("text")))
+    even = F.transform(F.sequence(F.lit(0), F.floor((F.size(paragraphs) - 1) / step).cast("int")), lambda k: F.struct(F.coalesce(F.get(titles, F.least(k, F.size(titles) - 1)), title).alias("title"), strip(F.array_join(F.slice(paragraphs, k * step + 1, step), "\n\n")).alias("text")))
     return F.filter(F.when(F.size(at) > 1, cut).otherwise(even), lambda p: p["text"] != "")
 
 
@@ -310,7 +310,7 @@ def without_child_text(nodes: DataFrame) -> DataFrame:
     """Parents without what their first child says: their text ends where its first 200 signs begin."""
     known = with_last(nodes).withColumn("child", F.lead("text").over(_doc().orderBy("ord")))
     at = F.instr(F.col("text"), F.substring("child", 1, 200))
-    kept = F.trim(F.substring(F.col("text"), 1, at - 1))
+    kept = strip(F.substring(F.col("text"), 1, at - 1))
     holds = ~_leaf() & (F.length("child") > 0) & (at > 0)
     return known.withColumn("text", F.when(holds, F.when(kept != "", kept)).otherwise(F.col("text"))).select(*_NODE)
 
@@ -335,7 +335,7 @@ def without_copies(nodes: DataFrame, share: float = 0.8, least: int = 100, sampl
         return (n >= least) & (equal > n * share)
 
     kinds = "array<struct<ord:int,b:string>>"
-    keep = F.aggregate("bs", F.array().cast(kinds), lambda a, x: F.when((F.trim(x["b"]) != "") & F.exists(a, lambda y: same(x["b"], y["b"])), a).otherwise(F.array_append(a, F.struct(x["ord"].cast("int").alias("ord"), x["b"].alias("b")))))
+    keep = F.aggregate("bs", F.array().cast(kinds), lambda a, x: F.when((strip(x["b"]) != "") & F.exists(a, lambda y: same(x["b"], y["b"])), a).otherwise(F.array_append(a, F.struct(x["ord"].cast("int").alias("ord"), x["b"].alias("b")))))
     stay = listed.select("doc_id", F.explode(keep).alias("k")).select("doc_id", F.col("k.ord").alias("top"))
     top = F.max(F.when(F.col("depth") == 1, F.col("ord"))).over(_doc().orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     return renumbered(known.withColumn("top", top).join(stay, ["doc_id", "top"], "left_semi").select(*_NODE), "ord").select(*_NODE)
@@ -345,7 +345,7 @@ def told_apart(nodes: DataFrame) -> DataFrame:
     """Nodes of which equal titles of a document are told apart, by their children's titles,
     else by a line of their text, else by their pages."""
     known = with_last(nodes)
-    key = F.lower(F.trim("title"))
+    key = F.lower(strip("title"))
     # a child's parent: the last one before it of a smaller depth
     parents = [F.last(F.when(F.col("depth") == d, F.col("ord")), ignorenulls=True).over(_before()) for d in range(1, 9)]
     parent = F.when(F.col("depth") > 1, F.element_at(F.array(*parents), F.least(F.col("depth") - 1, F.lit(8)).cast("int")))
