@@ -1,10 +1,12 @@
-"""Stupid-backoff scores of documents under the corpus' own n-gram counts.
+"""Stupid-backoff scores of documents under the corpus' n-gram counts.
 
-A word after ``order`` - 1 others scores the n-gram's count over the count of those
-others as a context where the n-gram occurs at least ``least`` times in the corpus,
-else ``alpha`` times what it scores after one word less; after none, its share of
-all words. What precedes the first word are starts of text, as many as are needed.
-A document's score is the sum of its words' logarithms.
+The texts scored are the corpus itself, so each word is held out in turn: it is
+scored by the counts of all other occurrences. A word after ``order`` - 1 others
+scores how often else the n-gram occurs over how often else those others occur as
+a context, if the n-gram occurs elsewhere at all; else ``alpha`` times what it
+scores after one word less. After none it scores its share of all other words,
+as if it occurred once where it doesn't. What precedes the first word are starts of
+text, as many as are needed. A document's score is the sum of its words' logarithms.
 
 Above pairs, the occurrences of each order are shuffled by their context, counted
 and scored. What isn't scored goes on to the next lower order as it is, what is
@@ -18,32 +20,38 @@ commonest ``HOT`` words, whose counts travel with the task, are spread by both
 words. What backs off to a word that isn't common is shuffled again, by the word,
 and meets the word counts there. Last, partial sums are added up per document.
 
-Exploded pairs travel as packed columns of a batch, a row per bucket of the hash
+All counts above single words that an n-gram needs, whatever the order, are of
+n-grams with the same word before the last. So the work is done in ``PASSES``
+rounds over the texts, each for its share of those words, by a hash, and each
+writes its partial sums: only a round's n-grams are ever on disk.
+
+Exploded n-grams travel as packed columns of a batch, a row per bucket of the hash
 and batch of texts, so a shuffled pair takes some ten bytes. A bucket has about
-``PER_BUCKET`` pairs whatever the size of the corpus.
+``PER_BUCKET`` n-grams whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.frames import col, written
+from foliant.llm.frames import col, removed, written
 from foliant.llm.text import mix, slices, words
 
-ALPHA, LEAST = 0.4, 2
-#: Words of the longest n-grams that op4_backoff scores.
-ORDER = 3
+ALPHA = 0.4
+#: Words of the longest n-grams, and rounds over the texts.
+ORDER, PASSES = 3, 8
 #: Words whose counts are broadcast, and pairs per bucket: both bound memory, neither the result.
 HOT, PER_BUCKET = 1 << 16, 1 << 20
 _START = np.uint64(0x5374617274206F66)
-_SLICE = 8 << 20
-_FLUSH = 1_500_000
+_SLICE = 4 << 20
+_FLUSH = 1_000_000
 _PACKED = "bucket long, kind int, docs binary, sizes binary, words binary, first binary, second binary"
 _NAMES = ["bucket", "kind", "docs", "sizes", "words", "first", "second"]
 _PENDING, _SUMS, _COUNTS, _SCORED = 0, 1, 2, 3
@@ -167,6 +175,11 @@ class Common:
     def of_pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return (mix(np.where(self.place(first) >= 0, first ^ mix(second), first)) % self.buckets).astype(np.int64)
 
+    @staticmethod
+    def round_of(words: np.ndarray, passes: int) -> np.ndarray:
+        """In which round n-grams with this word before the last are counted."""
+        return (mix(words + _START) >> np.uint64(32)) % np.uint64(passes)
+
     def of_words(self, words: np.ndarray) -> np.ndarray:
         return (mix(words ^ _START) % self.buckets).astype(np.int64)
 
@@ -217,7 +230,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
         yield now, held
 
 
-def _count(batches: Iterator[pa.RecordBatch], common: Common, words: Common, total: int, alpha: float, least: int, skipped: int, below: Common | None) -> Iterator[pa.RecordBatch]:
+def _share(seen: np.ndarray, total: int) -> np.ndarray:
+    """Logarithms of words' shares of all other words."""
+    return np.log(np.maximum(seen - 1, 1) / max(total - 1, 1))
+
+
+def _count(batches: Iterator[pa.RecordBatch], common: Common, words: Common, total: int, alpha: float, skipped: int, below: Common | None) -> Iterator[pa.RecordBatch]:
     """Count a bucket's n-grams and contexts; score what is known there.
 
     common: of the contexts; words: of single words; skipped: longer orders before
@@ -263,13 +281,13 @@ def _count(batches: Iterator[pa.RecordBatch], common: Common, words: Common, tot
         context = np.bincount(back, weight)[back]
         if len(common.word):
             context = np.where(place >= 0, common.context[place], context)
-        kept = asked & (count >= least)
+        kept = asked & (count > 1)
         score = np.zeros(len(docs))
-        score[kept] = np.log(count[kept] / context[kept]) + skipped * math.log(alpha)
+        score[kept] = np.log((count[kept] - 1) / (context[kept] - 1)) + skipped * math.log(alpha)
         if below is None:
             own = words.place(second)
             back_off = np.flatnonzero(asked & ~kept & (own >= 0))
-            score[back_off] = np.log(words.seen[own[back_off]] / total) + (skipped + 1) * math.log(alpha)
+            score[back_off] = _share(words.seen[own[back_off]], total) + (skipped + 1) * math.log(alpha)
             sums.add(docs[asked], None, score[asked])
             rest = asked & ~kept & (own < 0)
             wait.append((docs[rest], [second[rest]]))
@@ -312,29 +330,31 @@ def _resolve(batches: Iterator[pa.RecordBatch], total: int, alpha: float, backed
                 sums.add(_summed(r["docs"]), _large(r["sizes"]), np.frombuffer(r["words"], np.float64))
             elif r["kind"] == _PENDING:
                 docs, (second,) = unpack(r)
-                sums.add(docs, np.zeros(len(docs)), np.log(seen[np.searchsorted(word, second)] / total) + backed * math.log(alpha))
+                sums.add(docs, np.zeros(len(docs)), _share(seen[np.searchsorted(word, second)], total) + backed * math.log(alpha))
         if sums.held >= _FLUSH:
             yield out()
     yield out()
 
 
-def score_documents(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int = HOT, per_bucket: int = PER_BUCKET, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_bucket: int = PER_BUCKET, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, passes: int = PASSES) -> DataFrame:
     """(doc_id, copies, n_tokens, log_score, mean_log_score), a row per document.
 
     Words are runs of letters, digits and underscores in lower case. Rows equal
     in id and text are one row with ``copies`` of them, though all of them count
     in the corpus; ``n_tokens`` and ``log_score`` are of one copy. A text that is
     null, empty or without a word has no words and null scores. A null id stays
-    null; other columns are ignored; an empty table gives none. ``order``, 2 or more,
-    is the words of the longest n-grams.
+    null; other columns are ignored, whatever their names; an empty table gives
+    none. Long texts are worked on whole: a batch holds one at least. ``order``, 2
+    or more, is the words of the longest n-grams. Documents are told apart by 64
+    bits of a hash of id and text: of 3e10 some 25 pairs would share their sums.
     """
-    if order < 2:
-        raise ValueError("order is 2 or more")
+    if order < 2 or passes < 1:
+        raise ValueError("order is 2 or more, passes 1 or more")
     key = F.xxhash64(col(id_col), col(text_col))
     texts = docs.filter(col(text_col).isNotNull())
     counts = written(texts.select(col(text_col).alias("text")).mapInArrow(_tally, "word long, seen long, context long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("context").alias("context")))
     total = int(counts.agg(F.sum("seen")).first()[0] or 0)
-    buckets = max(1, math.ceil(total / per_bucket))
+    buckets = max(1, math.ceil(total / per_bucket / passes))
     top = counts.orderBy(F.desc(F.greatest("seen", "context")), "word").limit(hot).toPandas()
     common = Common(top["word"].to_numpy(np.int64).view(np.uint64), top["seen"].to_numpy(np.int64), top["context"].to_numpy(np.int64), buckets)
     often = max(1, per_bucket // 4)
@@ -360,14 +380,32 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, h
 
     by_order = {2: common} | {k: contexts(k) for k in range(3, order + 1)}
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        wait: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            # texts are gathered until a bucket's share of them packs well
+            nonlocal wait, waiting
+            if wait:
+                keys = np.concatenate([w[0] for w in wait])
+                at = np.argsort(keys, kind="stable")
+                columns = [np.concatenate(c)[at] for c in zip(*(w[1] for w in wait))]
+                wait, waiting = [], 0
+                yield from scatter(by_order[order].of_pairs(folded(columns[:-1]), columns[-1]), keys[at], columns)
+
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 hashes, rows = words(part.column(1))
                 columns, row = history(hashes, rows, order)
-                keys = part.column(0).to_numpy().view(np.uint64)
-                at = np.argsort(keys[row], kind="stable")
-                yield from scatter(by_order[order].of_pairs(folded(columns[:-1]), hashes)[at], keys[row[at]], [c[at] for c in columns])
+                if passes > 1:
+                    now = np.flatnonzero(Common.round_of(columns[-2], passes) == turn)
+                    columns, row = [c[now] for c in columns], row[now]
+                wait.append((part.column(0).to_numpy().view(np.uint64)[row], columns))
+                waiting += len(row)
+                if waiting >= _FLUSH:
+                    yield from flush()
+        yield from flush()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,14 +421,19 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, h
 
     def counted_at(k: int, rows: DataFrame) -> DataFrame:
         below = by_order.get(k - 1)
-        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _count(batches, by_order[k], common, total, alpha, least, order - k, below), _PACKED)
+        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _count(batches, by_order[k], common, total, alpha, order - k, below), _PACKED)
 
-    counted = texts.select(key.alias("key"), col(text_col).alias("text")).mapInArrow(explode, _PACKED)
-    for k in range(order, 1, -1):
-        counted = counted_at(k, counted)
+    keyed = texts.select(key.alias("key"), col(text_col).alias("text"))
     words_by = counts.select("word", "seen").mapInArrow(listed, _PACKED)
-    sums = counted.unionByName(words_by).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _resolve(batches, total, alpha, order - 1), "doc long, tokens long, score double")
-    sums = sums.groupBy("doc").agg(F.sum("tokens").alias("tokens"), F.sum("score").alias("score"))
+    parts = []
+    for turn in range(passes):
+        counted = keyed.mapInArrow(lambda batches, turn=turn: explode(batches, turn), _PACKED)
+        for k in range(order, 1, -1):
+            counted = counted_at(k, counted)
+        sums = counted.unionByName(words_by).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _resolve(batches, total, alpha, order - 1), "doc long, tokens long, score double")
+        parts.append(written(sums.groupBy("doc").agg(F.sum("tokens").alias("tokens"), F.sum("score").alias("score"))))
+    removed(docs.sparkSession, counts)
+    sums = reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.sum("tokens").alias("tokens"), F.sum("score").alias("score"))
     base = docs.groupBy(key.alias("doc"), col(id_col).alias("doc_id")).agg(F.count("*").alias("copies"))
     score = F.round(F.col("score") / F.col("copies"), 6)
     return base.join(sums, "doc", "left").select("doc_id", "copies", F.coalesce((F.col("tokens") / F.col("copies")).cast("long"), F.lit(0)).alias("n_tokens"), score.alias("log_score"), F.round(F.col("score") / F.col("tokens"), 6).alias("mean_log_score"))
