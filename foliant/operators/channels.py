@@ -26,7 +26,7 @@ def as_hits(scored: DataFrame, channel: str, top_k: int | None) -> DataFrame:
 def _on_pages(scored: DataFrame, nodes: DataFrame) -> DataFrame:
     """Scores of nodes (query_id, doc_id, ord, score) on the pages that they cover."""
     spans = nodes.filter("page_start is not null").select("doc_id", "ord", "page_start", "page_end")
-    return scored.join(spans, ["doc_id", "ord"]).select("query_id", "doc_id", F.explode(F.sequence("page_start", "page_end")).alias("page_num"), "score", (F.col("page_end") - F.col("page_start") + 1).alias("span"))
+    return scored.join(spans.hint("merge"), ["doc_id", "ord"]).select("query_id", "doc_id", F.explode(F.sequence("page_start", "page_end")).alias("page_num"), "score", (F.col("page_end") - F.col("page_start") + 1).alias("span"))
 
 
 def _spread(scored: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -60,14 +60,18 @@ def identifier_boost(nodes: DataFrame, queries: DataFrame, boost: float = 25.0,
     """Pages of sections whose titles hold one of the query's identifiers.
 
     Two signs of an identifier narrow the join: every place in a title where it may
-    begin is one of the title's pairs of signs.
+    begin is one of the title's pairs of signs. Pairs are bounded by the alphabet, so
+    they alone are broadcast; a section's pages go with its title, without a join.
     """
     ids = queries.select("query_id", F.explode(identifiers(F.col("query"))).alias("id")).withColumn("gram", F.substring("id", 1, 2))
     starts = F.sequence(F.lit(1), F.length("title") - 1)
     grams = F.array_distinct(F.when(F.length("title") > 1, F.transform(starts, lambda k: F.substring(F.col("title"), k, F.lit(2)))))
-    titles = nodes.filter("page_start is not null").select("doc_id", "ord", "title", F.explode(grams).alias("gram"))
-    found = titles.join(ids, "gram").filter(F.contains("title", "id")).select("query_id", "doc_id", "ord").distinct().withColumn("score", F.lit(boost))
-    return as_hits(_spread(found, nodes), "identifier_boost", top_k)
+    titles = nodes.filter("page_start is not null").select("doc_id", "title", "page_start", "page_end", F.explode(grams).alias("gram"))
+    near = titles.join(F.broadcast(ids.select("gram").distinct()), "gram", "left_semi")
+    found = near.join(ids.hint("merge"), "gram").filter(F.contains("title", "id"))
+    span = (F.col("page_end") - F.col("page_start") + 1).cast("double")
+    pages = found.select("query_id", "doc_id", F.explode(F.sequence("page_start", "page_end")).alias("page_num"), (F.lit(boost) / F.sqrt(span)).alias("score"))
+    return as_hits(pages, "identifier_boost", top_k)
 
 
 def entity_2hop(entities: DataFrame, relations: DataFrame, nodes: DataFrame, queries: DataFrame, hops: int = 2, most: int = 12, seed_score: float = 8.0, hop_score: float = 3.0, top_k: int | None = 60) -> DataFrame:
@@ -91,7 +95,7 @@ def llm_tree_nav(replies: DataFrame, nodes: DataFrame, score: float = 20.0, top_
     replies: (query_id, doc_id, reply), the reply holding a JSON array of node ids.
     """
     picks = replies.select("query_id", "doc_id", F.posexplode(json_list(F.col("reply"))).alias("at", "node_id"))
-    spans = picks.join(nodes.filter("page_start is not null").select("doc_id", "node_id", "page_start", "page_end"), ["doc_id", "node_id"])
+    spans = picks.join(nodes.filter("page_start is not null").select("doc_id", "node_id", "page_start", "page_end").hint("merge"), ["doc_id", "node_id"])
     each = spans.select("query_id", "doc_id", "at", F.explode(F.sequence("page_start", "page_end")).alias("page_num")).groupBy("query_id", "doc_id", "page_num").agg(F.min("at").alias("at"))
     pos = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("at", "page_num"))
     out = each.withColumn("pos", pos.cast("long")).select("query_id", "doc_id", "page_num", F.lit("llm_tree_nav").alias("channel"), F.lit(score).alias("score"), "pos")
