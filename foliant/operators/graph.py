@@ -107,15 +107,32 @@ def fuzzy_match(entities: DataFrame, names: DataFrame) -> DataFrame:
 
     The same name; else the shortest that holds it; else the longest of three signs or
     more that it holds; else the first that shares two words and half of its words.
-    Ties go by key. The names of a document's entities are compared with each name
-    asked for in that document: names are few, what they meet is one document.
+    Ties go by key.
+
+    Each of these is an equi-join, and only names without an equal one go on: by the
+    rarest of the shorter name's runs of three signs, or by all shared words but the
+    most common, since two are shared. Runs multiply rows unseen by the planner, hence
+    no broadcasts.
     """
     asked = names.select("query_id", "doc_id", F.lower(F.trim("name")).alias("q")).filter("q <> ''")
-    n, q = F.col("key"), F.col("q")
-    both = asked.join(entities.select("doc_id", "key"), "doc_id")
+    keys = entities.select("doc_id", "key").distinct()
+    n, q, at = F.col("key"), F.col("q"), ["query_id", "doc_id", "q"]
+    tier = lambda t, by: F.struct(F.lit(t).alias("t"), by.cast("int").alias("n")).alias("tier")
+    same = asked.join(keys.withColumn("q", n).hint("merge"), ["doc_id", "q"]).select("query_id", "doc_id", "key", tier(0, F.lit(0)))
+    rest = asked.join(same.select("query_id", "doc_id").distinct().hint("merge"), ["query_id", "doc_id"], "left_anti").distinct()
+    # names of fewer than three signs are looked up whole
+    key_runs = keys.select("doc_id", "key", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(_grams("key", k), F.array().cast("array<string>")) for k in (1, 2, 3)])))).alias("gram"))
+    q_runs = rest.select(*at, F.explode(F.when(F.length("q") >= 3, _grams("q", 3)).otherwise(F.array("q"))).alias("gram"))
+    rarest = lambda runs, other, by: runs.join(other.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).hint("merge"), ["doc_id", "gram"]).groupBy(*by).agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    holding = rarest(q_runs, key_runs, at).join(key_runs.hint("merge"), ["doc_id", "gram"]).filter(F.contains(n, q)).select("query_id", "doc_id", "key", tier(1, F.length(n)))
+    long = key_runs.filter((F.length("gram") == 3) & (F.length("key") >= 3))
+    held = rarest(long, q_runs, ["doc_id", "key"]).join(q_runs.hint("merge"), ["doc_id", "gram"]).filter(F.contains(q, n)).select("query_id", "doc_id", "key", tier(2, -F.length(n)))
+    key_words = keys.select("doc_id", "key", F.explode(_words("key")).alias("w"))
+    common = F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("n"), "w"))
+    q_words = rest.select(*at, F.explode(_words("q")).alias("w")).join(key_words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).hint("merge"), ["doc_id", "w"]).withColumn("nth", common).filter("nth > 1")
     shared = F.size(F.array_intersect(_words("q"), _words("key")))
-    tier = F.when(n == q, F.struct(F.lit(0).alias("t"), F.lit(0).alias("n"))).when(F.contains(n, q), F.struct(F.lit(1).alias("t"), F.length(n).alias("n"))).when(F.contains(q, n) & (F.length(n) >= 3), F.struct(F.lit(2).alias("t"), (-F.length(n)).alias("n"))).when((shared >= 2) & (shared >= 0.5 * F.size(_words("q"))), F.struct(F.lit(3).alias("t"), F.lit(0).alias("n")))
-    return both.withColumn("tier", tier).filter("tier is not null").groupBy("query_id", "doc_id").agg(F.min_by("key", F.struct("tier", "key")).alias("key"))
+    both = q_words.join(key_words.hint("merge"), ["doc_id", "w"]).filter((shared >= 2) & (shared >= 0.5 * F.size(_words("q")))).select("query_id", "doc_id", "key", tier(3, F.lit(0)))
+    return same.unionByName(holding).unionByName(held).unionByName(both).groupBy("query_id", "doc_id").agg(F.min_by("key", F.struct("tier", "key")).alias("key"))
 
 
 def find_entities(entities: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
