@@ -34,7 +34,7 @@ def _spread(scored: DataFrame, nodes: DataFrame) -> DataFrame:
     return _on_pages(scored, nodes).withColumn("score", F.col("score") / F.sqrt(F.col("span").cast("double"))).drop("span")
 
 
-def bmx_multiquery(index: lexical.Index, queries: DataFrame, replies: DataFrame | None = None, original: float = 2.0, expansion: float = 0.4, top_k: int | None = 60, first: int = 15, more: int = 8) -> DataFrame:
+def bmx_multiquery(index: lexical.Index | lexical.Pages, queries: DataFrame, replies: DataFrame | None = None, original: float = 2.0, expansion: float = 0.4, top_k: int | None = 60, first: int = 15, more: int = 8) -> DataFrame:
     """A query's best pages, and those of its variants: (query_id, reply) hold a model's list of them."""
     own = index.bmx(queries, first).withColumn("score", original * F.col("score"))
     if replies is not None:
