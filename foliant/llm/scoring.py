@@ -22,8 +22,9 @@ and meets the word counts there. Last, partial sums are added up per document.
 
 All counts above single words that an n-gram needs, whatever the order, are of
 n-grams with the same word before the last. So the work is done in ``PASSES``
-rounds over the texts, each for its share of those words, by a hash, and each
-writes its partial sums: only a round's n-grams are ever on disk.
+rounds, each for its share of those words, by a hash, and each writes its partial
+sums: only a round's n-grams are ever on disk. Texts are parsed once, and their words
+written by number; the rounds read those.
 
 Exploded n-grams travel as packed columns of a batch, a row per bucket of the hash
 and batch of texts, so a shuffled pair takes some ten bytes. A bucket has about
@@ -130,22 +131,22 @@ def scatter(buckets: np.ndarray, docs: np.ndarray, columns: list[np.ndarray], sc
         yield _batch(rows)
 
 
-def chain(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chain(hashes: np.ndarray, rows: np.ndarray, start: int = _START) -> tuple[np.ndarray, np.ndarray]:
     """(word before each word, row of each word); the start before the first."""
-    before = np.concatenate([[_START], hashes[:-1]]) if len(hashes) else hashes
+    before = np.concatenate([[start], hashes[:-1]]) if len(hashes) else hashes
     sizes = np.diff(rows)
-    before[rows[:-1][sizes > 0]] = _START
+    before[rows[:-1][sizes > 0]] = start
     return before, np.repeat(np.arange(len(sizes)), sizes)
 
 
-def history(hashes: np.ndarray, rows: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def history(hashes: np.ndarray, rows: np.ndarray, order: int, start: int = _START) -> tuple[list[np.ndarray], np.ndarray]:
     """(the n-gram that ends with each word, as columns; row of each word)."""
-    before, row = chain(hashes, rows)
+    before, row = chain(hashes, rows, start)
     columns = [before, hashes]
     starts = rows[:-1][np.diff(rows) > 0]
     for _ in range(order - 2):
-        before = np.concatenate([[_START], before[:-1]]) if len(before) else before
-        before[starts] = _START
+        before = np.concatenate([[start], before[:-1]]) if len(before) else before
+        before[starts] = start
         columns.insert(0, before)
     return columns, row
 
@@ -184,15 +185,31 @@ class Common:
         return (mix(words ^ _START) % self.buckets).astype(np.int64)
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of slices of texts (key, text), by number, with their keys and how many words each has."""
     for batch in batches:
         for part in slices(batch, "text", _SLICE):
-            hashes, rows = words(part.column(0))
-            before, _ = chain(hashes, rows)
-            distinct, back = np.unique(np.concatenate([hashes, before]), return_inverse=True)
-            seen = np.bincount(back[: len(hashes)], minlength=len(distinct))
-            context = np.bincount(back[len(hashes) :], minlength=len(distinct))
-            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(seen), pa.array(context)], names=["word", "seen", "context"])
+            hashes, rows = words(part.column(1))
+            if len(hashes):
+                distinct, back = np.unique(hashes, return_inverse=True)
+                packed = _zip(b"", part.column(0).to_numpy()), _small(np.diff(rows)), _ascending(distinct), _small(back)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], names=["docs", "sizes", "words", "first"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, offsets of their words, words by number, distinct words, the start last) of each slice."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            docs, sizes, distinct, first = (batch.column(n)[k].as_py() for n in ("docs", "sizes", "words", "first"))
+            rows = np.concatenate([[0], np.cumsum(_large(sizes))])
+            yield _unzip(docs, 8).view(np.uint64), rows, _large(first), np.append(_summed(distinct), _START)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows, number, distinct in _parsed(batches):
+        before, _ = chain(number, rows, len(distinct) - 1)
+        seen, context = (np.bincount(x, minlength=len(distinct)) for x in (number, before))
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(seen), pa.array(context)], names=["word", "seen", "context"])
 
 
 class _Sums:
@@ -351,8 +368,9 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_b
     if order < 2 or passes < 1:
         raise ValueError("order is 2 or more, passes 1 or more")
     key = F.xxhash64(col(id_col), col(text_col))
-    texts = docs.filter(col(text_col).isNotNull())
-    counts = written(texts.select(col(text_col).alias("text")).mapInArrow(_tally, "word long, seen long, context long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("context").alias("context")))
+    texts = docs.filter(col(text_col).isNotNull()).select(key.alias("key"), col(text_col).alias("text"))
+    parsed = written(texts.mapInArrow(_parse, "docs binary, sizes binary, words binary, first binary"), "uncompressed")
+    counts = written(parsed.mapInArrow(_tally, "word long, seen long, context long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("context").alias("context")))
     total = int(counts.agg(F.sum("seen")).first()[0] or 0)
     buckets = max(1, math.ceil(total / per_bucket / passes))
     top = counts.orderBy(F.desc(F.greatest("seen", "context")), "word").limit(hot).toPandas()
@@ -364,17 +382,17 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_b
         """Contexts of k - 1 words that are too common for one bucket: all their words are."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text", _SLICE):
-                    columns = history(*words(part.column(0)), k)[0][:-1]
-                    whole = np.all([np.isin(c, heavy) for c in columns], axis=0)
-                    distinct, times = np.unique(folded([c[whole] for c in columns]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(times)], names=["context", "times"])
+            for _, rows, number, distinct in _parsed(batches):
+                columns = history(number, rows, k, len(distinct) - 1)[0][:-1]
+                common = np.isin(distinct, heavy)
+                whole = np.all([common[c] for c in columns], axis=0)
+                found, times = np.unique(folded([distinct[c[whole]] for c in columns]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["context", "times"])
 
         none = np.empty(0, np.int64)
         if not len(heavy):
             return Common(none.view(np.uint64), none, none, buckets)
-        found = texts.select(col(text_col).alias("text")).mapInArrow(count, "context long, times long").groupBy("context").agg(F.sum("times").alias("times")).filter(F.col("times") >= often).toPandas()
+        found = parsed.mapInArrow(count, "context long, times long").groupBy("context").agg(F.sum("times").alias("times")).filter(F.col("times") >= often).toPandas()
         times = found["times"].to_numpy(np.int64)
         return Common(found["context"].to_numpy(np.int64).view(np.uint64), times, times, buckets)
 
@@ -394,17 +412,13 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_b
                 wait, waiting = [], 0
                 yield from scatter(by_order[order].of_pairs(folded(columns[:-1]), columns[-1]), keys[at], columns)
 
-        for batch in batches:
-            for part in slices(batch, "text", _SLICE):
-                hashes, rows = words(part.column(1))
-                columns, row = history(hashes, rows, order)
-                if passes > 1:
-                    now = np.flatnonzero(Common.round_of(columns[-2], passes) == turn)
-                    columns, row = [c[now] for c in columns], row[now]
-                wait.append((part.column(0).to_numpy().view(np.uint64)[row], columns))
-                waiting += len(row)
-                if waiting >= _FLUSH:
-                    yield from flush()
+        for keys, rows, number, distinct in _parsed(batches):
+            columns, row = history(number, rows, order, len(distinct) - 1)
+            now = np.flatnonzero((Common.round_of(distinct, passes) == turn)[columns[-2]])
+            wait.append((keys[row[now]], [distinct[c[now]] for c in columns]))
+            waiting += len(now)
+            if waiting >= _FLUSH:
+                yield from flush()
         yield from flush()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,16 +437,15 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_b
         below = by_order.get(k - 1)
         return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _count(batches, by_order[k], common, total, alpha, order - k, below), _PACKED)
 
-    keyed = texts.select(key.alias("key"), col(text_col).alias("text"))
     words_by = counts.select("word", "seen").mapInArrow(listed, _PACKED)
     parts = []
     for turn in range(passes):
-        counted = keyed.mapInArrow(lambda batches, turn=turn: explode(batches, turn), _PACKED)
+        counted = parsed.mapInArrow(lambda batches, turn=turn: explode(batches, turn), _PACKED)
         for k in range(order, 1, -1):
             counted = counted_at(k, counted)
         sums = counted.unionByName(words_by).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _resolve(batches, total, alpha, order - 1), "doc long, tokens long, score double")
         parts.append(written(sums.groupBy("doc").agg(F.sum("tokens").alias("tokens"), F.sum("score").alias("score"))))
-    removed(docs.sparkSession, counts)
+    removed(docs.sparkSession, counts, parsed)
     sums = reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.sum("tokens").alias("tokens"), F.sum("score").alias("score"))
     base = docs.groupBy(key.alias("doc"), col(id_col).alias("doc_id")).agg(F.count("*").alias("copies"))
     score = F.round(F.col("score") / F.col("copies"), 6)

@@ -222,6 +222,25 @@ def test_backoff_brute_force(spark, docs, order, hot, passes):
     assert scoring.score_documents(docs.filter("false"), order=order).count() == 0
 
 
+def test_backoff_parses_texts_once(spark):
+    """op4_backoff: texts are cut in words once, whatever the number of rounds, and read once more for their ids."""
+    texts = ["A b a b c", None, "", "...", "é b a", "a b " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    scored = scoring.score_documents(docs.mapInArrow(counted, docs.schema), passes=5)
+    assert read.value == len(texts)
+    want = held_out([re.findall(r"\w+", (t or "").lower()) for t in texts], scoring.ORDER)
+    for r in scored.collect():
+        words = re.findall(r"\w+", (texts[r.doc_id] or "").lower())
+        assert r.n_tokens == len(words) and (abs(r.log_score - want(words)) < 1e-4 if words else r.log_score is None)
+
+
 # 5 URLs
 
 
