@@ -23,8 +23,8 @@ and meets the word counts there. Last, partial sums are added up per document.
 All counts above single words that an n-gram needs, whatever the order, are of
 n-grams with the same word before the last. So the work is done in ``PASSES``
 rounds, each for its share of those words, by a hash, and each writes its partial
-sums: only a round's n-grams are ever on disk. Texts are parsed once, and their words
-written by number; the rounds read those.
+sums: only a round's n-grams are ever on disk. Half of the texts are parsed once, and
+their words written by number, which the rounds read.
 
 Exploded n-grams travel as packed columns of a batch, a row per bucket of the hash
 and batch of texts, so a shuffled pair takes some ten bytes. A bucket has about
@@ -34,7 +34,7 @@ and batch of texts, so a shuffled pair takes some ten bytes. A bucket has about
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -205,8 +205,22 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield _unzip(docs, 8).view(np.uint64), rows, _large(first), np.append(_summed(distinct), _START)
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows, number, distinct in _parsed(batches):
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What _parsed() gives, of texts (key, text) themselves; each word has a number of its own."""
+    for batch in batches:
+        for part in slices(batch, "text", _SLICE):
+            hashes, rows = words(part.column(1))
+            yield part.column(0).to_numpy().view(np.uint64), rows, np.arange(len(hashes)), np.append(hashes, _START)
+
+
+_Cut = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def _tally(batches: Iterator[pa.RecordBatch], cut: _Cut) -> Iterator[pa.RecordBatch]:
+    for _, rows, number, distinct in cut(batches):
+        if cut is _cut:
+            distinct, number = np.unique(distinct[:-1], return_inverse=True)
+            distinct = np.append(distinct, _START)
         before, _ = chain(number, rows, len(distinct) - 1)
         seen, context = (np.bincount(x, minlength=len(distinct)) for x in (number, before))
         yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(seen), pa.array(context)], names=["word", "seen", "context"])
@@ -369,8 +383,16 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_b
         raise ValueError("order is 2 or more, passes 1 or more")
     key = F.xxhash64(col(id_col), col(text_col))
     texts = docs.filter(col(text_col).isNotNull()).select(key.alias("key"), col(text_col).alias("text"))
-    parsed = written(texts.mapInArrow(_parse, "docs binary, sizes binary, words binary, first binary"), "uncompressed")
-    counts = written(parsed.mapInArrow(_tally, "word long, seen long, context long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("context").alias("context")))
+    # words of every other text are kept, the rest are cut anew each time: all of them would take too much disk, none too long
+    half = F.col("key").bitwiseAND(1) == 0
+    parsed = written(texts.filter(half).mapInArrow(_parse, "docs binary, sizes binary, words binary, first binary"), "uncompressed")
+    rest = texts.filter(~half)
+
+    def of_all(work: Callable[[Iterator[pa.RecordBatch], _Cut], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        made = [frame.mapInArrow(lambda batches, cut=cut: work(batches, cut), schema) for frame, cut in ((parsed, _parsed), (rest, _cut))]
+        return made[0].unionByName(made[1])
+
+    counts = written(of_all(_tally, "word long, seen long, context long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("context").alias("context")))
     total = int(counts.agg(F.sum("seen")).first()[0] or 0)
     buckets = max(1, math.ceil(total / per_bucket / passes))
     top = counts.orderBy(F.desc(F.greatest("seen", "context")), "word").limit(hot).toPandas()
@@ -381,8 +403,8 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_b
     def contexts(k: int) -> Common:
         """Contexts of k - 1 words that are too common for one bucket: all their words are."""
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, rows, number, distinct in _parsed(batches):
+        def count(batches: Iterator[pa.RecordBatch], cut: _Cut) -> Iterator[pa.RecordBatch]:
+            for _, rows, number, distinct in cut(batches):
                 columns = history(number, rows, k, len(distinct) - 1)[0][:-1]
                 common = np.isin(distinct, heavy)
                 whole = np.all([common[c] for c in columns], axis=0)
@@ -392,13 +414,13 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_b
         none = np.empty(0, np.int64)
         if not len(heavy):
             return Common(none.view(np.uint64), none, none, buckets)
-        found = parsed.mapInArrow(count, "context long, times long").groupBy("context").agg(F.sum("times").alias("times")).filter(F.col("times") >= often).toPandas()
+        found = of_all(count, "context long, times long").groupBy("context").agg(F.sum("times").alias("times")).filter(F.col("times") >= often).toPandas()
         times = found["times"].to_numpy(np.int64)
         return Common(found["context"].to_numpy(np.int64).view(np.uint64), times, times, buckets)
 
     by_order = {2: common} | {k: contexts(k) for k in range(3, order + 1)}
 
-    def explode(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch], cut: _Cut, turn: int) -> Iterator[pa.RecordBatch]:
         wait: list[tuple[np.ndarray, list[np.ndarray]]] = []
         waiting = 0
 
@@ -412,7 +434,7 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_b
                 wait, waiting = [], 0
                 yield from scatter(by_order[order].of_pairs(folded(columns[:-1]), columns[-1]), keys[at], columns)
 
-        for keys, rows, number, distinct in _parsed(batches):
+        for keys, rows, number, distinct in cut(batches):
             columns, row = history(number, rows, order, len(distinct) - 1)
             now = np.flatnonzero((Common.round_of(distinct, passes) == turn)[columns[-2]])
             wait.append((keys[row[now]], [distinct[c[now]] for c in columns]))
@@ -440,7 +462,7 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, per_b
     words_by = counts.select("word", "seen").mapInArrow(listed, _PACKED)
     parts = []
     for turn in range(passes):
-        counted = parsed.mapInArrow(lambda batches, turn=turn: explode(batches, turn), _PACKED)
+        counted = of_all(lambda batches, cut, turn=turn: explode(batches, cut, turn), _PACKED)
         for k in range(order, 1, -1):
             counted = counted_at(k, counted)
         sums = counted.unionByName(words_by).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _resolve(batches, total, alpha, order - 1), "doc long, tokens long, score double")

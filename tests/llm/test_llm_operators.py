@@ -222,19 +222,15 @@ def test_backoff_brute_force(spark, docs, order, hot, passes):
     assert scoring.score_documents(docs.filter("false"), order=order).count() == 0
 
 
-def test_backoff_parses_texts_once(spark):
-    """op4_backoff: texts are cut in words once, whatever the number of rounds, and read once more for their ids."""
-    texts = ["A b a b c", None, "", "...", "é b a", "a b " * 50]
+def test_backoff_keeps_words_of_half_the_texts(spark, monkeypatch):
+    """op4_backoff: the words of half the texts are kept, all count alike, and none is on disk at the end."""
+    texts = ["A b a b c", None, "", "...", "é b a", "a b " * 50] + ["a b c", "b é", "c"] * 4
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    read = spark.sparkContext.accumulator(0)
-
-    def counted(batches):
-        for batch in batches:
-            read.add(batch.num_rows)
-            yield batch
-
-    scored = scoring.score_documents(docs.mapInArrow(counted, docs.schema), passes=5)
-    assert read.value == len(texts)
+    kept = []
+    monkeypatch.setattr(scoring, "removed", lambda session, *made: (kept.append(sum(len(k) for k, *_ in scoring._parsed(iter(made[-1].toArrow().to_batches())))), frames_removed(session, *made)))
+    frames_removed = frames.removed
+    scored = scoring.score_documents(docs, passes=5)
+    assert len(kept) == 1 and 0 < kept[0] < len(texts)
     want = held_out([re.findall(r"\w+", (t or "").lower()) for t in texts], scoring.ORDER)
     for r in scored.collect():
         words = re.findall(r"\w+", (texts[r.doc_id] or "").lower())
