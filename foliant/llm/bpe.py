@@ -6,8 +6,9 @@ if every two neighbours would be kept apart by BPE, so all neighbouring pairs ar
 checked at once by undoing merges from the cut outwards; only words with a pair
 that fails are merged exactly, rank by rank, many words in lockstep. Results are
 kept per worker by a hash of the word, within a bound, so a word is encoded about
-once. What comes out is decoded again and compared with the text, which also finds
-a hash that two words share; such a slice is encoded without what was kept.
+once. Its ids are decoded again when they are kept, and all words of a slice are
+compared with what the kept ones spell, in blocks of eight bytes, which also finds a
+hash that two words share; such a slice is encoded without what was kept.
 
 Map only: one scan, no shuffle. Words are cut, hashed and looked up as arrays over
 a slice of texts, and long texts in pieces cut where no token can reach across.
@@ -15,6 +16,7 @@ a slice of texts, and long texts in pieces cut where no token can reach across.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -26,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from foliant.llm.frames import col
-from foliant.llm.text import codepoints, kept, mix, slices, utf8
+from foliant.llm.text import kept, mix, slices, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SAFE = regex.compile(r"(?<=\S) (?=\p{L})|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}'])|(?<=\S)(?=\n)")
 _PIECE = 1 << 20
-#: Words and ids that a worker keeps, some 16 MB.
+#: Words and ids that a worker keeps, some 30 MB with what they spell.
 _WORDS, _IDS = 1 << 19, 1 << 21
+#: A word of more bytes is hashed and compared by itself, not in blocks.
+_BLOCKS = 64
 #: A word of more bytes isn't guessed at but merged at once, by a heap.
 _LONG = 1 << 10
 #: Words of about one length are merged in lockstep, longer ones one by one.
@@ -42,6 +46,7 @@ _WIDTHS = (6, 8, 10, 13, 18, 28, 64)
 _SLICE = 1 << 20
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.int64(1 << 40)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _OTHER, _LETTER, _NUMBER, _WHITE, _SPACE = range(5)
 
 
@@ -92,6 +97,7 @@ class Bpe:
         lengths = np.array([len(t) for t in self.tokens])
         self.starts, self.lengths, self.bytes = np.cumsum(lengths) - lengths, lengths, data
         self.longest = int(lengths.max())
+        self._spelling = pa.array(self.tokens, pa.large_binary())
         total = _prefix(data)
         self._whole = _Table(_part(total, self.starts, self.starts + lengths), np.arange(len(left)))
         # which lengths tokens of the same first three bytes have, those of 63 and more as one
@@ -269,43 +275,78 @@ class Bpe:
     def forget(self) -> None:
         """Drop the words that are kept."""
         self._kept = _Table(np.empty(0, np.uint64), np.empty(0, np.int64), bits=12)
-        self._from, self._count, self._store = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
-
-    def _places(self, data: np.ndarray, total: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Where the words are among those kept; new ones are encoded."""
-        hashes = _part(total, starts, stops)
-        place = self._kept.find(hashes)
+        # by word: its first block, its bytes << 32 | its ids, where its ids and all its blocks begin
+        self._head, self._size = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self._from, self._block_from = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._store, self._blocks = np.empty(0, np.int32), np.empty(0, np.uint64)
+        self._longer: dict[int, bytes] = {}
+
+    def _places(self, data: np.ndarray, cut: _Words) -> np.ndarray:
+        """Where words are among those kept; new ones are encoded."""
+        place = self._kept.find(cut.keys)
         new = np.flatnonzero(place < 0)
         if not len(new):
             return place
-        _, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-        if len(self._from) and (len(self._from) + len(first) > _WORDS or len(self._store) > _IDS):
+        _, first, back = np.unique(cut.keys[new], return_index=True, return_inverse=True)
+        n = len(self._head)
+        if n and (n + len(first) > _WORDS or len(self._store) > _IDS):
             self.forget()
-            return self._places(data, total, starts, stops)
+            return self._places(data, cut)
         one = new[first]
-        tokens, ends = self.words(data, total, starts[one], stops[one])
-        n = len(self._from)
-        self._from = np.concatenate([self._from, (ends[:-1] + len(self._store)).astype(np.int32)])
-        self._count = np.concatenate([self._count, np.diff(ends).astype(np.int32)])
-        self._store = np.concatenate([self._store, self.ids[tokens]])
-        self._kept = self._kept.with_more(hashes[one], np.arange(n, n + len(one)))
+        sizes = cut.sizes[one]
+        flat = data[np.repeat(cut.starts[one], sizes) + _counting(sizes)]
+        stops = np.cumsum(sizes)
+        tokens, ends = self.words(flat, _prefix(flat), stops - sizes, stops)
+        ids = self.ids[tokens]
+        spelled = np.concatenate([[0], np.cumsum(self.lengths[tokens])])[ends]
+        back_again = np.frombuffer(self.decode(ids), dtype=np.uint8)
+        own = _Words(back_again, spelled[:-1], np.diff(spelled))
+        held = np.minimum(own.sizes, _BLOCKS) + 7 >> 3
+        at = np.cumsum(held) - held
+        blocks = np.empty(held.sum(), dtype=np.uint64)
+        for k, (some, block) in enumerate(own.blocks):
+            blocks[at[some] + k] = block
+        self._longer |= {n + k: back_again[spelled[k] : spelled[k + 1]].tobytes() for k in own.long.tolist()}
+        self._head = np.concatenate([self._head, own.blocks[0][1]])
+        self._size = np.concatenate([self._size, own.sizes << 32 | np.diff(ends)])
+        self._from = np.concatenate([self._from, ends[:-1] + len(self._store)])
+        self._block_from = np.concatenate([self._block_from, at + len(self._blocks)])
+        self._store, self._blocks = np.concatenate([self._store, ids]), np.concatenate([self._blocks, blocks])
+        self._kept = self._kept.with_more(cut.keys[one], np.arange(n, n + len(one)))
         place[new] = n + back
         return place
 
+    def _spell(self, data: np.ndarray, cut: _Words, place: np.ndarray) -> bool:
+        """Whether the kept words at ``place`` are those of the text, byte by byte."""
+        if not (np.array_equal(self._size[place] >> 32, cut.sizes) and np.array_equal(self._head[place], cut.blocks[0][1])):
+            return False
+        for k, (some, block) in enumerate(cut.blocks[1:], 1):
+            if not np.array_equal(self._blocks[self._block_from[place[some]] + k], block):
+                return False
+        return all(self._longer[int(place[k])] == data[cut.starts[k] : cut.starts[k] + cut.sizes[k]].tobytes() for k in cut.long)
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, _ = utf8(texts)
-        points, ends = codepoints(texts)
-        firsts = np.flatnonzero(word_starts(points, ends))
-        if len(points) == len(data):
-            starts = firsts
-        else:
-            width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-            starts = (np.cumsum(width) - width)[firsts]
-        stops = np.append(starts[1:], len(data))[: len(starts)]
-        place = self._places(data, _prefix(data), starts, stops)
-        counts = self._count[place].astype(np.int64)
-        ids = self._store[np.repeat(self._from[place], counts) + _counting(counts)]
-        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(firsts, ends)]
+        data, edges = utf8(texts)
+        starts = np.flatnonzero(byte_starts(data, edges))
+        cut = _Words(data, starts, np.diff(starts, append=len(data)))
+        place = self._places(data, cut)
+        if not self._spell(data, cut, place):
+            self.forget()  # two words with one hash: by themselves they don't meet
+            return self._apart(texts)
+        counts, at = self._size[place] & 0xFFFFFFFF, self._from[place]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.empty(ends[-1], dtype=np.int32)
+        ids[ends[:-1]] = self._store[at]
+        rest = np.flatnonzero(counts > 1)
+        at, to, counts = at[rest], ends[:-1][rest], counts[rest]
+        for k in range(1, 8):
+            ids[to + k] = self._store[at + k]
+            go = counts > k + 1
+            at, to, counts = at[go], to[go], counts[go]
+        if len(counts):
+            inside = _counting(counts - 8) + 8
+            ids[np.repeat(to, counts - 8) + inside] = self._store[np.repeat(at, counts - 8) + inside]
+        return ids, ends[np.searchsorted(starts, edges)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, n + 1 offsets); null counts as empty."""
@@ -323,9 +364,6 @@ class Bpe:
                 so_far = 0
                 for part, _ in each:
                     ids, ends = self._encode(part)
-                    if self.decode(ids) != utf8(part)[0].tobytes():
-                        self.forget()  # two words with one hash: by themselves they don't meet
-                        ids, ends = self._apart(part)
                     found.append(ids)
                     if whole:
                         so_far += len(ids)
@@ -349,9 +387,37 @@ class Bpe:
         return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        rank = self.rank_of_id[ids]
-        counts = self.lengths[rank]
-        return self.bytes[np.repeat(self.starts[rank], counts) + _counting(counts)].tobytes()
+        _, _, data = self._spelling.take(pa.array(self.rank_of_id[ids])).buffers() if len(ids) else (None, None, None)
+        return memoryview(data).tobytes()[: int(self.lengths[self.rank_of_id[ids]].sum())] if len(ids) else b""
+
+
+class _Words:
+    """Words in bytes: their keys, and their bytes in blocks of eight.
+
+    blocks: for each k, which words have a k-th block, and those, beyond the word 0.
+    long: the words of more than ``_BLOCKS`` bytes.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts, self.sizes = starts, sizes
+        padded = np.append(data, np.zeros(8, np.uint8))
+        eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+        some: np.ndarray | slice = slice(None)
+        at, left = starts, sizes
+        self.blocks: list[tuple[np.ndarray | slice, np.ndarray]] = []
+        self.keys = sizes.astype(np.uint64) * _BASE
+        for k in range(_BLOCKS // 8):
+            block = eight[at] & _MASKS[np.minimum(left, 8)]
+            self.blocks.append((some, block))
+            self.keys[some] = (mix(self.keys[some]) if k else self.keys) ^ block
+            go = np.flatnonzero(left > 8)
+            if not len(go):
+                break
+            some, at, left = go if k == 0 else some[go], at[go] + 8, left[go] - 8
+        self.long = np.flatnonzero(sizes > _BLOCKS)
+        for k in self.long:
+            word = data[starts[k] : starts[k] + sizes[k]].tobytes()
+            self.keys[k] = np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), dtype=np.uint64)[0]
 
 
 def classes() -> np.ndarray:
@@ -371,8 +437,35 @@ def classes() -> np.ndarray:
 
 def word_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where PATTERN's matches begin, for texts in a row with n + 1 offsets."""
-    n = len(points)
-    kind = classes()[points]
+    return _starts(classes()[points], points, ends)
+
+
+def byte_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As word_starts, for texts as bytes; those of a letter are of its kind."""
+    every = classes()
+    raw = data.tobytes()
+    kind = np.frombuffer(bytearray(raw.translate(every[:256].tobytes())), dtype=np.uint8)
+    if not raw.isascii():
+        str(raw, "utf-8")  # fails on what is no UTF-8
+        first = np.flatnonzero(data >= 0xC0)
+        lead = data[first].astype(np.int32)
+        code = np.where(lead < 0xE0, lead & 0x1F, np.where(lead < 0xF0, lead & 0x0F, lead & 0x07))
+        parts = []
+        for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+            so_far = slice(None) if k == 1 else np.flatnonzero(lead >= least)
+            at = first[so_far] + k
+            code[so_far] = code[so_far] << 6 | data[at] & 0x3F
+            parts.append((so_far, at))
+        found = every[code]
+        kind[first] = found
+        for so_far, at in parts:
+            kind[at] = found[so_far]
+    return _starts(kind, data, ends)
+
+
+def _starts(kind: np.ndarray, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where words begin, by the kinds of code points or of bytes; ``kind`` is changed."""
+    n = len(units)
     space = kind == _SPACE
     np.minimum(kind, _WHITE, out=kind)
     out = np.empty(n, dtype=bool)
@@ -386,12 +479,15 @@ def word_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     # the last of a run of white space stands alone, or before what follows if it is a space
     white = kind == _WHITE
     last = np.flatnonzero(white[:-1] & ~white[1:] & ~begins[1:n])
-    out[last] = True
     out[last + 1] = ~space[last]
+    if units.dtype == np.uint8:  # from a letter's last byte to its first
+        while (inside := units[last] & 0xC0 == 0x80).any():
+            last = last - inside
+    out[last] = True
     # contractions: an apostrophe that nothing is before in its word
-    quote = np.flatnonzero((points == 39) & out)
+    quote = np.flatnonzero((units == 39) & out)
     if len(quote):
-        padded = np.append(points, [0, 0, 0]).astype(np.uint32)
+        padded = np.append(units, np.zeros(3, units.dtype))
         one, two = padded[quote + 1], padded[quote + 2]
         near = np.minimum(quote + 1, n), np.minimum(quote + 2, n)
         single = np.isin(one, [ord(c) for c in "sdmt"]) & ~begins[near[0]]

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,18 +44,24 @@ _KNOWN = 200_000
 _PRIMES = np.array([2147483647, 2147483629], dtype=np.uint64)
 _RADIX = np.array([1103515245, 1664525001], dtype=np.uint64)
 _BASE = 0xA0761D6478BD642F
+#: Ids at once, when digests are made.
+_LOT = 1 << 17
 _gear: np.ndarray | None = None
+_tables = [np.ones((2, 1), dtype=np.uint64)] * 2
 
 
 def _rolling(ids: np.ndarray) -> np.ndarray:
-    """Hashes of the SPAN ids that end at each place, from the SPAN-th on."""
+    """Hashes of the SPAN ids that end at each place, from the SPAN-th on.
+
+    Modulo 2^64 by definition; here their low 16 bits, which depend on no higher ones.
+    """
     global _gear
     if _gear is None:
-        _gear = mix(np.arange(1 << 16, dtype=np.uint64))
+        _gear = mix(np.arange(1 << 16, dtype=np.uint64)).astype(np.uint16)
     total = _gear[ids & 0xFFFF]
     n, factor = 1, _BASE
     while n < SPAN:  # a hash of 2n ids from two of n
-        total = total[:-n] * np.uint64(factor) + total[n:]
+        total = total[:-n] * np.uint16(factor & 0xFFFF) + total[n:]
         n, factor = 2 * n, factor * factor % (1 << 64)
     return total
 
@@ -66,7 +73,7 @@ def cut(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """
     hits = np.empty(0, dtype=np.int64)
     if len(ids) >= SPAN:
-        hits = np.flatnonzero(_rolling(ids) & np.uint64((1 << CUT_BITS) - 1) == 0) + SPAN
+        hits = np.flatnonzero(_rolling(ids) & np.uint16((1 << CUT_BITS) - 1) == 0) + SPAN
         start = ends[np.searchsorted(ends, hits - 1, side="right") - 1]
         hits = hits[hits - start >= SPAN]
         before = np.concatenate([[-1], hits[:-1]])
@@ -80,7 +87,7 @@ def cut(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return stops
 
 
-def address(data: bytes) -> bytes:
+def address(data: bytes | memoryview) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
@@ -95,40 +102,94 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _powers(n: int) -> np.ndarray:
-    """2 x n powers of the radices in their fields, by doubling."""
-    out = np.ones((2, n), dtype=np.uint64)
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    """2 x n powers of the radices or their inverses in their fields, by doubling."""
+    if _tables[inverse].shape[1] >= n:
+        return _tables[inverse][:, :n]
+    out = np.ones((2, n if n > _LOT else _LOT), dtype=np.uint64)
     done = 1
-    while done < n:
-        more = min(done, n - done)
-        step = np.array([[pow(int(r), done, int(p))] for r, p in zip(_RADIX, _PRIMES)], dtype=np.uint64)
+    while done < out.shape[1]:
+        more = min(done, out.shape[1] - done)
+        step = np.array([[pow(int(r), -done if inverse else done, int(p))] for r, p in zip(_RADIX, _PRIMES)], dtype=np.uint64)
         out[:, done : done + more] = out[:, :more] * step % _PRIMES[:, None]
         done += more
+    if n <= _LOT:
+        _tables[inverse] = out
+    return out[:, :n]
+
+
+def _power(k: int, exponents: np.ndarray) -> np.ndarray:
+    """The k-th radix to each of the exponents, in its field."""
+    out, left = _powers(_LOT)[k][exponents % _LOT], exponents // _LOT
+    prime = int(_PRIMES[k])
+    square = pow(int(_RADIX[k]), _LOT, prime)
+    while left.any():
+        out = np.where(left & 1 > 0, out * np.uint64(square) % _PRIMES[k], out)
+        left, square = left >> 1, square * square % prime
     return out
 
 
 def digests(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One number per stream in a row: the sums of (id + 1) r^place in both fields."""
-    sizes = np.diff(ends)
-    place = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
-    powers = _powers(int(sizes.max()) if len(sizes) else 0)
-    out = np.zeros((2, len(sizes)), dtype=np.uint64)
-    some = np.flatnonzero(sizes)
-    if len(some):
-        for k in range(2):
-            terms = (ids.astype(np.uint64) + np.uint64(1)) * powers[k, place] % _PRIMES[k]
-            out[k, some] = np.add.reduceat(terms, ends[:-1][some]) % _PRIMES[k]
+    out = np.zeros((2, len(ends) - 1), dtype=np.uint64)
+    low = 0
+    while low < len(ends) - 1:  # lots of streams, one at least
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + _LOT, side="right")) - 1)
+        start = ends[low:high] - ends[low]
+        some = np.flatnonzero(ends[low + 1 : high + 1] > ends[low:high])
+        if len(some):
+            plus = ids[ends[low] : ends[high]].astype(np.uint64) + np.uint64(1)
+            large = int(np.diff(ends[low : high + 1]).max()) * int(plus.max()) >= 1 << 33
+            for k, (row, down) in enumerate(zip(_powers(len(plus)), _powers(int(start[some[-1]]) + 1, inverse=True))):
+                # places count from the lot's start, which a stream's sum is divided by
+                terms = plus * row
+                if large:  # the sum would pass 2^64
+                    terms %= _PRIMES[k]
+                total = np.add.reduceat(terms, start[some]) % _PRIMES[k]
+                out[k, low + some] = total * down[start[some]] % _PRIMES[k]
+        low = high
     return (out[0] << np.uint64(31) | out[1]).astype(np.int64)
 
 
-def composed(parts: np.ndarray, sizes: np.ndarray) -> int:
-    """The digest of a stream from those of its chunks and their lengths, in order."""
-    out = []
-    before = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+def composed(parts: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The digests of streams from those of their chunks and the chunks' lengths, in
+    order; n + 1 offsets of the streams' chunks, none without."""
     both = parts.astype(np.uint64)
-    for p, r, d in zip(_PRIMES, _RADIX, (both >> np.uint64(31), both & np.uint64(0x7FFFFFFF))):
-        out.append(sum(int(x) * pow(int(r), int(n), int(p)) for x, n in zip(d, before)) % int(p))
-    return out[0] << 31 | out[1]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    before = ends[:-1] - np.repeat(ends[edges[:-1]], np.diff(edges))
+    out = []
+    for k, d in enumerate((both >> np.uint64(31), both & np.uint64(0x7FFFFFFF))):
+        out.append(np.add.reduceat(d * _power(k, before) % _PRIMES[k], edges[:-1]) % _PRIMES[k] if len(parts) else both)
+    return (out[0] << np.uint64(31) | out[1]).astype(np.int64)
+
+
+def _items(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """(bytes in a row, n + 1 offsets) of a binary column."""
+    wide = column.cast(pa.large_binary())
+    _, offsets, data = wide.buffers()
+    if not len(wide):
+        return memoryview(b""), np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), np.frombuffer(offsets, dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1]
+
+
+def _split(column: pa.Array) -> list[bytes]:
+    """The items of a binary column; null counts as empty."""
+    data, edges = _items(column)
+    every, at = data[int(edges[0]) : int(edges[-1])].tobytes(), (edges - edges[0]).tolist()
+    return [every[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(items in a row, n + 1 offsets) of a list column; null counts as empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _roots(column: pa.Array) -> list[bytes]:
+    """Merkle roots over lists of leaves."""
+    flat, edges = _lists(column)
+    leaves, at = _split(flat), edges.tolist()
+    return [merkle(leaves[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
 def _recipes(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +259,7 @@ def _joined(groups: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roots = [merkle([bytes(x) for x in leaves]) for leaves in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roots, pa.binary())], names=["idx", "documents", "root"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_roots(batch.column(2)), pa.binary())], names=["idx", "documents", "root"])
 
     return groups.mapInArrow(rows, "idx long, documents long, root binary")
 
@@ -233,27 +293,36 @@ def verify(spark: SparkSession, base: str, path: str = VOCABULARY, fan: int = FA
     width = np.uint16 if len(vocabulary(path).rank_of_id) <= 65536 else np.uint32
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item = np.dtype(width).itemsize
         for batch in batches:
-            named, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sound = [k for k, (a, d) in enumerate(zip(named, data)) if a == address(d)]
-            sizes = np.array([len(data[k]) // np.dtype(width).itemsize for k in sound], dtype=np.int64)
-            ids = np.frombuffer(b"".join(data[k] for k in sound), dtype=width)
-            found = digests(ids, np.concatenate([[0], np.cumsum(sizes)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sound, pa.int64())), pa.array(sizes), pa.array(found)], names=["address", "n", "part_digest"])
+            data, edges = _items(batch.column(1))
+            at = edges.tolist()
+            named = pa.array([address(data[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
+            sound = pc.fill_null(pc.equal(batch.column(0).cast(pa.binary()), named), False)
+            held, column = batch.column(0).filter(sound), batch.column(1).filter(sound)
+            data, edges = _items(column)
+            sizes = np.diff(edges) // item
+            ids = np.frombuffer(data[int(edges[0]) : int(edges[-1])], dtype=width)
+            yield pa.RecordBatch.from_arrays([held, pa.array(sizes), pa.array(digests(ids, np.concatenate([[0], np.cumsum(sizes)])))], names=["address", "n", "part_digest"])
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = []
-            for n, digest, found in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                whole = all(x["n"] is not None for x in found)
-                held.append(whole and sum(x["n"] for x in found) == n and composed(np.array([x["part_digest"] for x in found], dtype=np.int64), np.array([x["n"] for x in found], dtype=np.int64)) == digest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.bool_())], names=["key", "key2", "rebuilt"])
+            if not batch.num_rows:
+                continue
+            n, digest = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            found, edges = _lists(batch.column(4))
+            here = found.field("n").is_valid().to_numpy(zero_copy_only=False)
+            sizes, parts = (pc.fill_null(found.field(name), 0).to_numpy() for name in ("n", "part_digest"))
+            whole = np.logical_and.reduceat(here, edges[:-1]) & (np.add.reduceat(sizes, edges[:-1]) == n)
+            held = whole & (composed(parts, sizes, edges) == digest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held)], names=["key", "key2", "rebuilt"])
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            recipe, root = batch.column(batch.schema.get_field_index("recipe")).to_pylist(), batch.column(batch.schema.get_field_index("root")).to_pylist()
-            same = [None if r is None else merkle(r) == x for r, x in zip(recipe, root)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.bool_())], names=[*batch.schema.names, "same"])
+            recipe, root = batch.column("recipe"), batch.column("root")
+            fits = pc.fill_null(pc.equal(root.cast(pa.binary()), pa.array(_roots(recipe), pa.binary())), False)
+            same = pc.if_else(recipe.is_valid(), fits, None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, same], names=[*batch.schema.names, "same"])
 
     sound = chunks.select("address", "ids").mapInArrow(again, "address binary, n long, part_digest long")
     once = recipes.filter("size(recipe) > 0").dropDuplicates(["key", "key2"]).select("key", "key2", "n_tokens", "digest", F.posexplode("recipe").alias("pos", "address"))

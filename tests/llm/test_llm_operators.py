@@ -359,6 +359,31 @@ def test_bpe_cuts_words_as_the_pattern():
     assert one.encode(pa.array(texts))[0].tolist() == ids.tolist()
 
 
+def test_bpe_decodes_only_words_that_are_new(monkeypatch):
+    """A text of known words is compared with what was kept, not decoded again."""
+    one, seen = bpe.Bpe(), []
+    decode = one.decode
+    monkeypatch.setattr(one, "decode", lambda ids: seen.append(len(ids)) or decode(ids))
+    texts = pa.array([words(31, 400), None, "漢字かな" * 30 + "\u3000 x", "a\x00 a\x00\x00 " + "b" * 65, ""])
+    ids, ends = one.encode(texts)
+    assert sum(seen) < len(ids)
+    seen.clear()
+    again, edges = one.encode(texts)
+    assert not seen and again.tolist() == ids.tolist() == one._apart(texts)[0].tolist() and edges.tolist() == ends.tolist()
+
+
+def test_bpe_cuts_bytes_as_the_pattern():
+    r = random.Random(2)
+    letters = list("ab s't \n\u3000\u3000\x85\xa0.é漢\U0001f600\U0001d7d8١")
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 20))) for _ in range(3000)]
+    data, ends = text.utf8(pa.array(texts))
+    starts = bpe.byte_starts(data, ends)
+    for k, t in enumerate(texts):
+        assert np.flatnonzero(starts[ends[k] : ends[k + 1]]).tolist() == [len(t[: m.start()].encode()) for m in bpe.PATTERN.finditer(t)]
+    with pytest.raises(UnicodeDecodeError):
+        bpe.byte_starts(np.array([97, 0xE9, 97], np.uint8), np.array([0, 3]))
+
+
 # 8 language
 
 
@@ -509,6 +534,28 @@ def test_store_finds_a_wrong_cut(spark, docs):
     assert [r.doc_id for r in store.verify(spark, base).collect() if r.verified is False] == [4]
 
 
+def test_store_digests_by_definition():
+    """In lots, of streams longer than a lot, of ids whose sums would pass 2^64."""
+    r = np.random.default_rng(4)
+    for width, sizes in ((np.uint16, [0, 5, 0, 300, 1]), (np.uint16, [store._LOT - 3, 9, 0, store._LOT + 70_000, 4]), (np.uint32, [2000, 5, store._LOT])):
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = r.integers(0, np.iinfo(width).max, ends[-1], dtype=width, endpoint=True)
+        expected = []
+        for a, b in zip(ends[:-1], ends[1:]):
+            both = []
+            for p, x in zip(store._PRIMES.tolist(), store._RADIX.tolist()):
+                total = 0
+                for i in ids[a:b][::-1].tolist():
+                    total = (total * x + i + 1) % p
+                both.append(total)
+            expected.append(both[0] << 31 | both[1])
+        assert store.digests(ids, ends).tolist() == expected
+        cuts = np.unique(np.concatenate([ends, r.integers(0, ends[-1], 40)]))
+        parts, edges = store.digests(ids, cuts), np.searchsorted(cuts, ends)
+        some = np.flatnonzero(np.diff(ends))
+        assert store.composed(parts, np.diff(cuts), np.append(edges[some], len(parts))).tolist() == [expected[k] for k in some]
+
+
 # 10 SimHash
 
 
